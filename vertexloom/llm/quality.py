@@ -19,6 +19,8 @@ from pyspark.sql import functions as F
 from .common import by_batches, held_out, texts
 
 POSITIVE, UNLABELLED = 3000, 6000
+#: The estimated prior times this is used: a prior that is too high lets the risk of the negatives reach zero too early, one a little too low does no harm.
+MARGIN = 0.97
 THRESHOLD, KINDS, EPOCHS, RATE, DECAY, SEED = 0.3, 32, 60, 0.02, 1e-4, 11
 
 
@@ -124,7 +126,7 @@ def train(docs: DataFrame, labels: DataFrame, positive: int = POSITIVE, unlabell
     unl = _collect(docs.where(by_hash(unlabelled, total, F.lit(SEED), "doc_id", "text")).limit(2 * unlabelled))
     if not len(pos) or not len(unl):
         return None
-    return non_negative_fit(pos, unl, min(0.99, (good + 1) / (n + 2)))
+    return non_negative_fit(pos, unl, MARGIN * (good + 1) / (n + 2))
 
 
 def score(docs: DataFrame, model: Classifier | None, threshold: float = THRESHOLD) -> DataFrame:
