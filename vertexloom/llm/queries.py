@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import language, mpeg, packing, prefix_bpe, quality, secrets, token_counts
+from . import language, mpeg, packing, prefix_bpe, quality, secrets, substrings, token_counts
 from .common import table
 
 
@@ -23,6 +23,10 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.digest(table(spark, sf_dir, "documents"))
+
+
 def op7_mpeg_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mpeg.digest(table(spark, sf_dir, "documents"))
 
@@ -40,6 +44,6 @@ def op9_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_bpe.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op3_language_id, op4_secret_scan, op5_token_counts, op7_mpeg_audio, op8_best_fit_packing, op9_bpe_codec, op10_quality)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op3_language_id, op4_secret_scan, op5_token_counts, op6_substring_dedup, op7_mpeg_audio, op8_best_fit_packing, op9_bpe_codec, op10_quality)}
 #: DuckDB SQL for the rows of those queries that SQL can express.
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op6_substring_dedup": substrings.ORACLE}
