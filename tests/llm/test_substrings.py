@@ -43,7 +43,7 @@ def test_cases(spark):
         for _ in range(rnd.randint(0, 6)):
             w += rnd.choice(passages) if rnd.random() < 0.6 else [word() + word() + word() for _ in range(rnd.randint(0, 20))]
         rows.append((doc, rnd.choice([" ", "\n", "\t \x0b"]).join(w)))
-    rows += [(200, None), (201, ""), (202, "the " * 3000), (203, "the " * 20), (None, "the " * 20), (204, " ".join(passages[4])), (204, " ".join(passages[4])), (205, "a\x1cb\xa0c " * 14), (205, "a\x1cb\xa0c " * 13), (206, "a\x1cb\xa0c " * 13)]
+    rows += [(200, None), (201, ""), (202, "the " * 3000), (203, "the " * 20), (None, "the " * 20), (204, " ".join(passages[4])), (204, " ".join(passages[4])), (205, "a\x1cb\xa0c " * 14), (205, "a\x1cb\xa0c " * 13), (206, "a\x1cb\xa0c " * 13), (207, "a\x1cb\xa0c " * 13), (207, "new " + " ".join(map(str, range(40)))), (208, "x" * 300_000 + " y" * 30), (209, "x" * 300_000 + " y" * 30 + " z" * 200_000)]
     df = spark.createDataFrame([(*r, 1, "p") for r in rows], "doc_id long, text string, place int, places string")
     assert got(substrings.digest(df)) == plain(rows)
     assert substrings.digest(df.limit(0)).collect() == []

@@ -1,10 +1,11 @@
 """Removal of repeated passages, by seed and extend on winnowed anchors.
 
-Seeds: of the runs of SEED words in each window of LENGTH words, the one with the least hash (the last of equals) is the window's anchor. Equal windows
-have equal anchors, so two documents that share a passage of LENGTH words share an anchor; joining on anchors leaves only documents and places where that
-can be. Extension: from a shared anchor, a match reaches both ways over the windows that chose it; a window extends the match if a document with a smaller id
-has the same words, which is settled by a minimum per window, not by pairs of documents, so a passage in n documents costs n rows. The joined windows are the
-maximal repeats. Aggregates combine before each shuffle, and what follows them are joins that Spark can split where a key is frequent.
+Seeds: the least hash of the runs of SEED words in a window of LENGTH words is the window's anchor. Equal windows have equal anchors, so two documents that
+share a passage of LENGTH words share an anchor; joining on anchors leaves only the documents and places where that can be. Extension: from a shared anchor, a
+match reaches both ways over the windows that chose it; a window extends the match if a document with a smaller id has the same words, which is settled by a
+minimum per window, not by pairs of documents, so a passage in n documents costs n rows. The joined windows are the maximal repeats. Of documents with equal
+texts only the one with the least id goes through this; the others repeat it as a whole. Aggregates combine before each shuffle, and what follows them are joins
+that Spark can split where a key is frequent. The texts are shuffled once, by doc_id.
 """
 
 from __future__ import annotations
@@ -13,12 +14,11 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from numpy.lib.stride_tricks import sliding_window_view
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import by_batches, texts
-from .words import run_hashes, word_hashes
+from .words import Block, blocks, rolling_minimum, run_hashes
 
 #: Words of a window (the least length of a repeat) and of a seed.
 LENGTH, SEED = 13, 5
@@ -29,13 +29,10 @@ def words_of(text: str) -> list[bytes]:
     return text.encode().split()
 
 
-def anchors(h: np.ndarray, length: int = LENGTH, seed: int = SEED) -> tuple[np.ndarray, np.ndarray]:
-    """For each window the place of its anchor, and the hashes of all runs of seed words."""
-    runs, span = run_hashes(h, seed), length - seed + 1
-    if len(h) < length:
-        return np.empty(0, np.int64), runs
-    view = sliding_window_view(runs[::-1], span)[::-1]  # of equals argmin takes the first, which is the last here
-    return np.arange(len(view)) + span - 1 - view.argmin(1), runs
+def anchors(block: Block, length: int = LENGTH, seed: int = SEED) -> tuple[np.ndarray, np.ndarray]:
+    """The places of the windows that lie in one text, and the anchor of each."""
+    places = np.flatnonzero(block.inside(length))
+    return places, rolling_minimum(run_hashes(block.hashes, seed), length - seed + 1)[places]
 
 
 def _covered(places: np.ndarray, n: int, length: int) -> np.ndarray:
@@ -47,61 +44,94 @@ def _covered(places: np.ndarray, n: int, length: int) -> np.ndarray:
 
 
 def _keyed(df: DataFrame) -> DataFrame:
-    """df with __id and __hash: rows that are equal in both are copies of one row and fare alike."""
+    """df with __id and __hash; __hash tells texts with the same id apart."""
     return df.withColumn("__id", F.col("doc_id").cast("long")).withColumn("__hash", F.xxhash64("text"))
 
 
-def repeated_windows(df: DataFrame, length: int = LENGTH, seed: int = SEED) -> DataFrame:
-    """__id, __hash and __places (array<int>): the windows of a document that also are in one with a smaller id. Documents without any are left out."""
-    docs = _keyed(df)
-    ids = docs.select("__id", "text").where(F.col("__id").isNotNull() & F.col("text").isNotNull())
+def _low(hashes: list[int]) -> np.ndarray:
+    return np.array(hashes, np.int64) << 32
+
+
+def repeated_windows(docs: DataFrame, length: int = LENGTH, seed: int = SEED) -> DataFrame:
+    """__id, __copy and __places (array<long>) of the documents (of _keyed()) that repeat something of one with a smaller id.
+
+    __copy is true if the whole text is such a one's text (then __places is null); else the low 32 bits of a place are the first word of a repeated window, the high
+    ones the low ones of __hash: rows that share an id but not a text share a list.
+    """
+    ids = docs.where(F.col("__id").isNotNull() & F.col("text").isNotNull())
 
     def seeds(batch: pa.RecordBatch):
-        ids, runs = [], []
-        for doc, text in zip(batch.column("__id").to_pylist(), texts(batch), strict=True):
-            at, all_runs = anchors(word_hashes(words_of(text)), length, seed)
-            found = np.unique(all_runs[np.unique(at)])
-            runs.append(found)
-            ids.append(np.full(len(found), doc, np.int64))
-        yield {"seed": pa.array(np.concatenate(runs).view(np.int64)), "__id": pa.array(np.concatenate(ids))}
-
-    found = by_batches(ids, seeds, "seed long, __id long")
+        ids, runs, known = [], [], batch.column("__id").to_numpy(zero_copy_only=False)
+        for block in blocks(texts(batch)):
+            places, found = anchors(block, length, seed)
+            if len(places):
+                doc = known[block.text_of(places)]
+                fresh = np.r_[True, (found[1:] != found[:-1]) | (doc[1:] != doc[:-1])]
+                runs.append(found[fresh].view(np.int64))
+                ids.append(doc[fresh])
+        if runs:
+            yield {"seed": pa.array(np.concatenate(runs)), "__id": pa.array(np.concatenate(ids))}
+
+    found = by_batches(ids.select("__id", "text"), seeds, "seed long, __id long")
     shared = found.groupBy("seed").agg(F.count("*").alias("n")).where("n > 1").select("seed")
     marked = found.join(shared, "seed").groupBy("__id").agg(F.collect_set("seed").alias("__seeds"))
 
+    whole = ids.select("__id", F.unhex(F.md5("text")).alias("md5"))
+    firsts = whole.groupBy("md5").agg(F.min("__id").alias("first"), F.max("__id").alias("last")).where(F.col("first") < F.col("last")).drop("last")
+    several = whole.groupBy("__id").agg(F.min("md5").alias("a"), F.max("md5").alias("b")).where(F.col("a") < F.col("b"))
+    copies = whole.join(firsts, "md5").where(F.col("first") < F.col("__id")).groupBy("__id").agg(F.lit(True).alias("__copy")).join(several, "__id", "left_anti")
+
     def extend(batch: pa.RecordBatch):
-        out = {k: [] for k in ("w1", "w2", "__id", "__hash", "place")}
-        for doc, key, text, known in zip(batch.column("__id").to_pylist(), batch.column("__hash").to_pylist(), texts(batch), batch.column("__seeds"), strict=True):
-            h = word_hashes(words_of(text))
-            at, runs = anchors(h, length, seed)
-            place = np.flatnonzero(np.isin(runs[at], known.values.to_numpy(zero_copy_only=False).view(np.uint64)))
-            if len(place):
-                out["w1"].append(run_hashes(h, length, 1)[place].view(np.int64))
-                out["w2"].append((run_hashes(h, length, 2)[place] >> np.uint64(32)).astype(np.uint32).view(np.int32))
-                out["place"].append(place.astype(np.int32))
-                out["__id"].append(np.full(len(place), doc, np.int64))
-                out["__hash"].append(np.full(len(place), key, np.int64))
+        out = {k: [] for k in ("w1", "w2", "__id", "place")}
+        ids, high, known = batch.column("__id").to_numpy(zero_copy_only=False), _low(batch.column("__hash").to_pylist()), batch.column("__seeds")
+        for block in blocks(texts(batch)):
+            places, found = anchors(block, length, seed)
+            if not len(places):
+                continue
+            doc = block.text_of(places)
+            keep, edge = np.zeros(len(places), bool), np.r_[0, np.flatnonzero(np.diff(doc)) + 1, len(doc)]
+            for a, b in zip(edge, edge[1:], strict=False):
+                keep[a:b] = np.isin(found[a:b], known[int(doc[a])].values.to_numpy(zero_copy_only=False).view(np.uint64))
+            places, doc = places[keep], doc[keep]
+            if len(places):
+                out["w1"].append(run_hashes(block.hashes, length, 1)[places].view(np.int64))
+                out["w2"].append((run_hashes(block.hashes, length, 2)[places] >> np.uint64(32)).astype(np.uint32).view(np.int32))
+                out["__id"].append(ids[doc])
+                out["place"].append(high[doc] | (places - block.bounds[doc - block.first]))
         if out["w1"]:
             yield {k: pa.array(np.concatenate(x)) for k, x in out.items()}
 
     # all columns of docs go in, so that this join and the one that uses the result can share one shuffle of the texts
-    near = docs.join(marked, "__id")
-    windows = by_batches(near, extend, "w1 long, w2 int, __id long, __hash long, place int")
+    near = docs.join(marked.join(copies, "__id", "left_anti"), "__id")
+    windows = by_batches(near, extend, "w1 long, w2 int, __id long, place long")
     first = windows.groupBy("w1", "w2").agg(F.min("__id").alias("first"), F.max("__id").alias("last")).where(F.col("first") < F.col("last")).drop("last")
-    again = windows.join(first, ["w1", "w2"]).where(F.col("first") < F.col("__id"))
-    return again.groupBy("__id", "__hash").agg(F.collect_set("place").alias("__places"))
+    again = windows.join(first, ["w1", "w2"]).where(F.col("first") < F.col("__id")).groupBy("__id").agg(F.collect_set("place").alias("__places"))
+    return again.join(copies, "__id", "full")
 
 
 def _joined(df: DataFrame, length: int, seed: int) -> DataFrame:
-    return _keyed(df).join(repeated_windows(df, length, seed), ["__id", "__hash"], "left")
+    """df's columns, __id, __hash, and what repeated_windows() has. Where an id stands for several texts, none counts as a copy as a whole."""
+    docs = _keyed(df)
+    return docs.join(repeated_windows(docs, length, seed), "__id", "left")
+
+
+def _gone(batch: pa.RecordBatch, length: int) -> list[tuple[list[bytes], np.ndarray | None]]:
+    """The words of each text, and which of them go (None: none)."""
+    out = []
+    for text, key, copy, places in zip(texts(batch), batch.column("__hash").to_pylist(), batch.column("__copy").to_pylist(), batch.column("__places"), strict=True):
+        words, gone = words_of(text), None
+        if copy:
+            gone = np.full(len(words), len(words) >= length)
+        elif places.is_valid:
+            p = places.values.to_numpy(zero_copy_only=False)
+            p = p[p >> 32 == (_low([key])[0] >> 32)] & 0xFFFFFFFF
+            gone = _covered(p, len(words), length)
+        out.append((words, gone))
+    return out
 
 
-def _kept(text: str | None, places: pa.ListScalar, length: int) -> tuple[list[bytes], int]:
-    words = words_of(text or "")
-    if not places.is_valid or not len(places.values):
-        return words, len(words)
-    gone = _covered(places.values.to_numpy(zero_copy_only=False).astype(np.int64), len(words), length)
-    return [w for w, g in zip(words, gone.tolist(), strict=True) if not g], len(words)
+def _kept(words: list[bytes], gone: np.ndarray | None) -> list[bytes]:
+    return words if gone is None else [w for w, g in zip(words, gone.tolist(), strict=True) if not g]
 
 
 def maximal_repeats(df: DataFrame, length: int = LENGTH, seed: int = SEED) -> DataFrame:
@@ -109,16 +139,14 @@ def maximal_repeats(df: DataFrame, length: int = LENGTH, seed: int = SEED) -> Da
 
     def run(batch: pa.RecordBatch):
         out = {"doc_id": [], "start": [], "end": []}
-        for doc, places in zip(batch.column("__id").to_pylist(), batch.column("__places").to_pylist(), strict=True):
-            p = np.sort(np.array(places, np.int64))
-            cut = np.flatnonzero(np.diff(p) > length)
-            starts, ends = p[np.r_[0, cut + 1]], p[np.r_[cut, len(p) - 1]] + length
-            out["doc_id"] += [doc] * len(starts)
-            out["start"] += starts.tolist()
-            out["end"] += ends.tolist()
+        for doc, (_, gone) in zip(batch.column("__id").to_pylist(), _gone(batch, length), strict=True):
+            edge = np.flatnonzero(np.diff((np.zeros(1) if gone is None else gone).astype(np.int8), prepend=0, append=0))
+            out["doc_id"] += [doc] * (len(edge) // 2)
+            out["start"] += edge[::2].tolist()
+            out["end"] += edge[1::2].tolist()
         yield out
 
-    return by_batches(repeated_windows(df, length, seed), run, "doc_id long, start long, end long")
+    return by_batches(_joined(df, length, seed), run, "doc_id long, start long, end long")
 
 
 def digest(df: DataFrame, length: int = LENGTH, seed: int = SEED) -> DataFrame:
@@ -130,15 +158,13 @@ def digest(df: DataFrame, length: int = LENGTH, seed: int = SEED) -> DataFrame:
 
     def run(batch: pa.RecordBatch):
         n, kept, sha = [], [], []
-        for text, places in zip(texts(batch), batch.column("__places"), strict=True):
-            words, all_words = _kept(text, places, length)
-            n.append(all_words)
-            kept.append(all_words - len(words))
-            sha.append(hashlib.sha256(b" ".join(words)).hexdigest())
+        for words, gone in _gone(batch, length):
+            n.append(len(words))
+            kept.append(0 if gone is None else int(gone.sum()))
+            sha.append(hashlib.sha256(b" ".join(_kept(words, gone))).hexdigest())
         yield {"doc_id": batch.column("__id"), "n_words": n, "n_removed": kept, "kept_sha256": sha}
 
-    docs = _joined(df.select("doc_id", "text"), length, seed)
-    return by_batches(docs.select("__id", "text", "__places"), run, "doc_id long, n_words long, n_removed long, kept_sha256 string")
+    return by_batches(_joined(df.select("doc_id", "text"), length, seed), run, "doc_id long, n_words long, n_removed long, kept_sha256 string")
 
 
 def remove(df: DataFrame, length: int = LENGTH, seed: int = SEED) -> DataFrame:
@@ -146,11 +172,10 @@ def remove(df: DataFrame, length: int = LENGTH, seed: int = SEED) -> DataFrame:
     names = [f.name for f in df.schema]
 
     def run(batch: pa.RecordBatch):
-        out = [x if not p.is_valid else b" ".join(_kept(x, p, length)[0]).decode() for x, p in zip(batch.column("text").to_pylist(), batch.column("__places"), strict=True)]
+        out = [x if gone is None or not gone.any() else b" ".join(_kept(words, gone)).decode() for x, (words, gone) in zip(batch.column("text").to_pylist(), _gone(batch, length), strict=True)]
         yield {k: batch.column(k) for k in names} | {"text": out}
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
-    return by_batches(_joined(df, length, seed).select(*names, "__places"), run, schema)
+    return by_batches(_joined(df, length, seed), run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema))
 
 
 #: DuckDB SQL for digest() over the table documents.
