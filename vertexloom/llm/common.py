@@ -57,8 +57,12 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Write df as Parquet in the shared folder and read it back: the lineage ends here, and a lost executor costs no recomputation."""
+    """Write df as Parquet in the shared folder and read it back: the lineage ends here, and a lost executor costs no recomputation.
+
+    The shuffle files behind df are removed as soon as it is written, so that a job of several steps holds those of one step at a time.
+    """
     spark, path = df.sparkSession, f"{shared_folder(df.sparkSession)}/vertexloom-{uuid.uuid4().hex}"
+    spark.conf.set("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -5,7 +5,7 @@ share a passage of LENGTH words share an anchor; joining on anchors leaves only
 match reaches both ways over the windows that chose it; a window extends the match if a document with a smaller id has the same words, which is settled by a
 minimum per window, not by pairs of documents, so a passage in n documents costs n rows. The joined windows are the maximal repeats. Of documents with equal
 texts only the one with the least id goes through this; the others repeat it as a whole. Aggregates combine before each shuffle, and what follows them are joins
-that Spark can split where a key is frequent. The texts are shuffled once, by doc_id.
+that Spark can split where a key is frequent. What each step finds is written before the next, so its shuffle files can go.
 """
 
 from __future__ import annotations
@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_batches, texts
+from .common import by_batches, cut, texts
 from .words import Block, blocks, rolling_minimum, run_hashes
 
 #: Words of a window (the least length of a repeat) and of a seed.
@@ -65,21 +65,26 @@ def repeated_windows(docs: DataFrame, length: int = LENGTH, seed: int = SEED) ->
         for block in blocks(texts(batch)):
             places, found = anchors(block, length, seed)
             if len(places):
-                doc = known[block.text_of(places)]
+                doc = block.text_of(places)
                 fresh = np.r_[True, (found[1:] != found[:-1]) | (doc[1:] != doc[:-1])]
-                runs.append(found[fresh].view(np.int64))
-                ids.append(doc[fresh])
+                found, doc = found[fresh], doc[fresh]
+                edge = np.r_[0, np.flatnonzero(np.diff(doc)) + 1, len(doc)]
+                for a, b in zip(edge, edge[1:], strict=False):
+                    own = np.unique(found[a:b])  # once for each text: what a text has twice isn't shared
+                    runs.append(own.view(np.int64))
+                    ids.append(np.full(len(own), known[doc[a]]))
         if runs:
             yield {"seed": pa.array(np.concatenate(runs)), "__id": pa.array(np.concatenate(ids))}
 
     found = by_batches(ids.select("__id", "text"), seeds, "seed long, __id long")
     shared = found.groupBy("seed").agg(F.count("*").alias("n")).where("n > 1").select("seed")
-    marked = found.join(shared, "seed").groupBy("__id").agg(F.collect_set("seed").alias("__seeds"))
+    marked = cut(found.join(shared, "seed").groupBy("__id").agg(F.collect_set("seed").alias("__seeds")))
 
     whole = ids.select("__id", F.unhex(F.md5("text")).alias("md5"))
     firsts = whole.groupBy("md5").agg(F.min("__id").alias("first"), F.max("__id").alias("last")).where(F.col("first") < F.col("last")).drop("last")
     several = whole.groupBy("__id").agg(F.min("md5").alias("a"), F.max("md5").alias("b")).where(F.col("a") < F.col("b"))
     copies = whole.join(firsts, "md5").where(F.col("first") < F.col("__id")).groupBy("__id").agg(F.lit(True).alias("__copy")).join(several, "__id", "left_anti")
+    copies = cut(copies)
 
     def extend(batch: pa.RecordBatch):
         out = {k: [] for k in ("w1", "w2", "__id", "place")}
@@ -101,12 +106,11 @@ def repeated_windows(docs: DataFrame, length: int = LENGTH, seed: int = SEED) ->
         if out["w1"]:
             yield {k: pa.array(np.concatenate(x)) for k, x in out.items()}
 
-    # all columns of docs go in, so that this join and the one that uses the result can share one shuffle of the texts
-    near = docs.join(marked.join(copies, "__id", "left_anti"), "__id")
+    near = docs.select("__id", "__hash", "text").join(marked.join(copies, "__id", "left_anti"), "__id")
     windows = by_batches(near, extend, "w1 long, w2 int, __id long, place long")
     first = windows.groupBy("w1", "w2").agg(F.min("__id").alias("first"), F.max("__id").alias("last")).where(F.col("first") < F.col("last")).drop("last")
     again = windows.join(first, ["w1", "w2"]).where(F.col("first") < F.col("__id")).groupBy("__id").agg(F.collect_set("place").alias("__places"))
-    return again.join(copies, "__id", "full")
+    return cut(again.join(copies, "__id", "full"))
 
 
 def _joined(df: DataFrame, length: int, seed: int) -> DataFrame:
