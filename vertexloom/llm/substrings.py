@@ -78,6 +78,7 @@ def repeated_windows(docs: DataFrame, length: int = LENGTH, seed: int = SEED) ->
 
     found = by_batches(ids.select("__id", "text"), seeds, "seed long, __id long")
     shared = found.groupBy("seed").agg(F.count("*").alias("n")).where("n > 1").select("seed")
+    shared = cut(shared)  # read from a table, it leaves Spark free to split frequent seeds in the join
     marked = cut(found.join(shared, "seed").groupBy("__id").agg(F.collect_set("seed").alias("__seeds")))
 
     whole = ids.select("__id", F.unhex(F.md5("text")).alias("md5"))
@@ -109,6 +110,7 @@ def repeated_windows(docs: DataFrame, length: int = LENGTH, seed: int = SEED) ->
     near = docs.select("__id", "__hash", "text").join(marked.join(copies, "__id", "left_anti"), "__id")
     windows = by_batches(near, extend, "w1 long, w2 int, __id long, place long")
     first = windows.groupBy("w1", "w2").agg(F.min("__id").alias("first"), F.max("__id").alias("last")).where(F.col("first") < F.col("last")).drop("last")
+    first = cut(first)
     again = windows.join(first, ["w1", "w2"]).where(F.col("first") < F.col("__id")).groupBy("__id").agg(F.collect_set("place").alias("__places"))
     return cut(again.join(copies, "__id", "full"))
 
