@@ -7,10 +7,14 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import language, mpeg, near_dups, packing, prefix_bpe, quality, secrets, substrings, token_counts
+from . import language, mpeg, near_dups, packing, prefix_bpe, quality, secrets, substrings, token_counts, vectors
 from .common import table
 
 
+def op1_nearest_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.nearest(table(spark, sf_dir, "embeddings"))
+
+
 def op2_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dups.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -48,6 +52,6 @@ def op9_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_bpe.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_near_duplicates, op3_language_id, op4_secret_scan, op5_token_counts, op6_substring_dedup, op7_mpeg_audio, op8_best_fit_packing, op9_bpe_codec, op10_quality)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_nearest_vectors, op2_near_duplicates, op3_language_id, op4_secret_scan, op5_token_counts, op6_substring_dedup, op7_mpeg_audio, op8_best_fit_packing, op9_bpe_codec, op10_quality)}
 #: DuckDB SQL for the rows of those queries that SQL can express.
-ORACLES: dict[str, str] = {"op6_substring_dedup": substrings.ORACLE}
+ORACLES: dict[str, str] = {"op1_nearest_vectors": vectors.ORACLE, "op6_substring_dedup": substrings.ORACLE}
