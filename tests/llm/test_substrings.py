@@ -66,3 +66,18 @@ def test_query_and_sql(spark):
     con = duckdb.connect()
     con.execute(f"CREATE VIEW documents AS SELECT * FROM '{D}/documents.parquet'")
     assert sorted(con.execute(ORACLES["op6_substring_dedup"]).fetchall()) == want
+
+
+def words_removed(rows):
+    """The kept words of each text, joined by a space; None where nothing goes."""
+    first, out = {}, {}
+    split = {i: (x or "").encode().split() for i, x in rows}
+    for i, w in split.items():
+        for k in range(len(w) - 12):
+            if i is not None:
+                g = tuple(w[k : k + 13])
+                first[g] = min(first.get(g, i), i)
+    for i, w in split.items():
+        gone = {j for k in range(len(w) - 12) for j in range(k, k + 13) if i is not None and first[tuple(w[k : k + 13])] < i}
+        out[i] = b" ".join(x for j, x in enumerate(w) if j not in gone).decode() if gone else None
+    return out
