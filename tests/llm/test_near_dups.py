@@ -80,9 +80,8 @@ def test_query_by_brute_force(spark):
     assert got(QUERIES["op2_near_duplicates"](spark, d)) == want
 
 
-def test_crowded_bucket_is_resolved_in_rounds(spark, monkeypatch):
-    """Two groups whose members share bucket after bucket, with very few centres a round."""
-    monkeypatch.setattr(near_dups, "CENTRES", 3)
+def test_crowd_about_the_threshold(spark):
+    """Members that share bucket after bucket, some alike enough and some not."""
     rnd = random.Random(8)
     word = lambda: "".join(rnd.choice("abcdefghij") for _ in range(4))
     base, rows = [word() for _ in range(100)], []

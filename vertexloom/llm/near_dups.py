@@ -2,9 +2,9 @@
 
 A document is the multiset of its runs of SHINGLE lower-cased words. Each shingle sends Poisson arrivals at a rate of its count; an arrival goes to a random
 component of the signature, which keeps its earliest, and a shingle stops when its time passes the latest component. Two signatures agree in a component with the
-probability Jaccard similarity. Bands of ROWS components make buckets. In a bucket all are held against its least member, which costs a row for each member; where
-a bucket still spans several components, its members are held against one another in rounds of about CENTRES centres, until all have been. Pairs are verified by the
-exact similarity of whole texts. Equal texts are one node all along.
+probability Jaccard similarity. Bands of ROWS components make buckets. In a bucket all are held against its least member, which costs a row for each member. Members of
+buckets that then still span several components get a second look, at other centres in these and in finer buckets. Pairs are verified by the exact similarity of whole
+texts. Equal texts are one node all along. A pair that is alike but never meets in a star, nor through others, is missed; no bucket is cut off, whatever its size.
 """
 
 from __future__ import annotations
@@ -20,8 +20,8 @@ from .words import blocks, mix, run_hashes
 SHINGLE, THRESHOLD = 5, 0.8
 #: Components of a signature; at 0.8, bands of 4 miss a pair with probability (1 - 0.8^4)^20 < 3e-5.
 SIZE, ROWS = 80, 4
-#: Pairs in later rounds are verified if their signatures agree in this part, 4 deviations below the threshold.
-LEAST_AGREED, CENTRES = 0.6, 64
+#: Pairs of the second look are verified if their signatures agree in this part, 4 deviations below the threshold; levels of its buckets.
+LEAST_AGREED, DEPTH = 0.6, 3
 
 
 def shingles(batch: list[str], size: int = SHINGLE) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -134,27 +134,32 @@ def classes_of(nodes: DataFrame) -> DataFrame:
     crowd = cut(member.join(centres, "bucket").select("bucket", "a", "key"))
     done = cut(crowd.where(F.col("a") < F.col("key")).select("a", F.col("key").alias("b")).distinct())
     links = cut(verify(done, nodes.select("key", "text")))
-    labels, turn = components(links), 0
-    while True:
-        own = crowd.join(labels, "key", "left").select("bucket", "key", F.coalesce("label", "key").alias("label"))
-        spread = own.groupBy("bucket").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.count("*").alias("n")).where((F.col("x") < F.col("y")) & (F.col("n") > turn * CENTRES) & (F.col("n") > 2))
-        slots = F.ceil(F.col("n") / CENTRES)
-        left = cut(own.join(spread.select("bucket", slots.alias("slots")), "bucket").select("bucket", "key", "label", F.pmod(F.xxhash64("key"), F.col("slots")).alias("slot"), "slots").where(F.col("slot") >= turn).join(signed.select("key", "signature"), "key"))
-        top = left.agg(F.max("slots")).first()[0]
-        if top is None:  # no bucket is left with members that may belong together
-            return labels
-        c, m = (left.select("bucket", *(F.col(k).alias(f"{k}_{x}") for k in ("key", "label", "slot", "signature"))) for x in "cm")
-        agreed = F.aggregate(F.zip_with("signature_c", "signature_m", lambda x, y: (x == y).cast("int")), F.lit(0), lambda s, x: s + x)
-        hit = (c["bucket"] == m["bucket"]) & (F.col("label_c") != F.col("label_m")) & ((F.col("slot_m") > turn) | (F.col("key_c") < F.col("key_m"))) & (agreed >= LEAST_AGREED * SIZE)
-        more = c.where(F.col("slot_c") == turn).join(m, hit).select(F.least("key_c", "key_m").alias("a"), F.greatest("key_c", "key_m").alias("b")).distinct()
-        more = cut(more.join(done, ["a", "b"], "left_anti"))
-        if more.limit(1).count():
-            found = cut(verify(more, nodes.select("key", "text")))
-            links, done = cut(links.union(found)), cut(done.union(more))
-            labels = components(links)
-        turn += 1
-        if turn >= top:
-            return labels
+    labels = components(links)
+    own = cut(crowd.join(labels, "key", "left").select("bucket", "key", F.coalesce("label", "key").alias("label")))
+    mixed = own.groupBy("bucket").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.count("*").alias("n")).where((F.col("x") < F.col("y")) & (F.col("n") > 2)).select("bucket")
+    loose = cut(own.join(cut(mixed), "bucket").select("key", "label").distinct())
+    more = cut(_second_look(signed, loose).join(done, ["a", "b"], "left_anti"))
+    if not more.limit(1).count():
+        return labels
+    return components(links.union(verify(more, nodes.select("key", "text"))))
+
+
+def _second_look(signed: DataFrame, loose: DataFrame) -> DataFrame:
+    """Pairs (a, b) of members of buckets that still span several components: each with one centre in each of its buckets and of DEPTH - 1 finer ones, chosen anew.
+
+    Finer buckets join neighbouring bands, so in a crowd that is alike but for the most part not enough, the closest meet. Only pairs of different components whose
+    signatures agree enough are left. The rows grow with the members, not with their pairs.
+    """
+    bands = SIZE // ROWS
+    level = lambda n: f"transform(buckets, (x, i) -> xxhash64({n}, {', '.join(f'buckets[(i + {k}) % {bands}]' for k in range(n))}))"
+    finer = F.expr(f"concat({', '.join(level(n) for n in range(1, DEPTH + 1))})")
+    member = signed.join(loose, "key").select("key", "label", F.explode(finer).alias("bucket"))
+    centre = member.groupBy("bucket").agg(F.min(F.struct(F.xxhash64("key", "bucket").alias("order"), "key", "label")).alias("c"), F.max("label").alias("y"), F.min("label").alias("x"))
+    centre = cut(centre.where(F.col("x") < F.col("y")).select("bucket", F.col("c.key").alias("c"), F.col("c.label").alias("c_label")))
+    met = member.join(centre, "bucket").where(F.col("label") != F.col("c_label")).select(F.least("key", "c").alias("a"), F.greatest("key", "c").alias("b")).distinct()
+    side = lambda x: signed.select(F.col("key").alias(x), F.col("signature").alias(f"signature_{x}"))
+    agreed = F.aggregate(F.zip_with("signature_a", "signature_b", lambda x, y: (x == y).cast("int")), F.lit(0), lambda s, x: s + x)
+    return met.join(side("a"), "a").join(side("b"), "b").where(agreed >= LEAST_AGREED * SIZE).select("a", "b")
 
 
 def near_duplicates(df: DataFrame) -> DataFrame:
