@@ -67,6 +67,15 @@ def cut(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Rows of a few columns (ids, digests) that may be broadcast: some tens of MB at most.
+BROADCAST_ROWS = 250_000
+
+
+def sized(df: DataFrame) -> DataFrame:
+    """df of cut(), marked for a broadcast if it has at most BROADCAST_ROWS rows; beyond that Spark joins by a shuffle."""
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+
+
 class Generations(dict):
     """A worker's cache of at most 2 * cap entries. When cap new ones are in, those become the old generation and the former old one goes; entries in use move up."""
 

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_batches, cut, texts
+from .common import by_batches, cut, sized, texts
 from .words import blocks, mix, run_hashes
 
 SHINGLE, THRESHOLD = 5, 0.8
@@ -97,7 +97,7 @@ def sign(nodes: DataFrame) -> DataFrame:
 def verify(pairs: DataFrame, words: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """Those pairs (a, b) whose texts have a similarity of threshold or more; words: key, text."""
     ends = cut(pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct())
-    known = cut(words.join(ends, "key", "left_semi").groupBy("key").agg(F.first("text").alias("text")))  # equal keys, equal texts but for case
+    known = cut(words.join(sized(ends), "key", "left_semi").groupBy("key").agg(F.first("text").alias("text")))  # equal keys, equal texts but for case
     side = lambda x: known.select(F.col("key").alias(x), F.col("text").alias(f"text_{x}"))
 
     def run(batch: pa.RecordBatch):
@@ -179,4 +179,4 @@ def near_duplicates(df: DataFrame) -> DataFrame:
 def keep_one(df: DataFrame) -> DataFrame:
     """df without the documents whose group has a member with a smaller doc_id; rows that share a doc_id stay or go together, rows without one stay."""
     gone = cut(near_duplicates(df).where(F.col("class_id") < F.col("doc_id")).select(F.col("doc_id").alias("__gone")).distinct())
-    return df.join(gone, F.col("doc_id") == F.col("__gone"), "left_anti")
+    return df.join(sized(gone), F.col("doc_id") == F.col("__gone"), "left_anti")
