@@ -20,7 +20,8 @@ from .common import by_batches, held_out, texts
 
 POSITIVE, UNLABELLED = 3000, 6000
 #: The estimated prior times this is used: a prior that is too high lets the risk of the negatives reach zero too early, one a little too low does no harm.
-MARGIN = 0.97
+#: This and RATE had the best accuracy of 12 settings over four folds of the labels that may be learnt from.
+MARGIN = 0.94
 THRESHOLD, KINDS, EPOCHS, RATE, DECAY, SEED = 0.3, 32, 60, 0.02, 1e-4, 11
 
 
