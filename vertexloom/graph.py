@@ -53,6 +53,10 @@ class Graph:
         own = self.edges.groupBy("src").agg(F.array_sort(F.collect_list("dst")).alias("neighbours"))
         return self.vertices.join(own, F.col("id") == F.col("src"), "left").select("id", F.coalesce("neighbours", F.array().cast("array<long>")).alias("neighbours"))
 
+    def in_adjacency(self) -> DataFrame:
+        """id and the sorted sources of its in-edges: a view of the same edges, so nothing is kept twice or gets out of step."""
+        return self.reverse().adjacency()
+
     def neighbours(self, vertex: int) -> DataFrame:
         return self.edges.where(F.col("src") == vertex).select(F.col("dst").alias("id"))
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -34,12 +35,41 @@ def set_edge_attribute(values: DataFrame, new: DataFrame) -> DataFrame:
     return values.join(new, ["src", "dst"], "left_anti").unionByName(new)
 
 
-def for_each_vertex(g: Graph, visit: Callable) -> None:
-    g.vertices.foreachPartition(lambda rows: [visit(r) for r in rows] and None)
+def has_edge(g: Graph, pairs: DataFrame) -> DataFrame:
+    """src, dst of each given pair and whether it is an edge."""
+    e = g.edges.select("src", "dst", F.lit(True).alias("is_edge")).distinct()
+    return pairs.select("src", "dst").join(e, ["src", "dst"], "left").withColumn("is_edge", F.coalesce("is_edge", F.lit(False)))
 
 
-def for_each_edge(g: Graph, visit: Callable) -> None:
-    g.edges.foreachPartition(lambda rows: [visit(r) for r in rows] and None)
+def extreme(values: DataFrame, value: str, greatest: bool = True, keep: Column | None = None) -> DataFrame:
+    """The row (id, value) with the greatest or least value among those that fulfil keep, the least id of equals; empty without rows."""
+    some = values.where(F.col(value).isNotNull()).where(F.lit(True) if keep is None else keep)
+    return some.select("id", value).orderBy(F.desc(value) if greatest else F.asc(value), "id").limit(1)
+
+
+def _visit(df: DataFrame, visit: Callable) -> int:
+    def run(batches):
+        for batch in batches:
+            for row in batch.to_pylist():
+                visit(row)
+            yield pa.RecordBatch.from_pydict({"n": pa.array([batch.num_rows], pa.int64())})
+
+    return df.mapInArrow(run, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+
+
+def for_each_vertex(g: Graph, visit: Callable[[dict], None]) -> int:
+    """Call visit in the workers with a dict of each vertex's columns, and return how many there were. A task that is repeated visits its rows again."""
+    return _visit(g.vertices, visit)
+
+
+def for_each_edge(g: Graph, visit: Callable[[dict], None], values: DataFrame | None = None) -> int:
+    """The same for edges, with their attribute (src, dst, attr of values; null where unset) if values are given."""
+    return _visit(g.edges if values is None else edge_attribute(g, values, F.lit(None)), visit)
+
+
+def for_each_triplet(g: Graph, attribute: str, visit: Callable[[dict], None]) -> int:
+    """The same for edges with the attribute of both ends."""
+    return _visit(triplets(g, attribute), visit)
 
 
 def pregel(g: Graph, start: Column, send: Column, combine: Callable[[Column], Column], apply: Column, most: int | None = None, listen=None) -> DataFrame:

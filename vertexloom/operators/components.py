@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..graph import Graph
-from ..plans.loop import settle, until_still
+from ..plans.loop import settle, settle_counting, until_still
 
 
 def least_ancestors(g: Graph) -> DataFrame:
@@ -49,16 +49,17 @@ def largest(labels: DataFrame) -> DataFrame:
 
 def trim(vertices: DataFrame, edges: DataFrame, most: int | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Vertices without a remaining in- or out-edge are components of their own: those, and the vertices and edges that stay."""
-    gone, turn = [], 0
+    gone, turn, left = [], 0, vertices.count()
     while most is None or turn < most:
         turn += 1
         core = edges.select(F.col("src").alias("id")).intersect(edges.select(F.col("dst").alias("id")))
-        core = settle(vertices.join(core, "id", "left_semi"))
+        core, n = settle_counting(vertices.join(core, "id", "left_semi"))
         gone.append(vertices.join(core, "id", "left_anti"))
-        before, vertices = vertices, core
+        vertices = core
         edges = settle(edges.join(core, edges["src"] == core["id"], "left_semi").join(core, edges["dst"] == core["id"], "left_semi"))
-        if before.count() == core.count():
+        if n == left or not n:
             break
+        left = n
     out = gone[0]
     for x in gone[1:]:
         out = out.union(x)
@@ -77,11 +78,11 @@ def strongly_connected(g: Graph) -> DataFrame:
         colour = settle(least_ancestors(Graph(vertices, edges)))
         c = lambda end: colour.select(F.col("id").alias(end), F.col("label").alias(f"{end}_label"))
         inside = settle(edges.join(c("src"), "src").join(c("dst"), "dst").where("src_label = dst_label").select("src", "dst"))
-        front = settle(colour.where("id = label"))
+        front, n = settle_counting(colour.where("id = label"))
         reached = front
-        while front.limit(1).count():
+        while n:
             back = front.join(inside, F.col("id") == F.col("dst")).select(F.col("src").alias("id"), "label").distinct()
-            front = settle(back.join(reached.select("id"), "id", "left_anti"))
+            front, n = settle_counting(back.join(reached.select("id"), "id", "left_anti"))
             reached = settle(reached.union(front))
         done = settle(done.union(reached))
         vertices = settle(vertices.join(reached, "id", "left_anti"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.ids import draw
 from ..graph import Graph
 from ..plans.loop import settle
 from .metrics import max_degree
@@ -48,7 +49,7 @@ def hybrid_distribution(g: Graph, share: float, seed: int = 0, batch: int = 64)
     ends = e.agg(F.min("ecc").alias("a"), F.max("ecc").alias("b"))
     rows = e.crossJoin(F.broadcast(ends))  # one row
     exact = (F.col("ecc") == F.col("a")) | (F.col("ecc") == F.col("b"))
-    rows = rows.where(exact | (F.pmod(F.xxhash64(F.lit(seed), "id"), F.lit(1 << 20)) < share * (1 << 20)))
+    rows = rows.where(exact | (draw(seed, 1 << 20, "id") < share * (1 << 20)))
     return rows.groupBy(F.col("ecc").alias("value")).agg(F.sum(F.when(exact, 1).otherwise(round(1 / share))).cast("long").alias("n"))
 
 

@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.ids import draw, owner
 from ..graph import Graph
 
+
 def vertex_count(g: Graph, keep: Column | None = None) -> DataFrame:
     return g.vertices.where(F.lit(True) if keep is None else keep).agg(F.count("*").alias("vertices"))
 
@@ -47,17 +49,25 @@ def neighbourless(g: Graph) -> DataFrame:
 
 def per_part(g: Graph, parts: int) -> DataFrame:
     """Vertices, out-edges and in-edges that belong to each part, id modulo parts being a vertex's part."""
-    of = lambda df, key, name: df.select(F.pmod(key, F.lit(parts)).alias("part"), *(F.lit(int(name == x)).alias(x) for x in ("vertices", "out_edges", "in_edges")))
+    of = lambda df, key, name: df.select(owner(key, parts).alias("part"), *(F.lit(int(name == x)).alias(x) for x in ("vertices", "out_edges", "in_edges")))
     rows = of(g.vertices, "id", "vertices").union(of(g.edges, "src", "out_edges")).union(of(g.edges, "dst", "in_edges"))
     return rows.groupBy("part").agg(*(F.sum(x).cast("long").alias(x) for x in ("vertices", "out_edges", "in_edges")))
 
 
 def edge_locality(g: Graph, parts: int) -> DataFrame:
     """Edges whose ends belong to the same part, all edges, and their ratio."""
-    same = (F.pmod("src", F.lit(parts)) == F.pmod("dst", F.lit(parts))).cast("long")
+    same = (owner("src", parts) == owner("dst", parts)).cast("long")
     return g.edges.agg(F.coalesce(F.sum(same), F.lit(0)).alias("local"), F.count("*").alias("total")).withColumn("ratio", F.round(F.try_divide("local", "total"), 6))
 
 
+def locality_of(g: Graph, parts: DataFrame) -> DataFrame:
+    """edge_locality by a table of owners (id, part); ends without an owner share none."""
+    end = lambda x: parts.select(F.col("id").alias(x), F.col("part").alias(f"{x}_part"))
+    known = g.edges.select("src", "dst").join(end("src"), "src", "left").join(end("dst"), "dst", "left")
+    same = F.coalesce(F.col("src_part") == F.col("dst_part"), F.lit(False)).cast("long")
+    return known.agg(F.coalesce(F.sum(same), F.lit(0)).alias("local"), F.count("*").alias("total")).withColumn("ratio", F.round(F.try_divide("local", "total"), 6))
+
+
 def two_cycles(g: Graph) -> DataFrame:
     """Ordered pairs with edges both ways; a self-loop counts once."""
     back = g.edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
@@ -66,7 +76,7 @@ def two_cycles(g: Graph) -> DataFrame:
 
 def two_cycles_estimate(g: Graph, factor: int, seed: int = 0) -> DataFrame:
     """The count over a hashed 1/factor of the sources, times factor."""
-    some = Graph(g.vertices, g.edges.where(F.pmod(F.xxhash64(F.lit(seed), "src"), F.lit(factor)) == 0))
+    some = Graph(g.vertices, g.edges.where(draw(seed, factor, "src") == 0))
     back = g.edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
     return some.edges.join(back, ["src", "dst"], "left_semi").agg((F.count("*") * factor).alias("n"))
 

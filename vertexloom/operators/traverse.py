@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.ids import draw
 from ..graph import Graph
-from ..plans.loop import settle
+from ..plans.loop import settle, settle_counting
 
 
 def bfs_from(g: Graph, sources: DataFrame, neighbour_if: Column | None = None, most: int | None = None, listen=None) -> DataFrame:
@@ -15,12 +16,12 @@ def bfs_from(g: Graph, sources: DataFrame, neighbour_if: Column | None = None, m
     The condition, over id, is on neighbours; a source always counts. pred is the least vertex of the level before (null at the source). Unreached vertices have no row.
     """
     edges = g.edges.select("src", F.col("dst").alias("id")).where(F.lit(True) if neighbour_if is None else neighbour_if).repartition("src").persist()
-    front = settle(sources.select(F.col("id").alias("source"), "id", F.lit(0).cast("long").alias("dist"), F.lit(None).cast("long").alias("pred")).distinct())
+    front, n = settle_counting(sources.select(F.col("id").alias("source"), "id", F.lit(0).cast("long").alias("dist"), F.lit(None).cast("long").alias("pred")).distinct())
     seen, depth = front, 0
-    while (most is None or depth < most) and front.limit(1).count():
+    while n and (most is None or depth < most):
         depth += 1
         step = front.select("source", F.col("id").alias("src")).join(edges, "src").groupBy("source", "id").agg(F.min("src").alias("pred"))
-        front = settle(step.join(seen.select("source", "id"), ["source", "id"], "left_anti").select("source", "id", F.lit(depth).cast("long").alias("dist"), "pred"))
+        front, n = settle_counting(step.join(seen.select("source", "id"), ["source", "id"], "left_anti").select("source", "id", F.lit(depth).cast("long").alias("dist"), "pred"))
         seen = seen.union(front)
         if depth % 8 == 0:
             seen = settle(seen)
@@ -41,6 +42,17 @@ def farthest(reached: DataFrame) -> DataFrame:
     return reached.agg(F.min(F.struct((-F.col("dist")).alias("d"), "id")).alias("x")).select(F.col("x.id").alias("id"), (-F.col("x.d")).alias("dist"))
 
 
+def visit_order(reached: DataFrame) -> DataFrame:
+    """place, id, dist: the order in which a queue that takes neighbours by id meets whole levels, so by distance, then id.
+
+    The number of vertices of earlier levels is added to a place within the level, so no window spans all rows; a level is one group of the window.
+    """
+    level = reached.groupBy("dist").agg(F.count("*").alias("n"))
+    before = level.select(F.col("dist").alias("d"), F.coalesce(F.sum("n").over(Window.orderBy("dist").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))  # a row a level
+    place = F.row_number().over(Window.partitionBy("dist").orderBy("id")) - 1 + F.col("before")
+    return reached.join(before, F.col("dist") == F.col("d")).select(place.cast("long").alias("place"), "id", "dist")
+
+
 def shortest_path(reached: DataFrame, target: int) -> list[int]:
     """The vertices from the source to target along predecessors; only the path itself comes to the driver."""
     row = reached.where(F.col("id") == target).first()
@@ -58,13 +70,13 @@ def shortest_distances(g: Graph, source: int, weight: str | None = None) -> Data
     w = F.lit(1).cast("long") if weight is None else F.col(weight)
     edges = g.edges.select("src", "dst", w.alias("w")).repartition("src").persist()
     start = F.lit(0).cast("double" if weight else "long")
-    best = settle(g.vertices.sparkSession.range(1).select(F.lit(source).cast("long").alias("id"), start.alias("dist"), F.lit(-1).cast("long").alias("pred")))
+    best, n = settle_counting(g.vertices.sparkSession.range(1).select(F.lit(source).cast("long").alias("id"), start.alias("dist"), F.lit(-1).cast("long").alias("pred")))
     front = best
-    while front.limit(1).count():
+    while n:
         more = front.join(edges, front["id"] == edges["src"]).groupBy(F.col("dst").alias("id")).agg(F.min(F.struct((F.col("dist") + F.col("w")).alias("dist"), F.col("src").alias("pred"))).alias("new"))
         both = more.join(best, "id", "left")
         better = F.col("dist").isNull() | (F.col("new.dist") < F.col("dist")) | ((F.col("new.dist") == F.col("dist")) & (F.col("new.pred") < F.col("pred")) & (F.col("pred") >= 0))
-        front = settle(both.where(better).select("id", F.col("new.dist").alias("dist"), F.col("new.pred").alias("pred")))
+        front, n = settle_counting(both.where(better).select("id", F.col("new.dist").alias("dist"), F.col("new.pred").alias("pred")))
         best = settle(best.join(front, "id", "left_anti").union(front))
     edges.unpersist()
     return best
@@ -76,7 +88,7 @@ def random_walk(g: Graph, sources: DataFrame, steps: int, seed: int = 0, neighbo
     at = settle(sources.select(F.col("id")).withColumn("walker", F.xxhash64("id")))
     visits = at.groupBy("id").agg(F.count("*").alias("n"))
     for step in range(1, steps + 1):
-        pick = F.col("neighbours")[F.pmod(F.xxhash64(F.lit(seed), "walker", F.lit(step)), F.size("neighbours")).cast("int")]
+        pick = F.col("neighbours")[draw(seed, F.size("neighbours"), "walker", F.lit(step)).cast("int")]
         at = settle(at.join(adj, "id").select(pick.alias("id"), "walker").where(F.lit(True) if neighbour_if is None else neighbour_if))
         visits = visits.union(at.groupBy("id").agg(F.count("*").alias("n")))
     out = settle(visits.groupBy("id").agg(F.sum("n").alias("visits")))

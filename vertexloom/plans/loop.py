@@ -3,29 +3,44 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 
-def settle(df: DataFrame) -> DataFrame:
-    """Checkpoint df in spark.checkpoint.dir, which all executors share; only where it is unset (tests) in a folder of our own."""
-    sc = df.sparkSession.sparkContext
+def shared_folder(spark: SparkSession) -> str:
+    """A folder of our own in spark.checkpoint.dir, which all executors share; only where that is unset (tests) a local one."""
+    sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         folder = sc.getConf().get("spark.checkpoint.dir")
         if not folder and not sc.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="vertexloom-"))
+    return f"{sc.getCheckpointDir()}/{uuid.uuid4().hex}"
+
+
+def settle(df: DataFrame) -> DataFrame:
+    """Checkpoint df in the shared folder."""
+    if df.sparkSession.sparkContext.getCheckpointDir() is None:
+        shared_folder(df.sparkSession)
     return df.checkpoint()
 
 
+def settle_counting(df: DataFrame, condition: str = "true") -> tuple[DataFrame, int]:
+    """df settled, and how many of its rows fulfil a SQL condition, counted while they are written; a stage that runs twice may count twice, 0 stays exact."""
+    seen = Observation()
+    df = settle(df.observe(seen, F.count_if(F.expr(condition)).alias("n")))
+    return df, seen.get["n"]
+
+
 def until_still(state: DataFrame, step: Callable[[DataFrame], DataFrame], changed: str, most: int | None = None, listen: Callable[[int, int], None] | None = None) -> DataFrame:
     """Repeat step on a settled state until no row fulfils the SQL condition changed, or `most` times; listen gets the superstep and the number of changed rows."""
     turn = 0
     while most is None or turn < most:
-        state = settle(step(state))
+        state, n = settle_counting(step(state), changed)
         turn += 1
-        n = state.where(changed).count()
         if listen:
             listen(turn, n)
         if not n:

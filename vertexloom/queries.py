@@ -9,29 +9,36 @@ from pyspark.sql import functions as F
 
 from .graph import Graph
 from .operators import attributes, components, extent, generate, metrics, rank, traverse
+from .plans.loop import settle, shared_folder
+from .sources import text
+from .streaming import edges
 
 PARTS = 4
 _SUCC = """SELECT DISTINCT src, dst FROM (SELECT l_partkey AS src, lead(l_partkey) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS dst
-FROM {lineitem} WHERE l_quantity >= {q}) WHERE dst IS NOT NULL"""
+FROM {lineitem}{where}) WHERE dst IS NOT NULL"""
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 
+def _where(q: int) -> str:
+    return f" WHERE l_quantity >= {q}" if q else ""
+
+
 def succession(spark: SparkSession, sf_dir: str, q: int, undirected: bool = False) -> Graph:
-    """Parts that follow one another in an order, among lines of at least q pieces."""
-    e = spark.sql(_SUCC.format(lineitem="{lines}", q=q), lines=spark.read.parquet(f"{sf_dir}/lineitem.parquet"))
+    """Parts that follow one another in an order: of all lines (0), or of the large ones of q pieces or more, whose graph is sparse and therefore deep."""
+    e = spark.sql(_SUCC.format(lineitem="{lines}", where=_where(q)), lines=spark.read.parquet(f"{sf_dir}/lineitem.parquet"))
     return Graph.from_edges(e, undirected=undirected)
 
 
 def priced(spark: SparkSession, sf_dir: str) -> Graph:
-    """succession(40) with the parts' sizes as vertex attributes."""
-    g = succession(spark, sf_dir, 40)
+    """succession of all lines with the parts' sizes as vertex attributes."""
+    g = succession(spark, sf_dir, 0)
     part = spark.read.parquet(f"{sf_dir}/part.parquet").select(F.col("p_partkey").alias("id"), F.col("p_size").cast("long").alias("attr"))
     return Graph(g.vertices.join(part, "id", "left").select("id", F.coalesce("attr", F.lit(0)).alias("attr")), g.edges)
 
 
 def _e(q: int, undirected: bool = False) -> str:
-    s = _SUCC.format(lineitem="lineitem", q=q)
+    s = _SUCC.format(lineitem="lineitem", where=_where(q))
     return f"e AS (SELECT * FROM ({s}) UNION SELECT dst, src FROM ({s}))" if undirected else f"e AS ({s})"
 
 
@@ -41,7 +48,9 @@ _D = "d AS (SELECT v.id, count(e.src) AS degree FROM v LEFT JOIN e ON v.id = e.s
 _DEPTH = 48
 _BFS = "w AS (SELECT (SELECT min(id) FROM v) AS id, 0 AS dist UNION SELECT e.dst, w.dist + 1 FROM w JOIN e ON e.src = w.id WHERE w.dist < {n}{only}), b AS (SELECT id, min(dist) AS dist FROM w GROUP BY id)"
 _REACH = "r AS (SELECT id AS a, id AS b FROM v UNION SELECT r.a, e.dst FROM r JOIN e ON e.src = r.b)"
-_ALL = "w AS (SELECT id AS s, id, 0 AS dist FROM v UNION SELECT w.s, e.dst, w.dist + 1 FROM w JOIN e ON e.src = w.id WHERE w.dist < {n}), x AS (SELECT s AS id, max(dist) AS ecc FROM (SELECT s, id, min(dist) AS dist FROM w GROUP BY s, id) GROUP BY s)"
+_ALL = "w(s, id, dist) USING KEY (s, id) AS (SELECT id, id, 0::BIGINT FROM v UNION SELECT DISTINCT w.s, e.dst, w.dist + 1 FROM w JOIN e ON e.src = w.id WHERE (w.s, e.dst) NOT IN (SELECT (s, id) FROM recurring.w)), x AS (SELECT s AS id, max(dist) AS ecc FROM w GROUP BY s)"
+#: With predecessors (the least of the level before) and the path from the least vertex to the farthest.
+_PATH = "q AS (SELECT b.id, b.dist, min(p.id) AS pred FROM b LEFT JOIN (SELECT e.dst, p.id, p.dist FROM e JOIN b AS p ON p.id = e.src) AS p ON p.dst = b.id AND p.dist = b.dist - 1 GROUP BY b.id, b.dist), path AS (SELECT * FROM (SELECT * FROM q ORDER BY dist DESC, id LIMIT 1) UNION ALL SELECT q.id, q.dist, q.pred FROM path JOIN q ON q.id = path.pred)"
 
 
 def _with(*parts: str, end: str) -> str:
@@ -58,141 +67,146 @@ def query(sql: str | None = None):
     return add
 
 
-@query(_with(_e(40), _V, end="SELECT count(*) AS vertices FROM v"))
+@query(_with(_e(0), _V, end="SELECT count(*) AS vertices FROM v"))
 def vertex_count(spark, d):
-    return metrics.vertex_count(succession(spark, d, 40))
+    return metrics.vertex_count(succession(spark, d, 0))
 
 
-@query(_with(_e(40), _V, end="SELECT count(*) AS vertices FROM v WHERE id % 3 = 1"))
+@query(_with(_e(0), _V, end="SELECT count(*) AS vertices FROM v WHERE id % 3 = 1"))
 def vertex_count_filtered(spark, d):
-    return metrics.vertex_count(succession(spark, d, 40), F.col("id") % 3 == 1)
+    return metrics.vertex_count(succession(spark, d, 0), F.col("id") % 3 == 1)
 
 
-@query(_with(_e(40), end="SELECT count(*) AS edges FROM e"))
+@query(_with(_e(0), end="SELECT count(*) AS edges FROM e"))
 def edge_count(spark, d):
-    return metrics.edge_count(succession(spark, d, 40))
+    return metrics.edge_count(succession(spark, d, 0))
 
 
-@query(_with(_e(40), _V, end="SELECT (SELECT count(*) FROM v) AS vertices, count(*) AS edges, round(count(*) / (SELECT count(*) FROM v), 6) AS average FROM e"))
+@query(_with(_e(0), _V, end="SELECT (SELECT count(*) FROM v) AS vertices, count(*) AS edges, round(count(*) / (SELECT count(*) FROM v), 6) AS average FROM e"))
 def avg_degree(spark, d):
-    return metrics.summary(succession(spark, d, 40)).withColumn("average", F.round("average", 6))
+    return metrics.summary(succession(spark, d, 0)).withColumn("average", F.round("average", 6))
 
 
-@query(_with(_e(40), _V, _D, end="SELECT id, degree FROM d ORDER BY degree DESC, id LIMIT 1"))
+@query(_with(_e(0), _V, _D, end="SELECT id, degree FROM d ORDER BY degree DESC, id LIMIT 1"))
 def max_degree(spark, d):
-    return metrics.max_degree(succession(spark, d, 40))
+    return metrics.max_degree(succession(spark, d, 0))
 
 
-@query(_with(_e(40), _V, _D, end="SELECT id, degree FROM d"))
+@query(_with(_e(0), _V, _D, end="SELECT id, degree FROM d"))
 def out_degrees(spark, d):
-    return metrics.out_degrees(succession(spark, d, 40))
+    return metrics.out_degrees(succession(spark, d, 0))
 
 
-@query(_with(_e(40), _V, _D, end="SELECT degree AS value, count(*) AS n FROM d GROUP BY degree"))
+@query(_with(_e(0), _V, _D, end="SELECT degree AS value, count(*) AS n FROM d GROUP BY degree"))
 def degree_distribution(spark, d):
-    return metrics.degree_distribution(succession(spark, d, 40))
+    return metrics.degree_distribution(succession(spark, d, 0))
 
 
-@query(_with(_e(40), _V, end="SELECT count(*) AS n FROM v WHERE id NOT IN (SELECT src FROM e)"))
+@query(_with(_e(0), _V, end="SELECT count(*) AS n FROM v WHERE id NOT IN (SELECT src FROM e)"))
 def neighborless_count(spark, d):
-    return metrics.neighbourless(succession(spark, d, 40))
+    return metrics.neighbourless(succession(spark, d, 0))
 
 
 @query(
     _with(
-        _e(40),
+        _e(0),
         _V,
         end=f"SELECT part, sum(a)::BIGINT AS vertices, sum(b)::BIGINT AS out_edges, sum(c)::BIGINT AS in_edges FROM (SELECT id % {PARTS} AS part, 1 AS a, 0 AS b, 0 AS c FROM v UNION ALL SELECT src % {PARTS}, 0, 1, 0 FROM e UNION ALL SELECT dst % {PARTS}, 0, 0, 1 FROM e) GROUP BY part",
     )
 )
 def edges_vertices_per_part(spark, d):
-    return metrics.per_part(succession(spark, d, 40), PARTS)
+    return metrics.per_part(succession(spark, d, 0), PARTS)
 
 
-@query(_with(_e(40), end=f"SELECT sum((src % {PARTS} = dst % {PARTS})::INT)::BIGINT AS local, count(*) AS total, round(sum((src % {PARTS} = dst % {PARTS})::INT) / count(*), 6) AS ratio FROM e"))
+@query(_with(_e(0), end=f"SELECT sum((src % {PARTS} = dst % {PARTS})::INT)::BIGINT AS local, count(*) AS total, round(sum((src % {PARTS} = dst % {PARTS})::INT) / count(*), 6) AS ratio FROM e"))
 def edge_locality(spark, d):
-    return metrics.edge_locality(succession(spark, d, 40), PARTS)
+    return metrics.edge_locality(succession(spark, d, 0), PARTS)
 
 
-@query(_with(_e(40), end="SELECT count(*) AS n FROM e JOIN e AS f ON e.src = f.dst AND e.dst = f.src"))
+@query(_with(_e(0), end="SELECT count(*) AS n FROM e JOIN e AS f ON e.src = f.dst AND e.dst = f.src"))
 def two_cycles(spark, d):
-    return metrics.two_cycles(succession(spark, d, 40))
+    return metrics.two_cycles(succession(spark, d, 0))
 
 
 @query()
 def two_cycles_estimate(spark, d):
-    return metrics.two_cycles_estimate(succession(spark, d, 40, True), 4)
+    return metrics.two_cycles_estimate(succession(spark, d, 0, True), 4)
 
 
-@query(_with(_e(40), end="SELECT false AS wide, count(*) AS sets, (sum(n) * 8)::BIGINT AS bytes FROM (SELECT src, count(*) AS n FROM e GROUP BY src)"))
+@query(_with(_e(0), end="SELECT false AS wide, count(*) AS sets, (sum(n) * 8)::BIGINT AS bytes FROM (SELECT src, count(*) AS n FROM e GROUP BY src)"))
 def set_footprint(spark, d):
-    return metrics.wide_sets(succession(spark, d, 40))
+    return metrics.wide_sets(succession(spark, d, 0))
 
 
-@query(_with(_e(40), end="SELECT dst AS src, src AS dst FROM e"))
+@query(_with(_e(0), end="SELECT dst AS src, src AS dst FROM e"))
 def reverse_edges(spark, d):
-    return succession(spark, d, 40).reverse().edges.select("src", "dst")
+    return succession(spark, d, 0).reverse().edges.select("src", "dst")
 
 
-@query(_with(_e(40, True), end="SELECT src, dst FROM e"))
+@query(_with(_e(0, True), end="SELECT src, dst FROM e"))
 def undirected_edges(spark, d):
-    return succession(spark, d, 40).undirected().edges
+    return succession(spark, d, 0).undirected().edges
 
 
-@query(_with(_e(40), _V, end="SELECT id, coalesce(string_agg(dst::VARCHAR, ',' ORDER BY dst), '') AS neighbours FROM v LEFT JOIN e ON id = src GROUP BY id"))
+@query(_with(_e(0), _V, end="SELECT id, coalesce(string_agg(dst::VARCHAR, ',' ORDER BY dst), '') AS neighbours FROM v LEFT JOIN e ON id = src GROUP BY id"))
 def adjacency(spark, d):
-    return succession(spark, d, 40).adjacency().select("id", F.array_join(F.transform("neighbours", lambda x: x.cast("string")), ",").alias("neighbours"))
+    return succession(spark, d, 0).adjacency().select("id", F.array_join(F.transform("neighbours", lambda x: x.cast("string")), ",").alias("neighbours"))
 
 
-@query(_with(_e(40), end="SELECT src, dst FROM e WHERE (src + dst) % 5 <> 0"))
+@query(_with(_e(0), end="SELECT src, dst FROM e WHERE (src + dst) % 5 <> 0"))
 def remove_edges(spark, d):
-    g = succession(spark, d, 40)
+    g = succession(spark, d, 0)
     return g.without_edges(g.edges.where((F.col("src") + F.col("dst")) % 5 == 0)).edges.select("src", "dst")
 
 
-@query(_with(_e(40), end="SELECT src, dst FROM e UNION SELECT range, range + 1 FROM range(50)"))
+@query(_with(_e(0), end="SELECT src, dst FROM e UNION SELECT range, range + 1 FROM range(50)"))
 def add_edges(spark, d):
-    return succession(spark, d, 40).with_edges(spark.range(50).select(F.col("id").alias("src"), (F.col("id") + 1).alias("dst"))).edges
+    return succession(spark, d, 0).with_edges(spark.range(50).select(F.col("id").alias("src"), (F.col("id") + 1).alias("dst"))).edges
 
 
-@query(_with(_e(40), end="SELECT src, dst FROM e WHERE src % 7 <> 0 UNION SELECT DISTINCT src, 1 FROM e WHERE src % 7 = 0"))
+@query(_with(_e(0), end="SELECT src, dst FROM e WHERE src % 7 <> 0 UNION SELECT DISTINCT src, 1 FROM e WHERE src % 7 = 0"))
 def set_neighbours(spark, d):
-    g = succession(spark, d, 40)
+    g = succession(spark, d, 0)
     own = g.edges.where("src % 7 = 0").select(F.col("src").alias("id")).distinct()
     return g.with_neighbours(own.select(F.col("id").alias("src"), F.lit(1).cast("long").alias("dst")), own).edges
 
 
-@query(_with(_e(40), end="SELECT src, dst FROM e WHERE src % 3 <> 0 AND dst % 3 <> 0"))
+@query(_with(_e(0), end="SELECT src, dst FROM e WHERE src % 3 <> 0 AND dst % 3 <> 0"))
 def induced_subgraph(spark, d):
-    return succession(spark, d, 40).induced(F.col("id") % 3 != 0).edges.select("src", "dst")
+    return succession(spark, d, 0).induced(F.col("id") % 3 != 0).edges.select("src", "dst")
 
 
-@query(_with(_e(40), _V, end="SELECT id FROM v WHERE id % 10 = 3"))
+@query(_with(_e(0), _V, end="SELECT id FROM v WHERE id % 10 = 3"))
 def vertex_search(spark, d):
-    return attributes.search(succession(spark, d, 40), F.col("id") % 10 == 3)
+    return attributes.search(succession(spark, d, 0), F.col("id") % 10 == 3)
 
 
-@query(_with(_e(40), end="SELECT dst AS id FROM e WHERE src = (SELECT min(src) FROM e)"))
+for _name, _side in (("vertices", "id FROM v"), ("out_edges", "src FROM e"), ("in_edges", "dst FROM e")):
+    QUERIES[f"{_name}_per_part"] = lambda spark, d, _name=_name: metrics.per_part(succession(spark, d, 0), PARTS).select("part", _name)
+    ORACLES[f"{_name}_per_part"] = _with(_e(0), _V, end=f"SELECT x % {PARTS} AS part, count(*) AS {_name} FROM (SELECT {_side.replace(' FROM', ' AS x FROM')}) GROUP BY part")
+
+
+@query(_with(_e(0), end="SELECT dst AS id FROM e WHERE src = (SELECT min(src) FROM e)"))
 def neighbors_out(spark, d):
-    g = succession(spark, d, 40)
+    g = succession(spark, d, 0)
     return g.neighbours(g.edges.agg(F.min("src")).first()[0])
 
 
-@query(_with(_e(40), end="SELECT src AS id FROM e WHERE dst = (SELECT min(src) FROM e)"))
+@query(_with(_e(0), end="SELECT src AS id FROM e WHERE dst = (SELECT min(src) FROM e)"))
 def neighbors_in(spark, d):
-    g = succession(spark, d, 40)
+    g = succession(spark, d, 0)
     return g.reverse().neighbours(g.edges.agg(F.min("src")).first()[0])
 
 
-@query(_with(_e(40), end="SELECT DISTINCT src // 10 AS src, dst // 10 AS dst FROM e WHERE src // 10 <> dst // 10"))
+@query(_with(_e(0), end="SELECT DISTINCT src // 10 AS src, dst // 10 AS dst FROM e WHERE src // 10 <> dst // 10"))
 def contract_edges(spark, d):
-    g = succession(spark, d, 40)
+    g = succession(spark, d, 0)
     return g.contract(g.vertices.select("id", F.floor(F.col("id") / 10).alias("label"))).edges
 
 
-@query(_with(_e(40), _V, end="SELECT id, (id // 10) // 10 AS label FROM v"))
+@query(_with(_e(0), _V, end="SELECT id, (id // 10) // 10 AS label FROM v"))
 def compose_labels(spark, d):
-    left = succession(spark, d, 40).vertices.select("id", F.floor(F.col("id") / 10).alias("label"))
+    left = succession(spark, d, 0).vertices.select("id", F.floor(F.col("id") / 10).alias("label"))
     right = left.select(F.col("label").alias("id")).distinct().select("id", F.floor(F.col("id") / 10).alias("label"))
     return components.compose(left, right)
 
@@ -200,27 +214,112 @@ def compose_labels(spark, d):
 _ATTR = "a AS (SELECT v.id, coalesce(p_size, 0)::BIGINT AS attr FROM v LEFT JOIN part ON p_partkey = v.id)"
 
 
-@query(_with(_e(40), _V, _ATTR, end="SELECT id, attr * 2 + id AS value FROM a"))
+@query(_with(_e(0), _V, _ATTR, end="SELECT id, attr * 2 + id AS value FROM a"))
 def map_vertices(spark, d):
     return attributes.map_vertices(priced(spark, d), F.col("attr") * 2 + F.col("id"))
 
 
-@query(_with(_e(40), _V, _ATTR, end="SELECT e.src, e.dst, s.attr AS src_attr, t.attr AS dst_attr FROM e JOIN a AS s ON s.id = e.src JOIN a AS t ON t.id = e.dst"))
+@query(_with(_e(0), _V, _ATTR, end="SELECT e.src, e.dst, s.attr AS src_attr, t.attr AS dst_attr FROM e JOIN a AS s ON s.id = e.src JOIN a AS t ON t.id = e.dst"))
 def edge_triplets(spark, d):
     return attributes.triplets(priced(spark, d), "attr")
 
 
-@query(_with(_e(40), _V, _ATTR, end="SELECT e.src, e.dst FROM e JOIN a AS s ON s.id = e.src JOIN a AS t ON t.id = e.dst WHERE s.attr > 10 AND t.attr > 10"))
+@query(_with(_e(0), _V, _ATTR, end="SELECT e.src, e.dst FROM e JOIN a AS s ON s.id = e.src JOIN a AS t ON t.id = e.dst WHERE s.attr > 10 AND t.attr > 10"))
 def induced_by_attribute(spark, d):
     return priced(spark, d).induced(F.col("attr") > 10).edges
 
 
-@query(_with(_e(40), end="SELECT src, dst, CASE WHEN src % 2 = 0 THEN src + dst ELSE -1 END AS attr FROM e"))
+@query(_with(_e(0), end="SELECT src, dst, CASE WHEN src % 2 = 0 THEN src + dst ELSE -1 END AS attr FROM e"))
 def edge_attr_lookup(spark, d):
-    g = succession(spark, d, 40)
+    g = succession(spark, d, 0)
     return attributes.edge_attribute(g, g.edges.where("src % 2 = 0").select("src", "dst", (F.col("src") + F.col("dst")).alias("attr")), F.lit(-1).cast("long"))
 
 
+@query(_with(_e(0), end="SELECT src, dst, CASE WHEN src % 6 = 0 THEN -5 ELSE src + dst END AS attr FROM e WHERE src % 2 = 0"))
+def edge_attr_upsert(spark, d):
+    even = succession(spark, d, 0).edges.where("src % 2 = 0").select("src", "dst", (F.col("src") + F.col("dst")).alias("attr"))
+    return attributes.set_edge_attribute(even, even.where("src % 6 = 0").withColumn("attr", F.lit(-5).cast("long")))
+
+
+@query(_with(_e(0), end="SELECT src, dst, (dst, src) IN (SELECT (src, dst) FROM e) AS is_edge FROM e"))
+def edge_exists(spark, d):
+    g = succession(spark, d, 0)
+    back = g.edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
+    return attributes.has_edge(g, back).select(F.col("dst").alias("src"), F.col("src").alias("dst"), "is_edge")
+
+
+@query(_with(_e(0), _V, _ATTR, end="(SELECT 'greatest' AS which, id, attr FROM a ORDER BY attr DESC, id LIMIT 1) UNION ALL (SELECT 'least', id, attr FROM a WHERE attr > 3 ORDER BY attr, id LIMIT 1)"))
+def extreme_values(spark, d):
+    v = priced(spark, d).vertices
+    most = attributes.extreme(v, "attr").select(F.lit("greatest").alias("which"), "id", "attr")
+    return most.unionByName(attributes.extreme(v, "attr", False, F.col("attr") > 3).select(F.lit("least").alias("which"), "id", "attr"))
+
+
+@query(_with(_e(0), _V, _ATTR, end="SELECT (SELECT count(*) FROM v) AS vertices, (SELECT count(*) FROM e) AS edges, (SELECT count(*) FROM e) AS triplets"))
+def visits(spark, d):
+    g = priced(spark, d)
+    nothing = lambda row: None
+    return spark.createDataFrame([(attributes.for_each_vertex(g, nothing), attributes.for_each_edge(g, nothing), attributes.for_each_triplet(g, "attr", nothing))], "vertices long, edges long, triplets long")
+
+
+# Sources and sinks: the graph is written in the shared folder and read back.
+
+
+@query(_with(_e(0), end="SELECT src, dst FROM e"))
+def edge_list_load(spark, d):
+    path = shared_folder(spark)
+    text.save_text(succession(spark, d, 0), path)
+    return text.edge_list(spark, path).edges
+
+
+@query(_with(_e(0), end="SELECT 2 * count(*) AS parsed, 2 * count(*) AS added, 0 AS ignored FROM e WHERE src <> dst AND (dst, src) NOT IN (SELECT (src, dst) FROM e)"))
+def edge_list_counts(spark, d):
+    path, g = shared_folder(spark), succession(spark, d, 0)
+    back = g.edges.where("src <> dst").join(g.reverse().edges.select("src", "dst"), ["src", "dst"], "left_anti")
+    text.save_text(Graph.from_edges(back), path)
+    return text.edge_list_report(spark, path, undirected=True)
+
+
+@query(_with(_e(0), _V, end="SELECT src, dst FROM e UNION ALL SELECT id, NULL FROM v WHERE id NOT IN (SELECT src FROM e)"))
+def adj_parse(spark, d):
+    path = shared_folder(spark)
+    text.save_adjacency(succession(spark, d, 0), path)
+    g = text.adjacency_list(spark, path)
+    sinks = g.vertices.join(g.edges, F.col("id") == F.col("src"), "left_anti")
+    return g.edges.select("src", "dst").union(sinks.select("id", F.lit(None).cast("long")))
+
+
+@query(_with(_e(0), end="SELECT max(greatest(src, dst)) AS max, count(*) AS lines, 2 * count(*) AS numbers, false AS wide FROM e"))
+def dataset_profile(spark, d):
+    path = shared_folder(spark)
+    text.save_text(succession(spark, d, 0), path)
+    return text.profile(spark, path)
+
+
+@query(_with(_e(0), _V, end="SELECT sum((src // 100 % 3 = dst // 100 % 3)::INT)::BIGINT AS local, count(*) AS total, round(sum((src // 100 % 3 = dst // 100 % 3)::INT) / count(*), 6) AS ratio FROM e"))
+def partition_map_locality(spark, d):
+    path, g = shared_folder(spark), succession(spark, d, 0)
+    g.vertices.select(F.concat_ws(" ", "id", (F.floor(F.col("id") / 100) % 3).cast("string"))).write.text(path)
+    return metrics.locality_of(g, text.partition_file(spark, path))
+
+
+@query(_with(_e(0), end="SELECT src, dst FROM e"))
+def snapshot_load(spark, d):
+    path = shared_folder(spark)
+    text.save(succession(spark, d, 0), path)
+    return text.load(spark, path).edges.select("src", "dst")
+
+
+@query("SELECT l_suppkey AS id, count(DISTINCT l_partkey) AS degree FROM lineitem GROUP BY l_suppkey")
+def streamed_degrees(spark, d):
+    """Out-degrees of supplier -> part edges that are ingested as a stream of line items; offsets keep both kinds of ids apart."""
+    path = shared_folder(spark)
+    table = f"{d}/lineitem.parquet"
+    lines = spark.readStream.schema(spark.read.parquet(table).schema).parquet(table)
+    edges.ingest(lines.select(F.col("l_suppkey").alias("src"), (F.lit(1 << 40) + F.col("l_partkey")).alias("dst")), path)
+    return metrics.out_degrees(edges.ingested(spark, path)).where(F.col("id") < 1 << 40)
+
+
 def _from_least(g: Graph, **how) -> DataFrame:
     return traverse.bfs(g, g.vertices.agg(F.min("id")).first()[0], **how)
 
@@ -230,14 +329,14 @@ def bfs_distance(spark, d):
     return _from_least(succession(spark, d, 45, True)).select("id", "dist")
 
 
-@query(_with(_e(40, True), _V, _BFS.format(n=24, only=""), end="SELECT b.id, b.dist::BIGINT AS dist, min(p.id) AS pred FROM b LEFT JOIN (SELECT e.dst, p.id, p.dist FROM e JOIN b AS p ON p.id = e.src) AS p ON p.dst = b.id AND p.dist = b.dist - 1 GROUP BY b.id, b.dist"))
+@query(_with(_e(0, True), _V, _BFS.format(n=24, only=""), end="SELECT b.id, b.dist::BIGINT AS dist, min(p.id) AS pred FROM b LEFT JOIN (SELECT e.dst, p.id, p.dist FROM e JOIN b AS p ON p.id = e.src) AS p ON p.dst = b.id AND p.dist = b.dist - 1 GROUP BY b.id, b.dist"))
 def bfs_predecessor(spark, d):
-    return _from_least(succession(spark, d, 40, True))
+    return _from_least(succession(spark, d, 0, True))
 
 
-@query(_with(_e(40, True), _V, _BFS.format(n=30, only=" AND e.dst % 4 <> 3"), end="SELECT id, dist::BIGINT AS dist FROM b"))
+@query(_with(_e(0, True), _V, _BFS.format(n=30, only=" AND e.dst % 4 <> 3"), end="SELECT id, dist::BIGINT AS dist FROM b"))
 def bfs_filtered(spark, d):
-    return _from_least(succession(spark, d, 40, True), neighbour_if=F.col("id") % 4 != 3).select("id", "dist")
+    return _from_least(succession(spark, d, 0, True), neighbour_if=F.col("id") % 4 != 3).select("id", "dist")
 
 
 @query(_with(_e(45, True), _V, _BFS.format(n=_DEPTH, only=""), end="SELECT dist::BIGINT AS value, count(*) AS n FROM b GROUP BY dist"))
@@ -250,28 +349,33 @@ def farthest_vertex(spark, d):
     return traverse.farthest(bfs_distance(spark, d))
 
 
-@query(_with(_e(40), _V, _BFS.format(n=30, only=""), end="SELECT b.id, b.dist::BIGINT AS dist, coalesce(min(p.id), -1) AS pred FROM b LEFT JOIN (SELECT e.dst, p.id, p.dist FROM e JOIN b AS p ON p.id = e.src) AS p ON p.dst = b.id AND p.dist = b.dist - 1 GROUP BY b.id, b.dist"))
+@query(_with(_e(0), _V, _BFS.format(n=30, only=""), end="SELECT b.id, b.dist::BIGINT AS dist, coalesce(min(p.id), -1) AS pred FROM b LEFT JOIN (SELECT e.dst, p.id, p.dist FROM e JOIN b AS p ON p.id = e.src) AS p ON p.dst = b.id AND p.dist = b.dist - 1 GROUP BY b.id, b.dist"))
 def sssp_pred(spark, d):
-    g = succession(spark, d, 40)
+    g = succession(spark, d, 0)
     return traverse.shortest_distances(g, g.vertices.agg(F.min("id")).first()[0])
 
 
-@query()
+@query(_with(_e(45, True), _V, _BFS.format(n=_DEPTH, only=""), _PATH, end="SELECT dist::BIGINT AS place, id FROM path"))
 def shortest_path(spark, d):
-    reached = bfs_predecessor(spark, d).persist()
+    reached = settle(_from_least(succession(spark, d, 45, True)))
     path = traverse.shortest_path(reached, traverse.farthest(reached).first().id)
     return spark.createDataFrame([(i, v) for i, v in enumerate(path)], "place long, id long")
 
 
+@query(_with(_e(45, True), _V, _BFS.format(n=_DEPTH, only=""), end="SELECT row_number() OVER (ORDER BY dist, id) - 1 AS place, id, dist::BIGINT AS dist FROM b"))
+def visit_order(spark, d):
+    return traverse.visit_order(bfs_distance(spark, d))
+
+
 @query()
 def random_walk(spark, d):
-    g = succession(spark, d, 40, True)
+    g = succession(spark, d, 0, True)
     return traverse.random_walk(g, g.vertices.where("id % 10 = 0"), 5, seed=7)
 
 
 @query()
 def random_vertices(spark, d):
-    return traverse.pick_vertices(succession(spark, d, 40), 20, seed=3)
+    return traverse.pick_vertices(succession(spark, d, 0), 20, seed=3)
 
 
 _CC = "c AS (SELECT a AS id, min(b) AS label FROM r GROUP BY a)"
@@ -312,7 +416,22 @@ def scc_labels(spark, d):
     return components.strongly_connected(succession(spark, d, 40))
 
 
-@query()
+_SCC = "c AS (SELECT r.a AS id, min(r.b) AS label FROM r JOIN r AS s ON s.a = r.b AND s.b = r.a GROUP BY r.a)"
+
+
+@query(_with(_e(40), _V, _REACH, _SCC, end="SELECT label, count(*) AS size FROM c GROUP BY label"))
+def scc_sizes(spark, d):
+    return components.sizes(scc_labels(spark, d))
+
+
+@query(_with(_e(40), _V, _REACH, _SCC, end="SELECT DISTINCT p.label AS src, q.label AS dst FROM e JOIN c AS p ON p.id = e.src JOIN c AS q ON q.id = e.dst WHERE p.label <> q.label"))
+def scc_contract(spark, d):
+    g = succession(spark, d, 40)
+    return g.contract(settle(components.strongly_connected(g))).edges
+
+
+# what stays is reached from a cycle and reaches one; loops don't count
+@query(_with(_e(40), _V, _REACH, "y AS (SELECT DISTINCT r.a AS id FROM r JOIN r AS s ON s.a = r.b AND s.b = r.a WHERE r.a <> r.b)", end="SELECT id FROM v WHERE id NOT IN (SELECT b FROM r WHERE a IN (SELECT id FROM y)) OR id NOT IN (SELECT a FROM r WHERE b IN (SELECT id FROM y))"))
 def scc_trim(spark, d):
     g = succession(spark, d, 40)
     return components.trim(g.vertices, g.edges.where("src <> dst"))[0]
@@ -320,75 +439,83 @@ def scc_trim(spark, d):
 
 @query(
     _with(
-        _e(40), _V, _D, "n AS (SELECT count(*) AS n FROM v)",
+        _e(0), _V, _D, "n AS (SELECT count(*) AS n FROM v)",
         "p AS (SELECT 0 AS step, id, degree, 1.0::DOUBLE / n AS rank FROM d, n UNION ALL SELECT p.step + 1, p.id, p.degree, 0.15 / n.n + 0.85 * (coalesce((SELECT sum(q.rank / q.degree) FROM p AS q JOIN e ON e.src = q.id WHERE e.dst = p.id), 0) + coalesce((SELECT sum(q.rank) FROM p AS q WHERE q.degree = 0), 0) / n.n) FROM p, n WHERE p.step < 30)",
         end="SELECT id, round(rank, 9) AS rank FROM p WHERE step = 30",
     )
 )
 def pagerank(spark, d):
-    return rank.page_rank(succession(spark, d, 40)).select("id", F.round("rank", 9).alias("rank"))
+    return rank.page_rank(succession(spark, d, 0)).select("id", F.round("rank", 9).alias("rank"))
 
 
-@query()
+@query(
+    _with(
+        _e(0), _V, _D,
+        "p AS (SELECT 0 AS step, id, degree, 0.0::DOUBLE AS rank FROM d UNION ALL SELECT p.step + 1, p.id, p.degree, CASE WHEN p.degree = 0 THEN 0 ELSE 0.15 + 0.85 * (coalesce((SELECT sum(q.rank / q.degree) FROM p AS q JOIN e ON e.src = q.id WHERE e.dst = p.id), 0) + p.rank / p.degree) END FROM p WHERE p.step < 5)",
+        end="SELECT id, round(rank, 6) AS rank FROM p WHERE step = 5",
+    )
+)
 def pagerank_own_share(spark, d):
-    return rank.page_rank(succession(spark, d, 40), steps=5, own_share=True).select("id", F.round("rank", 6).alias("rank"))
+    return rank.page_rank(succession(spark, d, 0), steps=5, own_share=True).select("id", F.round("rank", 6).alias("rank"))
 
 
 @query(
     _with(
-        _e(40, True), _V, _D,
+        _e(0, True), _V, _D,
         "t AS (SELECT a.src AS id, count(*) AS t FROM e AS a JOIN e AS b ON b.src = a.dst JOIN e AS c ON c.src = a.src AND c.dst = b.dst WHERE b.dst <> a.src AND b.dst <> a.dst GROUP BY a.src)",
         end="SELECT d.id, round(CASE WHEN degree > 1 THEN coalesce(t, 0) / (degree * (degree - 1)) ELSE 0 END, 6) AS coefficient FROM d LEFT JOIN t ON t.id = d.id",
     )
 )
 def lcc(spark, d):
-    return rank.clustering(succession(spark, d, 40, True)).select("id", F.round("coefficient", 6).alias("coefficient"))
-
-
-def small(spark: SparkSession, d: str) -> Graph:
-    """The part of succession(45) on the ids under 600: many searches run on it."""
-    return succession(spark, d, 45, True).induced(F.col("id") < 600)
+    return rank.clustering(succession(spark, d, 0, True)).select("id", F.round("coefficient", 6).alias("coefficient"))
 
 
-_SMALL = (_e(45, True).replace("e AS (", "f AS (", 1), "v AS (SELECT id FROM (SELECT src AS id FROM f UNION SELECT dst FROM f) WHERE id < 600)", "e AS (SELECT * FROM f WHERE src < 600 AND dst < 600)", _ALL.format(n=_DEPTH))
+_PAIRS = (_e(45, True), _V, _ALL)
 
 
-@query(_with(*_SMALL, end="SELECT id, ecc::BIGINT AS ecc FROM x"))
+@query(_with(*_PAIRS, end="SELECT id, ecc FROM x"))
 def eccentricity(spark, d):
-    return extent.eccentricity(small(spark, d), lots=2)
+    return extent.eccentricity(succession(spark, d, 45, True), lots=4)
 
 
-@query(_with(*_SMALL, end="SELECT id, ecc::BIGINT AS ecc FROM x"))
+@query(_with(*_PAIRS, end="SELECT id, ecc FROM x"))
 def eccentricity_by_bounds(spark, d):
-    return extent.bounded_eccentricity(small(spark, d), 200)
+    return extent.bounded_eccentricity(succession(spark, d, 45, True), 256)
 
 
-@query(_with(*_SMALL, end="SELECT ecc::BIGINT AS value, count(*) AS n FROM x GROUP BY ecc"))
+@query(_with(*_PAIRS, end="SELECT ecc AS value, count(*) AS n FROM x GROUP BY ecc"))
 def ecc_distribution(spark, d):
-    return metrics.distribution(extent.eccentricity(small(spark, d)), "ecc")
+    return metrics.distribution(eccentricity_by_bounds(spark, d), "ecc")
 
 
 @query()
 def ecc_hybrid_distribution(spark, d):
-    return extent.hybrid_distribution(small(spark, d), 0.25, batch=200)
+    return extent.hybrid_distribution(succession(spark, d, 45, True), 0.25, batch=256)
 
 
-def _center(g: Graph) -> int:
+def _centre(g: Graph) -> int:
     return extent.two_sweeps(g, g.vertices.agg(F.min("id")).first()[0])
 
 
-@query()
+@query(_with(_e(45, True), _V, _BFS.format(n=_DEPTH, only=""), _PATH, end="SELECT id FROM path WHERE dist = (SELECT (max(dist) + 1) // 2 FROM path)"))
 def two_sweep_center(spark, d):
-    return spark.createDataFrame([(_center(succession(spark, d, 45, True)),)], "id long")
+    return spark.createDataFrame([(_centre(succession(spark, d, 45, True)),)], "id long")
 
 
-@query()
+@query(_with(*_PAIRS, end="SELECT max(ecc) AS diameter FROM x WHERE id IN (SELECT id FROM w WHERE s = (SELECT min(id) FROM v))"))
 def diameter(spark, d):
     g = succession(spark, d, 45, True)
-    return spark.createDataFrame([extent.diameter(g, _center(g))], "diameter long, searches long")
+    return spark.createDataFrame([extent.diameter(g, _centre(g))[:1]], "diameter long")
 
 
-@query()
+@query(
+    _with(
+        *_PAIRS, _D,
+        "f AS (SELECT s, id, dist FROM (SELECT *, row_number() OVER (PARTITION BY s ORDER BY dist DESC, id) AS k FROM w) WHERE k = 1)",
+        "h AS (SELECT 0::BIGINT AS hop, id, dist FROM f WHERE s = (SELECT id FROM d ORDER BY degree DESC, id LIMIT 1) AND dist > 0 UNION ALL SELECT h.hop + 1, f.id, f.dist FROM h JOIN f ON f.s = h.id WHERE f.dist > h.dist)",
+        end="SELECT hop, id, dist FROM h",
+    )
+)
 def nbfs_increments(spark, d):
     return spark.createDataFrame([(i, *x) for i, x in enumerate(extent.farthest_hops(succession(spark, d, 45, True)))], "hop long, id long, dist long")
 

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,11 +23,57 @@ def edge_list(spark: SparkSession, path: str, undirected: bool = False, multigra
     return Graph.from_edges(pairs.select("e.*"), undirected=undirected, multigraph=multigraph)
 
 
+def edge_list_report(spark: SparkSession, path: str, undirected: bool = False) -> DataFrame:
+    """parsed (pairs in the file), added (edges of the simple graph) and ignored (repeats)."""
+    every, g = edge_list(spark, path, undirected, multigraph=True), edge_list(spark, path, undirected)
+    counts = every.edges.agg(F.count("*").alias("parsed")).crossJoin(g.edges.agg(F.count("*").alias("added")))  # one row each
+    return counts.withColumn("ignored", F.col("parsed") - F.col("added"))
+
+
+#: Whether the numbers of a line are whole records: what is still to come is a source (0), its count (-1) or so many neighbours.
+_WHOLE = "aggregate(x, 0L, (need, n) -> CASE need WHEN 0 THEN -1L WHEN -1 THEN n ELSE need - 1 END) = 0"
+
+
+def _records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """src, place and neighbours of the records of a stream of numbers; a record may go on in the next line, but not in the next file."""
+    file, place, rest = None, 0, []
+
+    def done():
+        nonlocal rest, place
+        at, out = 0, {"src": [], "place": [], "neighbours": []}
+        while at + 1 < len(rest) and at + 2 + rest[at + 1] <= len(rest):
+            out["src"].append(rest[at])
+            out["place"].append(place)
+            out["neighbours"].append(rest[at + 2 : at + 2 + rest[at + 1]])
+            at, place = at + 2 + rest[at + 1], place + 1
+        rest = rest[at:] if at else rest
+        return pa.RecordBatch.from_arrays([pa.array(out["src"], pa.int64()), pa.array(out["place"], pa.int64()), pa.array(out["neighbours"], pa.list_(pa.int64()))], names=list(out))
+
+    for batch in batches:
+        for name, x in zip(batch.column("file").to_pylist(), batch.column("x").to_pylist(), strict=True):
+            if name != file:
+                file, rest = name, []
+            rest += x
+            if len(rest) >= 1 << 16:
+                yield done()
+        yield done()
+
+
 def adjacency_list(spark: SparkSession, path: str, undirected: bool = False) -> Graph:
-    """Lines of `src k n1 .. nk`; a vertex with k = 0 exists without edges, repeats stay."""
-    rows = _numbers(spark, path).select(F.get("x", F.lit(0)).alias("src"), F.expr("slice(x, 3, cast(x[1] as int))").alias("to"))
-    e = rows.select("src", F.explode("to").alias("dst"))
-    return Graph.from_edges(e, rows.select(F.col("src").alias("id")), undirected, multigraph=True)
+    """Records `src k n1 .. nk`; a vertex with k = 0 exists without edges, repeated neighbours stay, and of several records of a source the last counts.
+
+    Files with a record in each line are read line by line. Where a record goes on in the next line the format is sequential: each such file is streamed through one
+    task in the order of its lines, which holds one record at a time.
+    """
+    line = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row"))
+    line = line.withColumn("t", F.trim(F.regexp_replace("value", r"\s+", " "))).where("t <> '' AND NOT startswith(t, '#')").select("file", "block", "row", F.transform(F.split("t", " "), lambda n: n.cast("long")).alias("x"))
+    if line.where(f"NOT ({_WHOLE}) OR size(x) <> x[1] + 2").limit(1).count():
+        stream = line.repartition("file").sortWithinPartitions("file", "block", "row").select("file", "x")
+        rows = stream.mapInArrow(_records, "src long, place long, neighbours array<long>").select("src", F.struct("place").alias("at"), "neighbours")
+    else:
+        rows = line.select(F.get("x", F.lit(0)).alias("src"), F.struct("file", "block", "row").alias("at"), F.expr("slice(x, 3, cast(x[1] as int))").alias("neighbours"))
+    last = rows.groupBy("src").agg(F.max_by("neighbours", "at").alias("neighbours"))
+    return Graph.from_edges(last.select("src", F.explode("neighbours").alias("dst")), last.select(F.col("src").alias("id")), undirected, multigraph=True)
 
 
 def one_vertex(spark: SparkSession, path: str) -> int:
@@ -43,6 +92,16 @@ def partition_file(spark: SparkSession, path: str) -> DataFrame:
     return _numbers(spark, path).select(F.get("x", F.lit(0)).alias("id"), F.get("x", F.lit(1)).cast("tinyint").alias("part"))
 
 
+def save_text(g: Graph, path: str) -> None:
+    """Lines of `src dst`."""
+    g.edges.select(F.concat_ws("\t", "src", "dst")).write.mode("overwrite").text(path)
+
+
+def save_adjacency(g: Graph, path: str) -> None:
+    """Lines of `src k n1 .. nk`, vertices without neighbours included."""
+    g.adjacency().select(F.array_join(F.concat(F.array("id", F.size("neighbours").cast("long")), "neighbours"), " ")).write.mode("overwrite").text(path)
+
+
 def save(g: Graph, path: str) -> None:
     g.vertices.write.mode("overwrite").parquet(f"{path}/vertices")
     g.edges.write.mode("overwrite").parquet(f"{path}/edges")
