@@ -6,8 +6,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from vertexloom.graph import Graph
-from vertexloom.operators import components, extent, generate, metrics, rank, traverse
+from vertexloom.operators import attributes, components, extent, generate, metrics, rank, traverse
 from vertexloom.sources import text
+from vertexloom.streaming import edges
 
 
 @pytest.fixture(scope="module")
@@ -79,3 +80,50 @@ def test_sources(spark, tmp_path):
     assert text.load_or_build(spark, str(p), s).edges.count() == 3
     time.sleep(0.05)
     assert text.load_or_build(spark, str(p), s).vertices.agg(F.sum("id")).first()[0] == 6
+
+
+def test_adjacency_records_over_lines(spark, tmp_path):
+    a = tmp_path / "a.txt"
+    a.write_text("# header\n1 3 2\n3 4 2 2\n1 1 5 0\n1 1 9\n")
+    g = text.adjacency_list(spark, str(a))
+    assert rows(g.edges) == [(1, 9), (2, 1), (2, 1)] and rows(g.vertices) == [(1,), (2,), (5,), (9,)]
+    b = tmp_path / "b.txt"
+    b.write_text("1 2 2 3\n4 0\n1 1 4\n")
+    assert rows(text.adjacency_list(spark, str(b)).edges) == [(1, 4)]  # the last record of a source counts
+
+
+def test_edge_list_report(spark, tmp_path):
+    p = tmp_path / "e.txt"
+    p.write_text("1 2\n1 2\n2 1\n3 3\n")
+    assert rows(text.edge_list_report(spark, str(p))) == [(4, 3, 1)]
+
+
+def test_clustering_of_directed_edges_and_loops(spark):
+    pairs = {(i, j) for i in range(9) for j in range(9) if (i * i + 3 * j) % 4 < 2}
+    n = {v: {b for a, b in pairs if a == v} for v in range(9)}
+    want = {v: (sum(len((n[v] & n[x]) - {v, x}) for x in n[v]) / (len(n[v]) * (len(n[v]) - 1)) if len(n[v]) > 1 else 0.0) for v in n}
+    got = dict(rows(rank.clustering(Graph.from_edges(spark.createDataFrame(sorted(pairs), "src long, dst long"), spark.range(9)))))
+    assert set(got) == set(want) and all(abs(got[v] - want[v]) < 1e-12 for v in want)
+
+
+def test_visit_order_and_lookups(spark, h):
+    assert rows(traverse.visit_order(traverse.bfs(h, 1))) == [(0, 1, 0), (1, 2, 1), (2, 3, 2), (3, 4, 3), (4, 5, 4)]
+    asked = spark.createDataFrame([(1, 2), (2, 1)], "src long, dst long")
+    assert rows(attributes.has_edge(h, asked)) == [(1, 2, True), (2, 1, False)]
+    values = spark.createDataFrame([(1, 5), (2, 9), (3, 9), (4, None)], "id long, v long")
+    assert rows(attributes.extreme(values, "v")) == [(2, 9)] and rows(attributes.extreme(values, "v", False)) == [(1, 5)]
+    assert rows(attributes.extreme(values.where("false"), "v")) == []
+    assert rows(h.in_adjacency().where("id = 3")) == [(3, [2])]
+
+
+def test_edges_of_a_stream_come_once(spark, tmp_path):
+    src, out = tmp_path / "in", str(tmp_path / "out")
+    batch = lambda pairs: spark.createDataFrame(pairs, "src long, dst long").coalesce(1).write.mode("append").parquet(str(src))
+    take = lambda: edges.ingest(spark.readStream.schema("src long, dst long").parquet(str(src)), out)
+    batch([(1, 2), (1, 2), (None, 3)])
+    take()
+    batch([(1, 2), (2, 3)])
+    take()
+    take()
+    assert rows(spark.read.parquet(f"{out}/edges")) == [(1, 2), (2, 3)]
+    assert rows(edges.ingested(spark, out).vertices) == [(1,), (2,), (3,)]

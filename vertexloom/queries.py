@@ -314,8 +314,8 @@ def snapshot_load(spark, d):
 def streamed_degrees(spark, d):
     """Out-degrees of supplier -> part edges that are ingested as a stream of line items; offsets keep both kinds of ids apart."""
     path = shared_folder(spark)
-    table = f"{d}/lineitem.parquet"
-    lines = spark.readStream.schema(spark.read.parquet(table).schema).parquet(table)
+    schema = spark.read.parquet(f"{d}/lineitem.parquet").schema
+    lines = spark.readStream.schema(schema).parquet(f"{d}/lineitem.parque[t]")  # a pattern may stand for one file or for a folder of them
     edges.ingest(lines.select(F.col("l_suppkey").alias("src"), (F.lit(1 << 40) + F.col("l_partkey")).alias("dst")), path)
     return metrics.out_degrees(edges.ingested(spark, path)).where(F.col("id") < 1 << 40)
 
@@ -475,12 +475,12 @@ _PAIRS = (_e(45, True), _V, _ALL)
 
 @query(_with(*_PAIRS, end="SELECT id, ecc FROM x"))
 def eccentricity(spark, d):
-    return extent.eccentricity(succession(spark, d, 45, True), lots=4)
+    return extent.eccentricity(succession(spark, d, 45, True), lots=2)
 
 
 @query(_with(*_PAIRS, end="SELECT id, ecc FROM x"))
 def eccentricity_by_bounds(spark, d):
-    return extent.bounded_eccentricity(succession(spark, d, 45, True), 256)
+    return extent.bounded_eccentricity(succession(spark, d, 45, True), 512)
 
 
 @query(_with(*_PAIRS, end="SELECT ecc AS value, count(*) AS n FROM x GROUP BY ecc"))
@@ -490,7 +490,7 @@ def ecc_distribution(spark, d):
 
 @query()
 def ecc_hybrid_distribution(spark, d):
-    return extent.hybrid_distribution(succession(spark, d, 45, True), 0.25, batch=256)
+    return extent.hybrid_distribution(succession(spark, d, 45, True), 0.25, batch=512)
 
 
 def _centre(g: Graph) -> int:

@@ -66,7 +66,9 @@ def adjacency_list(spark: SparkSession, path: str, undirected: bool = False) ->
     task in the order of its lines, which holds one record at a time.
     """
     line = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row"))
-    line = line.withColumn("t", F.trim(F.regexp_replace("value", r"\s+", " "))).where("t <> '' AND NOT startswith(t, '#')").select("file", "block", "row", F.transform(F.split("t", " "), lambda n: n.cast("long")).alias("x"))
+    line = line.withColumn("t", F.trim(F.regexp_replace("value", r"\s+", " ")))
+    numbers = F.when(F.expr("t <> '' AND NOT startswith(t, '#')"), F.transform(F.split("t", " "), lambda n: n.cast("long")))  # a cast must not meet a comment, whatever the order of filters
+    line = line.select("file", "block", "row", numbers.alias("x")).where("x IS NOT NULL")
     if line.where(f"NOT ({_WHOLE}) OR size(x) <> x[1] + 2").limit(1).count():
         stream = line.repartition("file").sortWithinPartitions("file", "block", "row").select("file", "x")
         rows = stream.mapInArrow(_records, "src long, place long, neighbours array<long>").select("src", F.struct("place").alias("at"), "neighbours")
