@@ -94,6 +94,42 @@ def test_crowd_about_the_threshold(spark):
     assert got(near_dups.near_duplicates(df)) == brute(rows)
 
 
+def test_large_crowd_about_the_threshold(spark):
+    """Thousands of copies of one template that share buckets and are mostly not alike enough; none of the links between them may depend on a centre."""
+    rnd = random.Random(11)
+    word = lambda: "".join(rnd.choice("abcdefghij") for _ in range(8))
+    base, rows = [word() for _ in range(100)], []
+    for k in range(3060):
+        w = list(base)
+        for i in rnd.sample(range(100), 2 if k < 3000 else 1):
+            w[i] = word()
+        rows.append((k, " ".join(w)))
+    sets = [h for h, _ in near_dups.shingles([x for _, x in rows])]
+    held, col, n = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    own = np.zeros((len(rows), int((n > 1).sum())), np.float32)
+    r = np.repeat(np.arange(len(rows)), [len(s) for s in sets])
+    own[r[n[col] > 1], (np.cumsum(n > 1) - 1)[col[n[col] > 1]]] = 1
+    both, size = own @ own.T, np.array([len(s) for s in sets])
+    label = np.arange(len(rows))
+    for i, j in np.argwhere(np.triu(both / (size[:, None] + size - both) >= 0.8, 1)):
+        if label[i] != label[j]:
+            label[label == max(label[i], label[j])] = min(label[i], label[j])
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(8)
+    assert got(near_dups.near_duplicates(df)) == [(k, int(label[k])) for k in range(len(rows))]
+
+
+def test_bound_of_the_blocks():
+    rnd = np.random.default_rng(4)
+    sets = [(np.sort(rnd.choice(60, n, replace=False)).astype(np.int64), rnd.integers(1, 6, n)) for n in rnd.integers(5, 60, 40)]
+    every = np.arange(len(sets))
+    high = near_dups.bounds(sets, every, every)
+    exact = np.array([[near_dups.probability_jaccard(a, b) for b in sets] for a in sets])
+    assert (high >= exact - 1e-5).all()
+    ones = [(h, np.ones(len(h), np.int64)) for h, _ in sets]
+    exact = np.array([[near_dups.probability_jaccard(a, b) for b in ones] for a in ones])
+    assert np.abs(near_dups.bounds(ones, every, every) - exact).max() < 1e-5
+
+
 def test_estimate():
     rnd = np.random.default_rng(1)
     a = (rnd.integers(0, 1 << 62, 400).astype(np.uint64), rnd.integers(1, 5, 400))

@@ -3,8 +3,9 @@
 A document is the multiset of its runs of SHINGLE lower-cased words. Each shingle sends Poisson arrivals at a rate of its count; an arrival goes to a random
 component of the signature, which keeps its earliest, and a shingle stops when its time passes the latest component. Two signatures agree in a component with the
 probability Jaccard similarity. Bands of ROWS components make buckets. In a bucket all are held against its least member, which costs a row for each member. Members of
-buckets that then still span several components get a second look, at other centres in these and in finer buckets. Pairs are verified by the exact similarity of whole
-texts. Equal texts are one node all along. A pair that is alike but never meets in a star, nor through others, is missed; no bucket is cut off, whatever its size.
+buckets that then still span several components get a second look, at other centres in these and in finer buckets. What is still mixed is settled exactly, every member
+against every other of another component, in blocks of bounded size. Pairs are verified by the exact similarity of whole texts. Equal texts are one node all along. Only a
+pair that is alike but shares no bucket is missed; no bucket is cut off, whatever its size.
 """
 
 from __future__ import annotations
@@ -22,6 +23,8 @@ SHINGLE, THRESHOLD = 5, 0.8
 SIZE, ROWS = 80, 4
 #: Pairs of the second look are verified if their signatures agree in this part, 4 deviations below the threshold; levels of its buckets.
 LEAST_AGREED, DEPTH = 0.6, 3
+#: Members on one side of a block of the exact settlement, and shingles that are multiplied at a time.
+LOT, SLAB = 512, 4096
 
 
 def shingles(batch: list[str], size: int = SHINGLE) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -139,9 +142,11 @@ def classes_of(nodes: DataFrame) -> DataFrame:
     mixed = own.groupBy("bucket").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.count("*").alias("n")).where((F.col("x") < F.col("y")) & (F.col("n") > 2)).select("bucket")
     loose = cut(own.join(cut(mixed), "bucket").select("key", "label").distinct())
     more = cut(_second_look(signed, loose).join(done, ["a", "b"], "left_anti"))
-    if not more.limit(1).count():
-        return labels
-    return components(links.union(verify(more, nodes.select("key", "text"))))
+    if more.limit(1).count():
+        links = cut(links.union(verify(more, nodes.select("key", "text"))))
+        labels = components(links)
+    rest = cut(_settled(crowd, labels, nodes.select("key", "text")))
+    return components(links.union(rest)) if rest.limit(1).count() else labels
 
 
 def _second_look(signed: DataFrame, loose: DataFrame) -> DataFrame:
@@ -162,6 +167,84 @@ def _second_look(signed: DataFrame, loose: DataFrame) -> DataFrame:
     return met.join(side("a"), "a").join(side("b"), "b").where(agreed >= LEAST_AGREED * SIZE).select("a", "b")
 
 
+def _settled(crowd: DataFrame, labels: DataFrame, words: DataFrame) -> DataFrame:
+    """Links (a, b) that join all components with a pair of THRESHOLD or more in a common bucket.
+
+    A bucket's members are dealt into lots by a hash, and each pair of lots is a group of its own; those of the bucket's commonest label are only held against the rest, as they
+    are joined already. Of buckets with the same members one counts. Where many stay apart, the work grows with their pairs, as any exact answer needs; a group stays bounded.
+    """
+    own = cut(crowd.join(labels, "key", "left").select("bucket", "key", F.coalesce("label", "key").alias("label")))
+    kinds = own.groupBy("bucket", "label").agg(F.count("*").alias("n"), F.min("key").alias("least"), F.max("key").alias("last"), F.bit_xor(F.xxhash64("key")).alias("print"))
+    size = kinds.groupBy("bucket").agg(F.max(F.struct("n", "label")).alias("most"), F.sum("n").alias("n"), F.count("*").alias("kinds"), F.min("least").alias("least"), F.max("last").alias("last"), F.bit_xor("print").alias("print"))
+    mixed = size.where("kinds > 1 AND n > 2").groupBy("n", "least", "last", "print").agg(F.min(F.struct("bucket", "most")).alias("m"))
+    few, lots = F.col("n") <= LOT, lambda n: F.ceil(n / LOT).cast("int")
+    mixed = cut(mixed.select("m.bucket", F.when(~few, F.col("m.most.label")).alias("main"), F.when(few, 1).otherwise(lots(F.col("n") - F.col("m.most.n"))).alias("rest"), F.when(few, 0).otherwise(lots(F.col("m.most.n"))).alias("mains")))
+    is_main = F.coalesce(F.col("label") == F.col("main"), F.lit(False))
+    at = F.pmod(F.xxhash64("key", "bucket"), F.when(is_main, F.col("mains")).otherwise(F.col("rest"))).cast("int") + F.when(is_main, F.col("rest")).otherwise(0)
+    member = own.join(mixed, "bucket").select("bucket", "key", "label", at.alias("lot"), F.when(is_main, F.col("rest")).otherwise(F.col("rest") + F.col("mains")).alias("others"))
+    member = member.withColumn("other", F.explode(F.expr("sequence(0, others - 1)"))).select("bucket", F.least("lot", "other").alias("i"), F.greatest("lot", "other").alias("j"), "lot", "key", "label")
+    member = cut(member)
+
+    def count(batch: pa.RecordBatch):
+        sets = shingles(texts(batch))
+        at = np.r_[0, np.cumsum([len(h) for h, _ in sets])].astype(np.int32)
+        flat = lambda k, kind: pa.array(np.concatenate([x[k] for x in sets] or [[]]).astype(kind))
+        yield {"key": batch.column("key"), "hashes": pa.ListArray.from_arrays(pa.array(at), pa.array(flat(0, np.uint64).to_numpy().view(np.int64))), "counts": pa.ListArray.from_arrays(pa.array(at), flat(1, np.int32))}
+
+    known = words.join(sized(cut(member.select("key").distinct())), "key", "left_semi").groupBy("key").agg(F.first("text").alias("text"))
+    sets = cut(by_batches(known, count, "key binary, hashes array<long>, counts array<int>"))
+    return member.join(sets, "key").groupBy("bucket", "i", "j").applyInArrow(_block, "a binary, b binary").distinct()
+
+
+def _block(rows: pa.Table) -> pa.Table:
+    """Links that join all labels of a group's rows with an alike pair, one from lot i and the other from lot j."""
+    lot, keys = rows.column("lot").to_numpy(), rows.column("key").to_pylist()
+    labels = np.unique(np.array(rows.column("label").to_pylist(), object), return_inverse=True)[1]
+    sets = [(h.values.to_numpy(), c.values.to_numpy()) for h, c in zip(rows.column("hashes"), rows.column("counts"), strict=True)]
+    left, right = np.flatnonzero(lot == rows.column("i")[0].as_py()), np.flatnonzero(lot == rows.column("j")[0].as_py())
+    up, links = list(range(len(keys))), []
+
+    def root(x: int) -> int:
+        while up[x] != x:
+            up[x] = x = up[up[x]]
+        return x
+
+    if len(left) and len(right):
+        maybe = (bounds(sets, left, right) >= THRESHOLD - 1e-3) & (labels[left][:, None] != labels[right])
+        for i, j in np.argwhere(maybe):
+            x, y = left[i], right[j]
+            a, b = root(labels[x]), root(labels[y])
+            if a != b and probability_jaccard(sets[x], sets[y]) >= THRESHOLD:
+                up[a] = b
+                links.append((min(keys[x], keys[y]), max(keys[x], keys[y])))
+    return pa.table({"a": pa.array([a for a, _ in links], pa.binary()), "b": pa.array([b for _, b in links], pa.binary())})
+
+
+def bounds(sets: list[tuple[np.ndarray, np.ndarray]], left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """No less than the probability Jaccard of sets[left] and sets[right] but for rounding; it equals that of sets without repeats.
+
+    With the parts P and Q of both that lie in shared elements, an element's term is at most 1 / (1 / p + (1 - Q) / q) for its parts p and q. As that is concave and
+    homogeneous, the sum is at most 1 / (1 / P + 1 / Q - 1).
+    """
+    row = np.repeat(np.arange(len(sets)), [len(h) for h, _ in sets])
+    part = np.concatenate([c / c.sum() for _, c in sets]).astype(np.float32)
+    col, held = np.unique(np.concatenate([h for h, _ in sets]), return_inverse=True, return_counts=True)[1:]
+    shared = held[col] > 1  # the others are in no common part
+    row, part, col = row[shared], part[shared], (np.cumsum(held > 1) - 1)[col[shared]]
+    order = np.argsort(col, kind="stable")
+    row, part, col = row[order], part[order], col[order]
+    p, q = np.zeros((len(left), len(right)), np.float32), np.zeros((len(left), len(right)), np.float32)
+    for at in range(0, int(col[-1]) + 1 if len(col) else 0, SLAB):
+        k = slice(*np.searchsorted(col, [at, at + SLAB]))
+        own = np.zeros((len(sets), min(SLAB, int(col[-1]) + 1 - at)), np.float32)
+        own[row[k], col[k] - at] = part[k]
+        x, y = own[left], own[right]
+        p += x @ (y > 0).T.astype(np.float32)
+        q += (x > 0).astype(np.float32) @ y.T
+    both = p * q
+    return both / np.maximum(p + q - both, 1e-9)
+
+
 def near_duplicates(df: DataFrame) -> DataFrame:
     """doc_id, class_id and class_size of every row: the least doc_id of its group, and the number of rows in it.
 
