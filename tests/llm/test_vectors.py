@@ -44,6 +44,27 @@ def test_odd_rows(spark, monkeypatch):
     assert sorted(map(tuple, vectors.nearest(same, 10).collect())) == brute([(i, [1.0, 2.0]) for i in range(30)], 10)
 
 
+def test_repeated_rows(spark):
+    """Copies of a row, and other vectors of its id, take one rank; whatever task and block they are in."""
+    r = np.random.default_rng(6)
+    one = [(i, r.standard_normal(8).tolist()) for i in range(40)]
+    near = (np.array(one[0][1]) + 0.01).tolist()
+    rows = one + [(100, near)] * 30 + [(101, (np.array(near) + 0.01).tolist())] * 2 + [(101, one[7][1])] + [(102, one[0][1]), (102, one[9][1])] * 3
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    least = {}
+    for q in (0, 10, 20, 30):
+        for i, x in rows:
+            if i != q:
+                s = float(vectors.exact(np.array([one[q][1]]), np.array([x]))[0])
+                least[q, i] = min(s, least.get((q, i), np.inf))
+    want = []
+    for q in (0, 10, 20, 30):
+        want += [(q, n + 1, i, s) for n, (s, i) in enumerate(sorted((s, i) for (p, i), s in least.items() if p == q)[:10])]
+    for parts in (1, 4):
+        got = sorted(map(tuple, vectors.nearest(df.repartition(parts), 10).where("query_id < 40").collect()))
+        assert got == want
+
+
 def test_bounds_hold():
     r = np.random.default_rng(3)
     x = r.standard_normal((3000, 64))

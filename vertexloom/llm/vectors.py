@@ -110,8 +110,9 @@ class Search:
             for at in range(0, len(of), STEP):
                 rows = of[at : at + STEP]
                 guess, off = self.planes[c].squared_distance(codes[rows], sizes[rows], along[rows])
-                # the k-th least upper bound of this step is a bound too, one more being the query itself
-                high = np.partition(guess + off, self.k, 1)[:, self.k] if len(rows) > self.k else np.full(len(guess), np.inf)
+                # the k-th least upper bound of this step's ids is a bound too, one more being the query itself
+                high = _by_id(ids[rows], guess + off)
+                high = np.partition(high, self.k, 1)[:, self.k] if high.shape[1] > self.k else np.full(len(guess), np.inf)
                 worst = np.minimum(self.score[:, -1] ** 2, np.maximum(high, 0)) * (1 + 1e-9)
                 q, r = np.nonzero(guess - off <= worst[:, None])
                 self._rerank(q, ids[rows[r]], x[rows[r]])
@@ -120,12 +121,25 @@ class Search:
         other = self.ids[q] != ids
         q, ids, x = q[other], ids[other], x[other]
         score = exact(self.queries[q], x)
-        q, ids, score = np.r_[np.repeat(np.arange(len(self.ids)), self.k), q], np.r_[self.found.ravel(), ids], np.r_[self.score.ravel(), score]
+        old, place = np.nonzero(np.isfinite(self.score))
+        q, ids, score = np.r_[old, q], np.r_[self.found[old, place], ids], np.r_[self.score[old, place], score]
+        order = np.lexsort((score, ids, q))
+        q, ids, score = q[order], ids[order], score[order]
+        first = np.r_[True, (q[1:] != q[:-1]) | (ids[1:] != ids[:-1])][: len(q)]  # of rows with the same id the nearest
+        q, ids, score = q[first], ids[first], score[first]
         order = np.lexsort((ids, score, q))
         q, ids, score = q[order], ids[order], score[order]
         rank = np.arange(len(q)) - np.searchsorted(q, np.arange(len(self.ids)))[q]
         top = rank < self.k
-        self.score, self.found = score[top].reshape(-1, self.k), ids[top].reshape(-1, self.k)
+        self.score[q[top], rank[top]], self.found[q[top], rank[top]] = score[top], ids[top]
+
+
+def _by_id(ids: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """The least value [query, id] of each id's columns."""
+    order = np.argsort(ids, kind="stable")
+    own = ids[order]
+    first = np.flatnonzero(np.r_[True, own[1:] != own[:-1]])
+    return values if len(first) == len(ids) else np.minimum.reduceat(values[:, order], first, axis=1)
 
 
 def valid(df: DataFrame, dim: int | None = None) -> DataFrame:
@@ -160,7 +174,7 @@ def nearest(df: DataFrame, every: int = 100, k: int = 10) -> DataFrame:
     found = blocks[0]
     for b in blocks[1:]:
         found = found.unionByName(b)
-    found = found.groupBy("query_id", "vec_id").agg(F.min("score").alias("score")) if len(blocks) > 1 else found
+    found = found.groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
     order = Window.partitionBy("query_id").orderBy("score", "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
@@ -179,7 +193,7 @@ def _scan(rows: DataFrame, sent, dim: int, k: int) -> DataFrame:
         q, r = np.nonzero(np.isfinite(search.score))
         yield pa.RecordBatch.from_arrays([pa.array(search.ids[q]), pa.array(search.found[q, r]), pa.array(search.score[q, r])], ["query_id", "vec_id", "score"])
 
-    return rows.mapInArrow(run, "query_id long, vec_id long, score double").dropDuplicates(["query_id", "vec_id", "score"])
+    return rows.mapInArrow(run, "query_id long, vec_id long, score double")
 
 
 #: DuckDB SQL for nearest() over the table embeddings, by brute force.
