@@ -133,3 +133,15 @@ def test_vbri_table():
 
 def test_no_bitrate_is_missing_room():
     assert all(mpeg.read(mpeg.write(p))[0] == p for n in range(64, 64 * 40, 64) for p in [bytes(range(1, 65)) * (n // 64)])
+
+
+def test_payload_that_looks_like_a_closing_tag():
+    """'TAG' at each offset of the last 256 bytes of payloads that end in frames of different sizes."""
+    for n in (64, 128, 192, 960, 1024, 64 * 33):
+        for at in range(max(0, n - 256), n - 2):
+            payload = bytes(b"x" * at + b"TAG").ljust(n, b"x")
+            got, s = mpeg.read(mpeg.write(payload))
+            assert got == payload and s.skipped == 0 and "TAG" not in s.tags and len(s.offsets) == s.declared_frames
+    data = mpeg.write(payload)
+    with pytest.raises(ValueError, match="declared"):
+        mpeg.read(data[:-1])

@@ -145,15 +145,21 @@ def _table(data: bytes, at: int, h: Header, out: Stream) -> bool:
     return False
 
 
+def _declared_end(data: bytes, at: int) -> int | None:
+    """Where the sound ends by the byte count of the table in the first frame, if there is one."""
+    h, out = header(data[at : at + 4]), Stream()
+    return at + out.declared_bytes if h and _table(data, at, h, out) and out.declared_bytes is not None else None
+
+
 def parse(data: bytes) -> Stream:
     """Read a stream that may have tags, junk between frames, false sync words and a cut end.
 
     A header counts if another of the same version, layer and rate, or the end or a closing tag, follows where its frame ends; in step
-    with the frame before, a right checksum does too.
+    with the frame before, a right checksum does too. What looks like a closing tag is sound if the declared bytes reach beyond it, to the end.
     """
     out = Stream()
     at = _id3(data, out.tags)
-    end = len(data) - 128 if data[-128:-125] == b"TAG" and len(data) - 128 >= at else len(data)
+    end = len(data) - 128 if data[-128:-125] == b"TAG" and len(data) - 128 >= at and _declared_end(data, at) != len(data) else len(data)
     if end < len(data):
         out.tags["TAG"] = data[-125:]
     step, first = None, True
@@ -236,7 +242,10 @@ def read(data: bytes) -> tuple[bytes, Stream]:
     """The payload of a stream of write(), and what the reader found on the way."""
     s = parse(data)
     size = int.from_bytes(s.tags["PRIV"].removeprefix(b"payload\0"))
-    return b"".join(s.bodies)[:size], s
+    payload = b"".join(s.bodies)[:size]
+    if len(payload) < size:
+        raise ValueError(f"{size} bytes declared, {len(payload)} found")
+    return payload, s
 
 
 def payload_of(text: str | None) -> bytes:
