@@ -5,6 +5,7 @@ import time
 import pytest
 from pyspark.sql import functions as F
 
+from vertexloom import queries
 from vertexloom.graph import Graph
 from vertexloom.operators import attributes, components, extent, generate, metrics, rank, traverse
 from vertexloom.sources import text
@@ -127,3 +128,19 @@ def test_edges_of_a_stream_come_once(spark, tmp_path):
     take()
     assert rows(spark.read.parquet(f"{out}/edges")) == [(1, 2), (2, 3)]
     assert rows(edges.ingested(spark, out).vertices) == [(1,), (2,), (3,)]
+
+
+def test_hybrid_distribution_is_of_the_whole_graph(spark):
+    """Its ends, which are exact, against a search from each vertex of the graph of all lines."""
+    d, near = "/root/testdata/sf0.001", {}
+    for a, b in queries.succession(spark, d, 0, True).edges.select("src", "dst").collect():
+        near.setdefault(a, set()).add(b)
+    ecc = []
+    for v in near:
+        seen, front, depth = {v}, {v}, -1
+        while front:
+            front, depth = {y for x in front for y in near[x]} - seen, depth + 1
+            seen |= front
+        ecc.append(depth)
+    got = dict(rows(queries.QUERIES["ecc_hybrid_distribution"](spark, d)))
+    assert all(got[e] == ecc.count(e) for e in (min(ecc), max(ecc))) and set(got) <= set(ecc)

@@ -490,7 +490,7 @@ def ecc_distribution(spark, d):
 
 @query()
 def ecc_hybrid_distribution(spark, d):
-    return extent.hybrid_distribution(succession(spark, d, 45, True), 0.25, batch=512)
+    return extent.hybrid_distribution(succession(spark, d, 0, True), 0.25, batch=512)
 
 
 def _centre(g: Graph) -> int:
