@@ -144,3 +144,10 @@ def test_hybrid_distribution_is_of_the_whole_graph(spark):
         ecc.append(depth)
     got = dict(rows(queries.QUERIES["ecc_hybrid_distribution"](spark, d)))
     assert all(got[e] == ecc.count(e) for e in (min(ecc), max(ecc))) and set(got) <= set(ecc)
+
+
+def test_walks_start_at_every_vertex(spark):
+    d = "/root/testdata/sf0.001"
+    walks = queries.QUERIES["random_walk"](spark, d)
+    n = queries.succession(spark, d, 0, True).vertices.count()  # no vertex of an undirected graph is a sink
+    assert walks.agg(F.sum("visits")).first()[0] == 6 * n

@@ -370,7 +370,7 @@ def visit_order(spark, d):
 @query()
 def random_walk(spark, d):
     g = succession(spark, d, 0, True)
-    return traverse.random_walk(g, g.vertices.where("id % 10 = 0"), 5, seed=7)
+    return traverse.random_walk(g, g.vertices, 5, seed=7)
 
 
 @query()
