@@ -65,6 +65,21 @@ def test_repeated_rows(spark):
         assert got == want
 
 
+def test_rare_dimensions(spark, monkeypatch):
+    """More dimensions than are searched by codes."""
+    monkeypatch.setattr(vectors, "DIMS", 1, raising=False)
+    r = np.random.default_rng(7)
+    rows = [(i, r.standard_normal(3 + i // 40).tolist()) for i in range(120)] + [(130, [1.0] * 9), (131, [2.0] * 9), (131, [1.5] * 9)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    assert sorted(map(tuple, vectors.nearest(df, 10).collect())) == brute(rows[:-2] + rows[-1:], 10)
+
+
+def test_the_65th_dimension(spark):
+    rows = [(10 * n + i, [1.0] * n) for n in range(1, 65) for i in (1, 2, 3)] + [(0, [1.0] * 70), (5, [2.0] * 70)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").coalesce(1)
+    assert sorted(map(tuple, vectors.nearest(df, 1000).collect())) == brute(rows, 1000) != []
+
+
 def test_bounds_hold():
     r = np.random.default_rng(3)
     x = r.standard_normal((3000, 64))

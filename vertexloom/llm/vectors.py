@@ -21,6 +21,8 @@ from .common import by_batches, cut
 CENTRES, SAMPLE, LEVELS, WIDTH, SEED = 16, 4096, 6, 3.5, 5
 #: Queries of one broadcast block, and vectors that are scanned at a time.
 BLOCK, STEP = 2048, 512
+#: The most frequent dimensions, which are searched by codes; vectors of all others are joined by their dimension.
+DIMS = 64
 
 
 @dataclass
@@ -158,7 +160,11 @@ def nearest(df: DataFrame, every: int = 100, k: int = 10) -> DataFrame:
     never find, and the nearest of which counts once. Empty tables and tables without queries give no rows.
     """
     spark, blocks = df.sparkSession, []
-    for dim in [r[0] for r in valid(df).groupBy(F.size("embedding").alias("n")).count().orderBy(F.desc("count"), "n").limit(64).collect()]:
+    dims = [r[0] for r in valid(df).groupBy(F.size("embedding").alias("n")).count().orderBy(F.desc("count"), "n").limit(DIMS + 1).collect()]
+    if len(dims) > DIMS:
+        dims.pop()
+        blocks.append(_joined(valid(df).where(~F.size("embedding").isin(dims)), every))
+    for dim in dims:
         rows = valid(df, dim)
         queries = cut(rows.where(F.col("vec_id") % every == 0).groupBy("vec_id").agg(F.min("embedding").alias("embedding")))
         lots = -(-queries.count() // BLOCK)
@@ -179,6 +185,14 @@ def nearest(df: DataFrame, every: int = 100, k: int = 10) -> DataFrame:
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
+def _joined(rows: DataFrame, every: int) -> DataFrame:
+    """Exact distances of all queries and vectors of the same dimension."""
+    rows = cut(rows.withColumn("n", F.size("embedding")))
+    queries = rows.where(F.col("vec_id") % every == 0).groupBy(F.col("vec_id").alias("query_id"), "n").agg(F.min("embedding").alias("own"))
+    squares = F.zip_with("own", "embedding", lambda a, b: (a - b) * (a - b))
+    return rows.join(queries, "n").where("query_id <> vec_id").select("query_id", "vec_id", F.sqrt(F.aggregate(squares, F.lit(0.0), lambda s, x: s + x)).alias("score"))
+
+
 def _scan(rows: DataFrame, sent, dim: int, k: int) -> DataFrame:
     """The best k of each task for each query of the block."""
     spark = rows.sparkSession
