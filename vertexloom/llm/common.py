@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
@@ -25,18 +26,29 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0, F.lit(True))
 
 
+def slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """The rows of a batch in order, in batches of at most BATCH_ROWS rows and about BATCH_BYTES bytes (a row that is longer goes alone)."""
+    for at in range(0, batch.num_rows, BATCH_ROWS):
+        todo = [batch.slice(at, BATCH_ROWS)]
+        while todo:
+            part = todo.pop()
+            if part.num_rows > 1 and part.nbytes > BATCH_BYTES:
+                half = part.num_rows // 2
+                todo += [part.slice(half), part.slice(0, half)]
+            else:
+                yield part
+
+
 def by_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterable[dict]], schema: str) -> DataFrame:
-    """Apply fn to Arrow batches of bounded size; fn gives dicts of columns, each a list or an Arrow array."""
-    spark = df.sparkSession
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    """Apply fn to Arrow batches of bounded size, cut in the worker; fn gives dicts of columns, each a list or an Arrow array."""
     kind: StructType = _parse_datatype_string(schema)
     arrow = to_arrow_schema(kind)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for out in fn(batch):
-                yield pa.RecordBatch.from_arrays([x if isinstance(x := out[f.name], pa.Array) else pa.array(x, f.type) for f in arrow], schema=arrow)
+            for part in slices(batch):
+                for out in fn(part):
+                    yield pa.RecordBatch.from_arrays([x if isinstance(x := out[f.name], pa.Array) else pa.array(x, f.type) for f in arrow], schema=arrow)
 
     return df.mapInArrow(run, kind)
 
@@ -56,15 +68,52 @@ def shared_folder(spark: SparkSession) -> str:
     return tempfile.mkdtemp(prefix="vertexloom-")
 
 
-def cut(df: DataFrame) -> DataFrame:
+@contextlib.contextmanager
+def _setting(spark: SparkSession, key: str, value: str) -> Iterator[None]:
+    """A setting that holds for the block only."""
+    before = spark.conf.get(key)
+    spark.conf.set(key, value)
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
+def _path(spark: SparkSession, path: str):
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
+
+
+def cut(df: DataFrame, *done: DataFrame) -> DataFrame:
     """Write df as Parquet in the shared folder and read it back: the lineage ends here, and a lost executor costs no recomputation.
 
-    The shuffle files behind df are removed as soon as it is written, so that a job of several steps holds those of one step at a time.
+    The shuffle files behind df are removed as soon as it is written, so that a job of several steps holds those of one step at a time. So are the tables `done` of former
+    cuts, which nothing reads any more; what is left goes when the session ends.
     """
     spark, path = df.sparkSession, f"{shared_folder(df.sparkSession)}/vertexloom-{uuid.uuid4().hex}"
-    spark.conf.set("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    with _setting(spark, "spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true"):
+        df.write.parquet(path)
+    fs, at = _path(spark, path)
+    fs.deleteOnExit(at)
+    for old in done:
+        discard(old)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written = path
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Remove the table of a cut() that nothing reads any more."""
+    fs, at = _path(df.sparkSession, df._written)
+    fs.delete(at, True)
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """name, with as many underscores before it as it takes to be no column of df."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
 
 
 #: Rows of a few columns (ids, digests) that may be broadcast: some tens of MB at most.

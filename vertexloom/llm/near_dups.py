@@ -2,10 +2,9 @@
 
 A document is the multiset of its runs of SHINGLE lower-cased words. Each shingle sends Poisson arrivals at a rate of its count; an arrival goes to a random
 component of the signature, which keeps its earliest, and a shingle stops when its time passes the latest component. Two signatures agree in a component with the
-probability Jaccard similarity. Bands of ROWS components make buckets. In a bucket all are held against its least member, which costs a row for each member. Members of
-buckets that then still span several components get a second look, at other centres in these and in finer buckets. What is still mixed is settled exactly, every member
-against every other of another component, in blocks of bounded size. Pairs are verified by the exact similarity of whole texts. Equal texts are one node all along. Only a
-pair that is alike but shares no bucket is missed; no bucket is cut off, whatever its size.
+probability Jaccard similarity. Bands of ROWS components make buckets. In a bucket all are held against its least member, which costs a row for each member. Buckets that
+then still span several components are settled exactly, every member against every other of another component, in blocks of bounded size. Pairs are verified by the exact
+similarity of whole texts. Equal texts are one node all along. Only a pair that is alike but shares no bucket is missed; no bucket is cut off, whatever its size.
 """
 
 from __future__ import annotations
@@ -15,14 +14,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_batches, cut, sized, texts
+from .common import by_batches, cut, discard, free_name, sized, texts
 from .words import blocks, mix, run_hashes
 
 SHINGLE, THRESHOLD = 5, 0.8
 #: Components of a signature; at 0.8, bands of 4 miss a pair with probability (1 - 0.8^4)^20 < 3e-5.
 SIZE, ROWS = 80, 4
-#: Pairs of the second look are verified if their signatures agree in this part, 4 deviations below the threshold; levels of its buckets.
-LEAST_AGREED, DEPTH = 0.6, 3
+BANDS = SIZE // ROWS
 #: Members on one side of a block of the exact settlement, and shingles that are multiplied at a time.
 LOT, SLAB = 512, 4096
 
@@ -72,135 +70,118 @@ def probability_jaccard(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, n
     return float(total)
 
 
-def _nodes(df: DataFrame) -> DataFrame:
-    """doc_id, text and key (a digest of the lower-cased text) of the rows that have a word."""
-    rows = df.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return rows.where(F.col("text").rlike(r"[^\x20\x09-\x0D]")).withColumn("key", F.unhex(F.md5(F.lower("text"))))
+def _keyed(df: DataFrame) -> DataFrame:
+    """doc_id, text and key: a digest of the lower-cased text, null where the text is null or has no word."""
+    some = F.col("text").rlike(r"[^\x20\x09-\x0D]")
+    return df.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.when(some, F.unhex(F.md5(F.lower("text")))).alias("key"))
 
 
-def sign(nodes: DataFrame) -> DataFrame:
-    """key, signature (array<int>) and buckets (array<long>) of every row."""
+def sign(rows: DataFrame) -> DataFrame:
+    """doc_id, key and buckets (array<long>, null without a key) of every row of _keyed()."""
 
     def run(batch: pa.RecordBatch):
-        z = signatures(shingles(texts(batch)))
-        band = np.zeros((len(z), SIZE // ROWS), np.uint64)
+        some = batch.column("key").is_valid().to_numpy(zero_copy_only=False)
+        z = signatures(shingles([x for x, k in zip(texts(batch), some, strict=True) if k]))
+        band = np.zeros((len(z), BANDS), np.uint64)
         for k in range(ROWS):
             band = mix(band + z[:, k::ROWS], k)
-        band = mix(band + np.arange(SIZE // ROWS, dtype=np.uint64), ROWS)
-        width = lambda x: pa.array(np.arange(0, x.size + 1, x.shape[1], dtype=np.int32))
-        yield {
-            "key": batch.column("key"),
-            "signature": pa.ListArray.from_arrays(width(z), pa.array(z.astype(np.uint32).view(np.int32).ravel())),
-            "buckets": pa.ListArray.from_arrays(width(band), pa.array(band.view(np.int64).ravel())),
-        }
+        band = mix(band + np.arange(BANDS, dtype=np.uint64), ROWS)
+        ends = np.r_[0, np.cumsum(some * BANDS)].astype(np.int32)
+        yield {"doc_id": batch.column("doc_id"), "key": batch.column("key"), "buckets": pa.ListArray.from_arrays(pa.array(ends), pa.array(band.view(np.int64).ravel()), mask=pa.array(~some))}
 
-    return by_batches(nodes.select("key", "text"), run, "key binary, signature array<int>, buckets array<long>")
+    return by_batches(rows, run, "doc_id long, key binary, buckets array<long>")
 
 
-def verify(pairs: DataFrame, words: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """Those pairs (a, b) whose texts have a similarity of threshold or more; words: key, text."""
-    ends = cut(pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct())
-    known = cut(words.join(sized(ends), "key", "left_semi").groupBy("key").agg(F.first("text").alias("text")))  # equal keys, equal texts but for case
-    side = lambda x: known.select(F.col("key").alias(x), F.col("text").alias(f"text_{x}"))
+def _sets(rows: DataFrame, keys: DataFrame) -> DataFrame:
+    """key, hashes and counts: the shingles of the texts whose key is in keys (a table of cut()), once for equal texts."""
 
     def run(batch: pa.RecordBatch):
-        a, b = batch.column("a").to_pylist(), batch.column("b").to_pylist()
-        of: dict[bytes, str] = dict(zip(a, texts(batch, "text_a"), strict=True)) | dict(zip(b, texts(batch, "text_b"), strict=True))
-        sets = dict(zip(of, shingles(list(of.values())), strict=True))
-        ok = [probability_jaccard(sets[x], sets[y]) >= threshold for x, y in zip(a, b, strict=True)]
-        yield {"a": [x for x, k in zip(a, ok, strict=True) if k], "b": [x for x, k in zip(b, ok, strict=True) if k]}
+        sets = shingles(texts(batch))
+        at = pa.array(np.r_[0, np.cumsum([len(h) for h, _ in sets])].astype(np.int32))
+        flat = lambda k, kind: np.concatenate([x[k] for x in sets] or [np.zeros(0, kind)]).astype(kind)
+        yield {"key": batch.column("key"), "hashes": pa.ListArray.from_arrays(at, pa.array(flat(0, np.uint64).view(np.int64))), "counts": pa.ListArray.from_arrays(at, pa.array(flat(1, np.int32)))}
+
+    known = rows.select("key", "text").join(sized(keys), "key", "left_semi").groupBy("key").agg(F.first("text").alias("text"))  # equal keys, equal texts but for case
+    return by_batches(known, run, "key binary, hashes array<long>, counts array<int>")
+
+
+def _arrays(batch: pa.RecordBatch | pa.Table, side: str = "") -> list[tuple[np.ndarray, np.ndarray]]:
+    return [(h.values.to_numpy(), c.values.to_numpy()) for h, c in zip(batch.column(f"hashes{side}"), batch.column(f"counts{side}"), strict=True)]
+
+
+def verify(pairs: DataFrame, sets: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """Those pairs (a, b) whose texts have a similarity of threshold or more; pairs and sets are tables of cut()."""
+    side = lambda x: sets.select(F.col("key").alias(x), F.col("hashes").alias(f"hashes_{x}"), F.col("counts").alias(f"counts_{x}"))
+
+    def run(batch: pa.RecordBatch):
+        ok = [probability_jaccard(x, y) >= threshold for x, y in zip(_arrays(batch, "_a"), _arrays(batch, "_b"), strict=True)]
+        yield {k: batch.column(k).filter(pa.array(ok, pa.bool_())) for k in ("a", "b")}
 
-    return by_batches(pairs.join(side("a"), "a").join(side("b"), "b"), run, "a binary, b binary")
+    return by_batches(side("a").join(sized(pairs), "a").join(side("b"), "b"), run, "a binary, b binary")
 
 
 def components(links: DataFrame) -> DataFrame:
     """key and label (the least key of its component) of all ends of links, by least labels of neighbours and of labels in turn."""
-    both = cut(links.select("a", "b").union(links.select("b", "a")).distinct())
-    labels = cut(both.groupBy("a").agg(F.min("b").alias("b")).select(F.col("a").alias("key"), F.least("a", "b").alias("label")))
+    ends = F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")), F.struct("a", F.col("a").alias("b")), F.struct(F.col("b").alias("a"), "b"))
+    near = cut(links.select(F.explode(ends).alias("e")).select("e.a", "e.b").distinct())  # both ways, and each end with itself
+    labels = cut(near.groupBy("a").agg(F.min("b").alias("label")).withColumnRenamed("a", "key"))
     while True:
-        near = both.join(labels.withColumnRenamed("key", "b"), "b").groupBy("a").agg(F.min("label").alias("near")).withColumnRenamed("a", "key")
-        lower = labels.join(near, "key").select("key", "label", F.least("label", "near").alias("new"))
-        jump = labels.select(F.col("key").alias("new"), F.col("label").alias("next"))
-        step = cut(lower.join(jump, "new").select("key", F.least("new", "next").alias("new"), "label"))
-        changed = step.where(F.col("new") != F.col("label")).limit(1).count()
-        labels = step.select("key", F.col("new").alias("label"))
-        if not changed:
-            return labels
-
-
-def classes_of(nodes: DataFrame) -> DataFrame:
-    """key and label of the nodes that have near duplicates."""
-    signed = cut(sign(nodes).groupBy("key").agg(F.first("signature").alias("signature"), F.first("buckets").alias("buckets")))
-    member = signed.select("key", F.explode("buckets").alias("bucket"))
+        known = sized(labels)
+        low = near.join(known.withColumnRenamed("key", "b"), "b").groupBy("a").agg(F.min("label").alias("new"), F.min(F.when(F.col("a") == F.col("b"), F.col("label"))).alias("old"))
+        jump = known.select(F.col("key").alias("new"), F.col("label").alias("next"))
+        step = cut(low.join(jump, "new").select(F.col("a").alias("key"), F.least("new", "next").alias("label"), "old"), labels)
+        labels = step
+        if not step.where("label <> old").limit(1).count():
+            discard(near)
+            return step.select("key", "label")
+
+
+def classes_of(rows: DataFrame, signed: DataFrame) -> DataFrame:
+    """key and label of the texts that have near duplicates; rows as _keyed() gives them, signed a written sign() of them."""
+    rows = rows.where("key IS NOT NULL")
+    once = cut(signed.where("key IS NOT NULL").groupBy("key").agg(F.first("buckets").alias("buckets")))
+    member = once.select("key", F.explode("buckets").alias("bucket"))
     centres = cut(member.groupBy("bucket").agg(F.min("key").alias("a"), F.max("key").alias("last")).where(F.col("a") < F.col("last")).select("bucket", "a"))
     # only members of buckets with several texts matter from here on
-    crowd = cut(member.join(centres, "bucket").select("bucket", "a", "key"))
-    done = cut(crowd.where(F.col("a") < F.col("key")).select("a", F.col("key").alias("b")).distinct())
-    links = cut(verify(done, nodes.select("key", "text")))
+    crowd = cut(member.join(sized(centres), "bucket").select("bucket", "a", "key"), once, centres)
+    keys = cut(crowd.select("key").distinct())
+    sets = cut(_sets(rows, keys), keys)
+    pairs = cut(crowd.where(F.col("a") < F.col("key")).select("a", F.col("key").alias("b")).distinct())
+    links = cut(verify(pairs, sets), pairs)
     labels = components(links)
-    own = cut(crowd.join(labels, "key", "left").select("bucket", "key", F.coalesce("label", "key").alias("label")))
-    mixed = own.groupBy("bucket").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.count("*").alias("n")).where((F.col("x") < F.col("y")) & (F.col("n") > 2)).select("bucket")
-    loose = cut(own.join(cut(mixed), "bucket").select("key", "label").distinct())
-    more = cut(_second_look(signed, loose).join(done, ["a", "b"], "left_anti"))
-    if more.limit(1).count():
-        links = cut(links.union(verify(more, nodes.select("key", "text"))))
-        labels = components(links)
-    rest = cut(_settled(crowd, labels, nodes.select("key", "text")))
-    return components(links.union(rest)) if rest.limit(1).count() else labels
-
-
-def _second_look(signed: DataFrame, loose: DataFrame) -> DataFrame:
-    """Pairs (a, b) of members of buckets that still span several components: each with one centre in each of its buckets and of DEPTH - 1 finer ones, chosen anew.
-
-    Finer buckets join neighbouring bands, so in a crowd that is alike but for the most part not enough, the closest meet. Only pairs of different components whose
-    signatures agree enough are left. The rows grow with the members, not with their pairs.
-    """
-    bands = SIZE // ROWS
-    level = lambda n: f"transform(buckets, (x, i) -> xxhash64({n}, {', '.join(f'buckets[(i + {k}) % {bands}]' for k in range(n))}))"
-    finer = F.expr(f"concat({', '.join(level(n) for n in range(1, DEPTH + 1))})")
-    member = signed.join(loose, "key").select("key", "label", F.explode(finer).alias("bucket"))
-    centre = member.groupBy("bucket").agg(F.min(F.struct(F.xxhash64("key", "bucket").alias("order"), "key", "label")).alias("c"), F.max("label").alias("y"), F.min("label").alias("x"))
-    centre = cut(centre.where(F.col("x") < F.col("y")).select("bucket", F.col("c.key").alias("c"), F.col("c.label").alias("c_label")))
-    met = member.join(centre, "bucket").where(F.col("label") != F.col("c_label")).select(F.least("key", "c").alias("a"), F.greatest("key", "c").alias("b")).distinct()
-    side = lambda x: signed.select(F.col("key").alias(x), F.col("signature").alias(f"signature_{x}"))
-    agreed = F.aggregate(F.zip_with("signature_a", "signature_b", lambda x, y: (x == y).cast("int")), F.lit(0), lambda s, x: s + x)
-    return met.join(side("a"), "a").join(side("b"), "b").where(agreed >= LEAST_AGREED * SIZE).select("a", "b")
-
-
-def _settled(crowd: DataFrame, labels: DataFrame, words: DataFrame) -> DataFrame:
+    rest = cut(_settled(crowd, labels, sets))
+    if rest.limit(1).count():
+        labels = components(links.union(rest))
+    for x in (crowd, sets, links, rest):
+        discard(x)
+    return labels
+
+
+def _settled(crowd: DataFrame, labels: DataFrame, sets: DataFrame) -> DataFrame:
     """Links (a, b) that join all components with a pair of THRESHOLD or more in a common bucket.
 
     A bucket's members are dealt into lots by a hash, and each pair of lots is a group of its own; those of the bucket's commonest label are only held against the rest, as they
     are joined already. Of buckets with the same members one counts. Where many stay apart, the work grows with their pairs, as any exact answer needs; a group stays bounded.
     """
-    own = cut(crowd.join(labels, "key", "left").select("bucket", "key", F.coalesce("label", "key").alias("label")))
+    own = cut(crowd.join(sized(labels), "key", "left").select("bucket", "key", F.coalesce("label", "key").alias("label")))
     kinds = own.groupBy("bucket", "label").agg(F.count("*").alias("n"), F.min("key").alias("least"), F.max("key").alias("last"), F.bit_xor(F.xxhash64("key")).alias("print"))
     size = kinds.groupBy("bucket").agg(F.max(F.struct("n", "label")).alias("most"), F.sum("n").alias("n"), F.count("*").alias("kinds"), F.min("least").alias("least"), F.max("last").alias("last"), F.bit_xor("print").alias("print"))
-    mixed = size.where("kinds > 1 AND n > 2").groupBy("n", "least", "last", "print").agg(F.min(F.struct("bucket", "most")).alias("m"))
+    mixed = size.where("kinds > 1 AND n > 2").groupBy("n", "least", "last", "print").agg(F.min(F.struct("bucket", "most")).alias("m"))  # the two of a pair have been compared
     few, lots = F.col("n") <= LOT, lambda n: F.ceil(n / LOT).cast("int")
     mixed = cut(mixed.select("m.bucket", F.when(~few, F.col("m.most.label")).alias("main"), F.when(few, 1).otherwise(lots(F.col("n") - F.col("m.most.n"))).alias("rest"), F.when(few, 0).otherwise(lots(F.col("m.most.n"))).alias("mains")))
     is_main = F.coalesce(F.col("label") == F.col("main"), F.lit(False))
     at = F.pmod(F.xxhash64("key", "bucket"), F.when(is_main, F.col("mains")).otherwise(F.col("rest"))).cast("int") + F.when(is_main, F.col("rest")).otherwise(0)
-    member = own.join(mixed, "bucket").select("bucket", "key", "label", at.alias("lot"), F.when(is_main, F.col("rest")).otherwise(F.col("rest") + F.col("mains")).alias("others"))
+    member = own.join(sized(mixed), "bucket").select("bucket", "key", "label", at.alias("lot"), F.when(is_main, F.col("rest")).otherwise(F.col("rest") + F.col("mains")).alias("others"))
     member = member.withColumn("other", F.explode(F.expr("sequence(0, others - 1)"))).select("bucket", F.least("lot", "other").alias("i"), F.greatest("lot", "other").alias("j"), "lot", "key", "label")
-    member = cut(member)
-
-    def count(batch: pa.RecordBatch):
-        sets = shingles(texts(batch))
-        at = np.r_[0, np.cumsum([len(h) for h, _ in sets])].astype(np.int32)
-        flat = lambda k, kind: pa.array(np.concatenate([x[k] for x in sets] or [[]]).astype(kind))
-        yield {"key": batch.column("key"), "hashes": pa.ListArray.from_arrays(pa.array(at), pa.array(flat(0, np.uint64).to_numpy().view(np.int64))), "counts": pa.ListArray.from_arrays(pa.array(at), flat(1, np.int32))}
-
-    known = words.join(sized(cut(member.select("key").distinct())), "key", "left_semi").groupBy("key").agg(F.first("text").alias("text"))
-    sets = cut(by_batches(known, count, "key binary, hashes array<long>, counts array<int>"))
-    return member.join(sets, "key").groupBy("bucket", "i", "j").applyInArrow(_block, "a binary, b binary").distinct()
+    member = cut(member, own, mixed)
+    return sets.join(sized(member), "key").groupBy("bucket", "i", "j").applyInArrow(_block, "a binary, b binary").distinct()
 
 
 def _block(rows: pa.Table) -> pa.Table:
     """Links that join all labels of a group's rows with an alike pair, one from lot i and the other from lot j."""
     lot, keys = rows.column("lot").to_numpy(), rows.column("key").to_pylist()
     labels = np.unique(np.array(rows.column("label").to_pylist(), object), return_inverse=True)[1]
-    sets = [(h.values.to_numpy(), c.values.to_numpy()) for h, c in zip(rows.column("hashes"), rows.column("counts"), strict=True)]
+    sets = _arrays(rows)
     left, right = np.flatnonzero(lot == rows.column("i")[0].as_py()), np.flatnonzero(lot == rows.column("j")[0].as_py())
     up, links = list(range(len(keys))), []
 
@@ -251,15 +232,17 @@ def near_duplicates(df: DataFrame) -> DataFrame:
     Documents whose text is null or has no word are groups of their own, as is one that resembles none. Rows with the same doc_id and different texts are different
     documents here; a row without doc_id belongs to a group but doesn't name it (null, if no member has an id). Further columns are not read.
     """
-    nodes = _nodes(df)
-    labels = classes_of(nodes)
-    rows = nodes.select("doc_id", "key").join(labels, "key", "left").select("doc_id", F.coalesce("label", "key").alias("label"))
-    ids = cut(rows.groupBy("label").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("class_size")))
-    rest = df.where(~F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))).select(F.col("doc_id").cast("long").alias("doc_id"))
-    return rows.join(ids, "label").select("doc_id", "class_id", "class_size").unionByName(rest.select("doc_id", F.col("doc_id").alias("class_id"), F.lit(1).cast("long").alias("class_size")))
+    rows = _keyed(df)
+    signed = cut(sign(rows))
+    labels = classes_of(rows, signed)
+    own = cut(signed.where("key IS NOT NULL").join(sized(labels), "key", "left").select("doc_id", F.coalesce("label", "key").alias("label")))
+    ids = cut(own.groupBy("label").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("class_size")))
+    alone = signed.where("key IS NULL").select("doc_id", F.col("doc_id").alias("class_id"), F.lit(1).cast("long").alias("class_size"))
+    return own.join(ids, "label").select("doc_id", "class_id", "class_size").unionByName(alone)
 
 
 def keep_one(df: DataFrame) -> DataFrame:
-    """df without the documents whose group has a member with a smaller doc_id; rows that share a doc_id stay or go together, rows without one stay."""
-    gone = cut(near_duplicates(df).where(F.col("class_id") < F.col("doc_id")).select(F.col("doc_id").alias("__gone")).distinct())
-    return df.join(sized(gone), F.col("doc_id") == F.col("__gone"), "left_anti")
+    """df without the documents whose group has a member with a smaller doc_id; rows that share a doc_id stay or go together, rows without one stay. Columns stay, whatever their names."""
+    name = free_name(df, "gone")
+    gone = cut(near_duplicates(df).where(F.col("class_id") < F.col("doc_id")).select(F.col("doc_id").alias(name)).distinct())
+    return df.join(sized(gone), F.col("doc_id") == F.col(name), "left_anti")
