@@ -33,7 +33,8 @@ def test_query(spark):
 
 
 def test_odd_rows(spark, monkeypatch):
-    monkeypatch.setattr(vectors, "BLOCK", 2)
+    monkeypatch.setattr(vectors, "QUERIES", 2)
+    monkeypatch.setattr(vectors, "VECTORS", 20)
     r = np.random.default_rng(2)
     rows = [(i, r.standard_normal(70).tolist()) for i in range(60)]
     rows += [(100, rows[3][1]), (101, rows[3][1]), (60, [0.0] * 70), (61, None), (62, []), (63, [1.0] * 69 + [None]), (64, [float("nan")] * 70), (65, [float("inf")] * 70), (None, rows[1][1]), (70, [1.0, 2.0]), (80, [1.0, 3.0])]
@@ -80,13 +81,29 @@ def test_the_65th_dimension(spark):
     assert sorted(map(tuple, vectors.nearest(df, 1000).collect())) == brute(rows, 1000) != []
 
 
+def test_lists_lots_and_rounds(spark, monkeypatch):
+    """Clustered vectors, lists that are probed in either round, lots of vectors and crowds of queries: whatever the bounds skip isn't among the nearest."""
+    for name, x in (("FIRST", 1), ("VECTORS", 16), ("QUERIES", 3), ("STEP", 8), ("PAIRS", 32)):
+        monkeypatch.setattr(vectors, name, x)
+    r = np.random.default_rng(8)
+    middle = r.standard_normal((6, 16)) * 4
+    rows = [(i, (middle[i % 6] + r.standard_normal(16) * (0.2 if i % 5 else 2)).tolist()) for i in range(600)] + [(601, middle[0].tolist())] * 200
+    coders, dims = vectors._coders(vectors.valid(spark.createDataFrame(rows, "vec_id long, embedding array<double>")))
+    assert dims == [16] and len(coders[16].centres) > 3
+    got = sorted(map(tuple, vectors.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(5), 10).collect()))
+    assert got == brute(rows[:601], 10)
+
+
 def test_bounds_hold():
     r = np.random.default_rng(3)
-    x = r.standard_normal((3000, 64))
-    c = vectors.Coder.fit(x[:500])
+    x = r.standard_normal((3000, 60))
+    c = vectors.Coder.fit(x[:500], 9)
     near, codes, sizes, along = c.encode(x)
     of = near == near[0]
-    guess, off = vectors.Planes.of(c, x[:50], near[0]).squared_distance(codes[of], sizes[of], along[of])
+    guess, off = c.estimate(x[:50], near[0], codes[of], sizes[of], along[of])
     true = vectors._squares(x[:50], x[of])
     assert (np.abs(guess - true) <= off).mean() > 0.999
     assert abs((guess - true).mean()) < 1
+    bits = np.unpackbits(codes[of], axis=1)
+    y = (x[of] - c.centres[near[0]]) @ c.rotation
+    assert bits.shape == y.shape and ((bits == 1) == (y > 0)).all()
