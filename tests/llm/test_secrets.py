@@ -5,6 +5,7 @@ import math
 import random
 import re
 import string
+import time
 from collections import Counter
 
 from vertexloom.llm import secrets
@@ -75,6 +76,31 @@ def test_cases(spark):
     assert secrets.redact(df).columns == df.columns
 
 
+def test_very_many_spans(spark):
+    """A dump of tens of thousands of spans: time grows with the text, not with its square."""
+    rnd, took = random.Random(3), {}
+    word = lambda a, n: "".join(rnd.choice(a) for _ in range(n))
+    for n in (500, 5_000, 30_000):
+        text = " ".join(word("abcdef0123456789", 17) if i % 2 else word(string.ascii_letters + string.digits, 24) for i in range(n))
+        df = spark.createDataFrame([(0, text)], "doc_id long, text string")
+        began = time.perf_counter()
+        row = secrets.find(df).first()
+        hidden = secrets.redact(df).first().text
+        took[n] = time.perf_counter() - began
+        assert row.n_hex == n // 2 and row.n_entropy > 0.45 * n and hidden.count("[SECRET]") == row.n_hex + row.n_entropy
+        if n == 500:
+            same([row], {0: text})
+    assert took[30_000] < 6 * 2.5 * took[5_000]
+
+
+def test_sums_of_windows_do_not_drift(spark):
+    """The state is in whole numbers, so a window far along counts as the same window alone."""
+    rnd = random.Random(5)
+    c = "".join(rnd.choice("abcdefghijklmnopqrstuvwxyzABCDEFGH0123456789+/") for _ in range(5000))
+    row = spark.createDataFrame([(c,)], "c string").selectExpr(f"{secrets.high_entropy('c')} AS r").first()
+    assert [[x.s, x.e] for x in row.r] == entropy_spans(c)
+
+
 def test_query(spark):
     d = "/root/testdata/sf0.01"
     text = {r.doc_id: r.text for r in table(spark, d, "documents").collect()}
