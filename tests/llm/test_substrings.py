@@ -4,6 +4,7 @@ import hashlib
 import random
 
 import duckdb
+from pyspark.sql import functions as F
 
 from vertexloom.llm import substrings
 from vertexloom.llm.common import table
@@ -49,6 +50,10 @@ def test_cases(spark):
     assert substrings.digest(df.limit(0)).collect() == []
     kept = substrings.remove(df)
     assert kept.columns == df.columns and kept.count() == len(rows)
+    odd = df.withColumnsRenamed({"place": "__id", "places": "__hash"}).withColumns({"row": F.array("doc_id"), "__copy": F.lit(None).cast("boolean")})
+    again = substrings.remove(odd)
+    assert again.columns == odd.columns and sorted(map(str, again.select(odd.columns[:4]).collect())) == sorted(map(str, kept.toDF(*odd.columns[:4]).collect()))
+    assert all(r.row == [r.doc_id] and r["__id"] == 1 and r["__hash"] == "p" for r in again.collect())
     digests = {(r.doc_id, r.n_words): r for r in substrings.digest(df).collect()}
     for r in kept.collect():
         if r.text is None:

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_batches, cut, texts
+from .common import by_batches, cut, sized, texts
 from .words import Block, blocks, rolling_minimum, run_hashes
 
 #: Words of a window (the least length of a repeat) and of a seed.
@@ -79,13 +79,14 @@ def repeated_windows(docs: DataFrame, length: int = LENGTH, seed: int = SEED) ->
     found = by_batches(ids.select("__id", "text"), seeds, "seed long, __id long")
     shared = found.groupBy("seed").agg(F.count("*").alias("n")).where("n > 1").select("seed")
     shared = cut(shared)  # read from a table, it leaves Spark free to split frequent seeds in the join
-    marked = cut(found.join(shared, "seed").groupBy("__id").agg(F.collect_set("seed").alias("__seeds")))
+    marked = cut(found.join(shared, "seed").groupBy("__id").agg(F.collect_set("seed").alias("__seeds")), shared)
 
     whole = ids.select("__id", F.unhex(F.md5("text")).alias("md5"))
-    firsts = whole.groupBy("md5").agg(F.min("__id").alias("first"), F.max("__id").alias("last")).where(F.col("first") < F.col("last")).drop("last")
+    firsts = cut(whole.groupBy("md5").agg(F.min("__id").alias("first"), F.max("__id").alias("last")).where(F.col("first") < F.col("last")).drop("last"))
     several = whole.groupBy("__id").agg(F.min("md5").alias("a"), F.max("md5").alias("b")).where(F.col("a") < F.col("b"))
-    copies = whole.join(firsts, "md5").where(F.col("first") < F.col("__id")).groupBy("__id").agg(F.lit(True).alias("__copy")).join(several, "__id", "left_anti")
-    copies = cut(copies)
+    # a broadcast, or a join whose frequent digests Spark can split
+    copies = whole.join(sized(firsts), "md5").where(F.col("first") < F.col("__id")).groupBy("__id").agg(F.lit(True).alias("__copy")).join(several, "__id", "left_anti")
+    copies = cut(copies, firsts)
 
     def extend(batch: pa.RecordBatch):
         out = {k: [] for k in ("w1", "w2", "__id", "place")}
@@ -112,7 +113,7 @@ def repeated_windows(docs: DataFrame, length: int = LENGTH, seed: int = SEED) ->
     first = windows.groupBy("w1", "w2").agg(F.min("__id").alias("first"), F.max("__id").alias("last")).where(F.col("first") < F.col("last")).drop("last")
     first = cut(first)
     again = windows.join(first, ["w1", "w2"]).where(F.col("first") < F.col("__id")).groupBy("__id").agg(F.collect_set("place").alias("__places"))
-    return cut(again.join(copies, "__id", "full"))
+    return cut(again.join(copies, "__id", "full"), marked, copies, first)
 
 
 def _joined(df: DataFrame, length: int, seed: int) -> DataFrame:
@@ -174,14 +175,15 @@ def digest(df: DataFrame, length: int = LENGTH, seed: int = SEED) -> DataFrame:
 
 
 def remove(df: DataFrame, length: int = LENGTH, seed: int = SEED) -> DataFrame:
-    """df with the kept words of text, joined by one space; a text from which nothing goes, or that is null, stays as it is. Columns and rows stay."""
+    """df with the kept words of text, joined by one space; a text from which nothing goes, or that is null, stays as it is. Columns and rows stay, whatever the columns' names."""
     names = [f.name for f in df.schema]
 
     def run(batch: pa.RecordBatch):
         out = [x if gone is None or not gone.any() else b" ".join(_kept(words, gone)).decode() for x, (words, gone) in zip(batch.column("text").to_pylist(), _gone(batch, length), strict=True)]
-        yield {k: batch.column(k) for k in names} | {"text": out}
+        yield dict(zip(names, batch.column("row").flatten(), strict=True)) | {"text": out}
 
-    return by_batches(_joined(df, length, seed), run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema))
+    rows = df.select("doc_id", "text", F.struct(*(F.col(f"`{k}`") for k in names)).alias("row"))
+    return by_batches(_joined(rows, length, seed), run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema))
 
 
 #: DuckDB SQL for digest() over the table documents.
