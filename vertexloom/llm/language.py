@@ -2,7 +2,7 @@
 
 Filters of several widths run over fixed windows of WINDOW bytes, each filter's maximum goes to a softmax layer. The network is trained here, in
 numpy, on at most DOCS labelled documents a language (expected number; a hash of doc_id chooses) and WINDOWS windows from each, spread over its
-whole text; a prediction covers every window of a text. Bytes are folded into 64 classes first, so that two neighbouring bytes index one table.
+whole text; a prediction covers every window of a text. All 256 byte values have weights of their own (0 is padding too); two neighbouring bytes index one table.
 """
 
 from __future__ import annotations
@@ -17,24 +17,11 @@ from pyspark.sql import functions as F
 
 from .common import by_batches, held_out, texts
 
-WINDOW, WIDTHS, FILTERS, CLASSES = 256, (2, 3, 4), 16, 64
-DOCS, WINDOWS, LANGUAGES = 500, 4, 256
+WINDOW, WIDTHS, FILTERS, BYTES = 256, (2, 3, 4), 16, 256
+DOCS, WINDOWS = 500, 4
 EPOCHS, BATCH, RATE, SEED = 6, 64, 0.01, 7
-
-
-def _folding() -> np.ndarray:
-    """Class 0 is padding, 1 to 26 letters of either case, then digits, white space, other ASCII, lead bytes by length, and continuation bytes by their low five bits (so that most pairs of cases agree)."""
-    out = np.zeros(256, np.uint8)
-    for b in range(256):
-        c = chr(b)
-        if b < 128:
-            out[b] = ord(c.lower()) - 96 if c.isalpha() else 27 if c.isdigit() else 28 if c.isspace() or b == 0 else 29
-        else:
-            out[b] = 32 + (b & 31) if b < 192 else 30 if b < 224 else 31
-    return out
-
-
-FOLD = _folding()
+#: Bytes of letters: A to Z, a to z, and all bytes of longer UTF-8 sequences.
+LETTER = np.array([b >= 128 or chr(b).isalpha() for b in range(BYTES)])
 
 
 def has_letter(text: str) -> bool:
@@ -42,15 +29,15 @@ def has_letter(text: str) -> bool:
 
 
 def windows_of(data: bytes) -> np.ndarray:
-    """Classes of all windows, one after the other; the last one is padded."""
+    """The bytes of all windows, one after the other; the last one is padded with 0."""
     out = np.zeros(-(-len(data) // WINDOW) * WINDOW, np.uint8)
-    out[: len(data)] = FOLD[np.frombuffer(data, np.uint8)]
+    out[: len(data)] = np.frombuffer(data, np.uint8)
     return out.reshape(-1, WINDOW)
 
 
 @dataclass
 class ByteConv:
-    """Filters [width, class, filter] for each width, their offsets, and the softmax layer over their maxima."""
+    """Filters [width, byte, filter] for each width, their offsets, and the softmax layer over their maxima."""
 
     languages: list[str]
     filters: list[np.ndarray]
@@ -61,46 +48,49 @@ class ByteConv:
     @classmethod
     def new(cls, languages: list[str]) -> ByteConv:
         r = np.random.default_rng(SEED)
-        filters = [(r.standard_normal((w, CLASSES, FILTERS)) * 0.3).astype(np.float32) for w in WIDTHS]
+        filters = [(r.standard_normal((w, BYTES, FILTERS)) * 0.3).astype(np.float32) for w in WIDTHS]
         for f in filters:
             f[:, 0] = 0
         n = len(WIDTHS) * FILTERS
         return cls(languages, filters, np.zeros(n, np.float32), (r.standard_normal((n, len(languages))) * 0.1).astype(np.float32), np.zeros(len(languages), np.float32))
 
+    def gradients(self, c: np.ndarray, want: np.ndarray) -> tuple[float, list[np.ndarray]]:
+        """The mean cross entropy of windows c, and its gradients by filters, offsets, weights and bias; a filter's goes to the place of its maximum."""
+        n, best, tops, f = len(c), [], [], np.arange(FILTERS)
+        for w in self.filters:
+            span = WINDOW - len(w) + 1
+            conv = w[0][c[:, :span]]
+            for k in range(1, len(w)):
+                conv += w[k][c[:, k : k + span]]
+            best.append(conv.argmax(1))
+            tops.append(np.take_along_axis(conv, best[-1][:, None], 1)[:, 0])
+        raw = np.concatenate(tops, 1) + self.offsets
+        h = np.maximum(raw, 0)
+        d = self._softmax(h @ self.weights + self.bias)
+        loss = -float(np.log(d[np.arange(n), want] + 1e-30).mean())
+        d[np.arange(n), want] -= 1
+        d /= n
+        back = (d @ self.weights.T) * (raw > 0)
+        grads = []
+        for i, w in enumerate(self.filters):
+            g, own = np.zeros_like(w), back[:, i * FILTERS : (i + 1) * FILTERS]
+            for k in range(len(w)):
+                np.add.at(g[k], (c[np.arange(n)[:, None], best[i] + k], f), own)
+            g[:, 0] = 0
+            grads.append(g)
+        return loss, [*grads, back.sum(0), h.T @ d, d.sum(0)]
+
     def train(self, x: np.ndarray, y: np.ndarray) -> None:
-        """Adam on the cross entropy; a filter's gradient goes to the place of its maximum."""
+        """Adam on the cross entropy."""
         r = np.random.default_rng(SEED)
         params = [*self.filters, self.offsets, self.weights, self.bias]
         m, v, t = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params], 0
-        f = np.arange(FILTERS)
         for _ in range(EPOCHS):
             order = r.permutation(len(x))
             for at in range(0, len(x), BATCH):
-                c, want = x[order[at : at + BATCH]], y[order[at : at + BATCH]]
-                n, best, tops = len(c), [], []
-                for w in self.filters:
-                    span = WINDOW - len(w) + 1
-                    conv = w[0][c[:, :span]]
-                    for k in range(1, len(w)):
-                        conv += w[k][c[:, k : k + span]]
-                    best.append(conv.argmax(1))
-                    tops.append(np.take_along_axis(conv, best[-1][:, None], 1)[:, 0])
-                raw = np.concatenate(tops, 1) + self.offsets
-                h = np.maximum(raw, 0)
-                d = self._softmax(h @ self.weights + self.bias)
-                d[np.arange(n), want] -= 1
-                d /= n
-                back = (d @ self.weights.T) * (raw > 0)
-                grads = []
-                for i, w in enumerate(self.filters):
-                    g, own = np.zeros_like(w), back[:, i * FILTERS : (i + 1) * FILTERS]
-                    for k in range(len(w)):
-                        np.add.at(g[k], (c[np.arange(n)[:, None], best[i] + k], f), own)
-                    g[:, 0] = 0
-                    grads.append(g)
-                grads += [back.sum(0), h.T @ d, d.sum(0)]
+                k = order[at : at + BATCH]
                 t += 1
-                for p, g, a, b in zip(params, grads, m, v, strict=True):
+                for p, g, a, b in zip(params, self.gradients(x[k], y[k])[1], m, v, strict=True):
                     a += 0.1 * (g - a)
                     b += 0.001 * (g * g - b)
                     p -= (RATE * (a / (1 - 0.9**t)) / (np.sqrt(b / (1 - 0.999**t)) + 1e-8)).astype(np.float32)
@@ -111,7 +101,7 @@ class ByteConv:
         return e / e.sum(1, keepdims=True)
 
     def tables(self) -> list[tuple[np.ndarray, np.ndarray | None]]:
-        """For each width, what a pair of classes adds at its start, and what the third class or the second pair adds."""
+        """For each width, what a pair of bytes adds at its start, and what the third byte or the second pair adds."""
         pair = lambda a, b: (a[:, None] + b[None]).reshape(-1, FILTERS)
         return [(pair(w[0], w[1]), None if len(w) == 2 else w[2] if len(w) == 3 else pair(w[2], w[3])) for w in self.filters]
 
@@ -119,7 +109,7 @@ class ByteConv:
         out = np.empty((len(c), len(self.languages)))
         for at in range(0, len(c), step):
             x = c[at : at + step]
-            pairs, tops = x[:, :-1].astype(np.int64) * CLASSES + x[:, 1:], []
+            pairs, tops = x[:, :-1].astype(np.int64) * BYTES + x[:, 1:], []
             for w, (first, rest) in zip(WIDTHS, tables, strict=True):
                 conv = np.take(first, pairs[:, : WINDOW - w + 1], 0)
                 if w == 3:
@@ -133,14 +123,15 @@ class ByteConv:
 
 
 def train(df: DataFrame, docs: int = DOCS) -> ByteConv | None:
-    """A network for the languages of df's rows that may be learnt from (at most LANGUAGES, the most frequent ones); None if there are none."""
+    """A network for all languages of df's rows that may be learnt from; None if there are none."""
     known = df.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.col("lang").cast("string").alias("lang")).where(~held_out(F.col("doc_id")) & F.col("lang").isNotNull() & (F.length("text") > 0))
-    count = {r.lang: r.n for r in known.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()}
+    count = {r.lang: r.n for r in known.groupBy("lang").agg(F.count("*").alias("n")).collect()}  # a row a language
     if not count:
         return None
     names = sorted(count)
-    share = F.create_map(*[F.lit(x) for k in names for x in (k, min(1.0, docs / count[k]))])
-    picked = known.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 20)) < share[F.col("lang")] * (1 << 20)).limit(2 * docs * len(names))
+    share = df.sparkSession.createDataFrame([(k, min(1.0, docs / count[k])) for k in names], "lang string, share double")
+    chosen = known.join(F.broadcast(share), "lang").where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 20)) < F.col("share") * (1 << 20))
+    picked = chosen.select("doc_id", "text", "lang").limit(2 * docs * len(names))
 
     def run(batch: pa.RecordBatch):
         out = {"doc_id": [], "lang": [], "window": []}
@@ -181,7 +172,7 @@ def predict(df: DataFrame, net: ByteConv | None, keep: tuple[str, ...] = ()) ->
                     spans[i] = at, (at := at + len(parts[-1]))
         if parts:
             c = np.concatenate(parts)
-            logs, weight = net.log_probabilities(c, tables), ((c > 0) & (c < 27) | (c > 29)).sum(1) + 1e-3
+            logs, weight = net.log_probabilities(c, tables), LETTER[c].sum(1) + 1e-3
         for i in range(len(x)):
             if i in spans:
                 a, b = spans[i]
