@@ -13,7 +13,7 @@ from vertexloom.llm import mpeg, packing, token_counts
 from vertexloom.llm.queries import QUERIES
 
 D = "/root/testdata/sf0.001"
-CASES = [None, "", " ", "it's  TWO   spaces\n\n x", "É" * 300, "a" * 3000, "日本語 text 😀", "İ x\x1cy", "12345 6.7", "word " * 5000, "a <|endoftext|> b", "É"]
+CASES = [None, "", " ", "it's  TWO   spaces\n\n x", "É" * 300, "a" * 3000, "日本語 text 😀", "İ x\x1cy", "12345 6.7", "word " * 5000, "a <|endoftext|> b", "É", "Привет, ΟΔΟΣ Σ ΣΑΣ! ǅ ﬁ", "漢字かな交じり文 12３ हिन्दी ١٢٣ ½", "😀👩\u200d👩 don't", "<|endoftext|>a<|startoftext|> b<|endoftext|", "e\u0301 x\u2028y\u200bz"]
 
 
 @pytest.fixture(scope="module")
@@ -57,6 +57,19 @@ def check_packed(rows, text, own):
     return len(by_seq)
 
 
+def test_packing_in_many_groups(spark):
+    """Groups have sequences of their own, of which each leaves at most its last ones open."""
+    path, rnd = P.path("byte_bpe_50k.json"), random.Random(2)
+    own, text = Tokenizer.from_file(path), {i: " the" * rnd.choice([0, 3, 40, 500, 900, 1500, 2047, 2048, 5000]) for i in range(400)}
+    df = spark.createDataFrame(list(text.items()), "doc_id long, text string").repartition(5)
+    for group in (400, 50, 7):
+        rows = packing.pack(df, path, group=group).collect()
+        used, groups = check_packed(rows, text, own), -(-sum(r.length < 2048 for r in rows) // group)
+        assert used <= -(-sum(r.length for r in rows) // 2048) + 2 * groups + 40
+    again = {(r.doc_id, r.piece): (r.sequence_id, r.offset) for r in packing.pack(df, path, group=50).collect()}
+    assert len(again) == len(rows)
+
+
 def test_packing(spark, cases):
     own = Tokenizer.from_file(path := P.path("byte_bpe_50k.json"))
     check_packed(packing.pack(cases.where("doc_id <> 1"), path).collect(), {i: x for i, x in enumerate(CASES) if i != 1}, own)

