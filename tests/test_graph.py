@@ -1,6 +1,10 @@
 """The hand graph, sources and snapshots, and properties that must hold between operators."""
 
+import random
+import subprocess
+import sys
 import time
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -8,6 +12,7 @@ from pyspark.sql import functions as F
 from vertexloom import queries
 from vertexloom.graph import Graph
 from vertexloom.operators import attributes, components, extent, generate, metrics, rank, traverse
+from vertexloom.plans import loop
 from vertexloom.sources import text
 from vertexloom.streaming import edges
 
@@ -59,7 +64,7 @@ def test_empty_graph(spark):
 
 def test_walks_and_clique(spark):
     g = generate.chain(spark, 5, cycle=True)
-    assert sum(n for _, n in rows(traverse.random_walk(g, g.vertices, 4))) == 25
+    assert sum(n for _, n in rows(traverse.random_walk(g, g.vertices, 4))) == 20  # the start is the first of a walker's visits
     clique = Graph.from_edges(spark.range(5).toDF("src").crossJoin(spark.range(5).toDF("dst")).where("src <> dst"))
     assert {c for _, c in rows(rank.clustering(clique))} == {1.0}
 
@@ -130,24 +135,150 @@ def test_edges_of_a_stream_come_once(spark, tmp_path):
     assert rows(edges.ingested(spark, out).vertices) == [(1,), (2,), (3,)]
 
 
-def test_hybrid_distribution_is_of_the_whole_graph(spark):
-    """Its ends, which are exact, against a search from each vertex of the graph of all lines."""
-    d, near = "/root/testdata/sf0.001", {}
-    for a, b in queries.succession(spark, d, 0, True).edges.select("src", "dst").collect():
+def test_walkers_at_one_vertex_go_their_own_ways(spark):
+    star = Graph.from_edges(spark.range(1, 50).select(F.lit(0).alias("src"), F.col("id").alias("dst")))
+    at = dict(rows(traverse.random_walk(star, spark.range(20).select(F.lit(0).cast("long").alias("id")), 2)))
+    assert at.pop(0) == 20 and sum(at.values()) == 20 and len(at) > 10
+
+
+def test_numbers_of_an_edge_list_are_one_stream(spark, tmp_path):
+    (tmp_path / "a").mkdir()
+    (tmp_path / "a" / "x.txt").write_text("1\n2 3\n# 9 9\n4\n5 6 7\n8\n")
+    (tmp_path / "a" / "y.txt").write_text("10 11 12\n13 14\n")  # the last one has no partner, nor does it get one from another file
+    assert rows(text.edge_list(spark, str(tmp_path / "a")).edges) == [(1, 2), (3, 4), (5, 6), (7, 8), (10, 11), (12, 13)]
+
+
+def test_snapshots_know_their_kind(spark, tmp_path):
+    p, s = tmp_path / "e.txt", str(tmp_path / "snap")
+    p.write_text("1 2\n1 2\n2 3\n")
+    assert text.Snapshot(text.EdgeList(str(p), multigraph=True), s).graph(spark).edges.count() == 3
+    assert text.load(spark, s).multigraph
+    time.sleep(0.05)
+    for how in ({}, {"undirected": True, "multigraph": True}):
+        with pytest.raises(ValueError, match="snapshot"):
+            text.load_or_build(spark, str(p), s, **how)
+    assert rows(text.load_or_build(spark, str(p), s, force=True, undirected=True).edges) == [(1, 2), (2, 1), (2, 3), (3, 2)]
+    text.save_result(spark.range(3), s + "r")
+    assert text.load_result(spark, s + "r").count() == 3
+    a = tmp_path / "a.txt"
+    a.write_text("1 1 2\n3 0\n")
+    assert rows(text.AdjacencyList(str(a)).graph(spark).vertices) == [(1,), (2,), (3,)]
+
+
+def brute_distances(pairs, start):
+    near, seen, front, depth = {}, {start: 0}, [start], 0
+    for a, b in pairs:
         near.setdefault(a, set()).add(b)
-    ecc = []
-    for v in near:
-        seen, front, depth = {v}, {v}, -1
-        while front:
-            front, depth = {y for x in front for y in near[x]} - seen, depth + 1
-            seen |= front
-        ecc.append(depth)
-    got = dict(rows(queries.QUERIES["ecc_hybrid_distribution"](spark, d)))
-    assert all(got[e] == ecc.count(e) for e in (min(ecc), max(ecc))) and set(got) <= set(ecc)
+    while front:
+        depth += 1
+        front = sorted({y for x in front for y in near.get(x, ())} - seen.keys())
+        seen |= dict.fromkeys(front, depth)
+    return seen
+
+
+@pytest.fixture(scope="module")
+def web(spark):
+    """A tree-like undirected graph with leaves, a few cycles, a pair of its own and a lone vertex."""
+    r = random.Random(6)
+    some = {(i, r.randrange(max(0, i - 9), i)) for i in range(1, 30)} | {(5, 25), (17, 23), (70, 71), (8, 8)}
+    pairs = sorted({(a, b) for a, b in some} | {(b, a) for a, b in some})
+    return pairs, Graph.from_edges(spark.createDataFrame(pairs, "src long, dst long"), spark.createDataFrame([(80,)], "id long"))
+
+
+@pytest.mark.parametrize("budget", [0, None])
+def test_tables_too_large_for_a_broadcast(web, monkeypatch, budget):
+    """Loops give the same with merges as with broadcasts."""
+    if budget is not None:
+        monkeypatch.setattr(loop, "ROWS", budget)
+        monkeypatch.setattr(components, "ROWS", budget)
+    pairs, g = web
+    dist = brute_distances(pairs, 0)
+    assert dict(rows(traverse.bfs(g, 0).select("id", "dist"))) == dist
+    assert dict(rows(components.connected(g))) == {v: 0 if v in dist else 70 if v in (70, 71) else v for v in [*dist, 70, 71, 80]}
+    chain = Graph.from_edges(g.vertices.sparkSession.createDataFrame([(i, i + 1) for i in range(12)] + [(30, 31), (31, 30), (31, 5)], "src long, dst long"))
+    gone, core, inner = components.trim(chain.vertices, chain.edges)
+    assert rows(gone) == [(i,) for i in range(13)] and rows(core) == [(30,), (31,)] and rows(inner) == [(30, 31), (31, 30)]
+    assert len(rows(components.trim(chain.vertices, chain.edges, 2)[0])) == 4
+    assert dict(rows(components.strongly_connected(chain))) == {**{i: i for i in range(13)}, 30: 30, 31: 30}
+
+
+def test_paths_levels_and_expansion(spark, web):
+    pairs, g = web
+    chain = generate.chain(spark, 40)
+    reached = traverse.bfs(chain, 3)
+    assert traverse.shortest_path(reached, 39) == list(range(3, 40)) and traverse.shortest_path(reached, 3) == [3] and traverse.rounds(reached) == 37
+    assert max(d for _, d in rows(traverse.bfs(chain, 3, expand_if=F.col("id") < 10).select("id", "dist"))) == 7
+    dist, seen = brute_distances(pairs, 0), []
+    order = rows(traverse.visit_order(traverse.bfs(g, 0, listen=lambda depth, front: seen.append(depth))))
+    assert order == [(k, v, d) for k, (d, v) in enumerate(sorted((d, v) for v, d in dist.items()))] and seen == list(range(1, max(dist.values()) + 2))
+
+
+def test_eccentricities(spark, web):
+    pairs, g = web
+    far = lambda keep: {v: max(brute_distances([(a, b) for a, b in pairs if keep(a) and keep(b)], v).values()) for v in [*range(30), 70, 71, 80] if keep(v)}
+    ecc, told = far(lambda v: True), []
+    assert dict(rows(extent.eccentricity(g))) == ecc == dict(rows(extent.eccentricity(g, budget=600)))
+    assert dict(rows(extent.bounded_eccentricity(g, 5, listen=lambda turn, did: told.append(did)))) == ecc
+    assert sum(x["pruned"] for x in told) > 0 and sum(x["assigned"] + x["pruned"] for x in told) == len(ecc) and all(x["lower"] >= 0 and x["upper"] >= 0 for x in told)
+    some = far(lambda v: v % 7 != 3)
+    assert dict(rows(extent.bounded_eccentricity(g, 9, F.col("id") % 7 != 3))) == some == dict(rows(extent.eccentricity(g, F.col("id") % 7 != 3)))
+    whole = {e: list(ecc.values()).count(e) for e in ecc.values()}
+    assert dict(rows(extent.hybrid_distribution(g, 1.0, batch=4))) == whole
+    searched = []
+    half = dict(rows(extent.hybrid_distribution(g, 0.5, batch=4, listen=searched.append)))
+    assert max(half) == max(whole) and half[max(whole)] == whole[max(whole)] and set(half) <= set(whole) and searched[0] < len(ecc)
+
+
+def test_diameters_and_listeners(spark, web):
+    pairs, g = web
+    ecc = {v: max(brute_distances(pairs, v).values()) for v in range(30)}
+    batches, hops, steps = [], [], []
+    for budget in (extent.BUDGET, 100):
+        assert extent.diameter(g, extent.two_sweeps(g, 0), listen=lambda *x: batches.append(x), budget=budget)[0] == max(ecc.values())
+    assert batches and all(low >= 2 for _, low, _ in batches)
+    one = Graph.from_edges(g.edges.where("src < 30"))
+    assert extent.diameter_from_random(one, 5)[0] == max(ecc.values())
+    assert extent.farthest_hops(g, 0, listen=lambda *x: hops.append(x)) == [h[1:] for h in hops] != []
+    low = attributes.pregel(g, F.col("id"), F.col("value"), F.min, F.least("value", "message"), listen=lambda turn, n: steps.append((turn, n)))
+    assert dict(rows(low)) == {v: 0 if v < 30 else 70 if v in (70, 71) else v for v in [*range(30), 70, 71, 80]} and steps[-1][1] == 0
+
+
+def test_attributes_are_set(spark):
+    g = Graph.from_edges(spark.createDataFrame([(1, 2)], "src long, dst long"))
+    new = spark.createDataFrame([(1, 5), (1, 7), (9, 9)], "id long, attr long")
+    one = attributes.set_vertex_attribute(g, new, "size", F.lit(0))
+    assert rows(one.vertices) == [(1, 7), (2, 0)]
+    two = attributes.set_vertex_attribute(one, spark.createDataFrame([(2, 3)], "id long, attr long"), "size")
+    assert rows(two.vertices) == [(1, 7), (2, 3)]
+    values = spark.createDataFrame([(1, 2, 1)], "src long, dst long, attr long")
+    assert rows(attributes.set_edge_attribute(values, spark.createDataFrame([(1, 2, 4), (1, 2, 3)], "src long, dst long, attr long"))) == [(1, 2, 4)]
+
+
+def test_generated_graphs(spark):
+    assert rows(generate.grid(spark, 2, 2, directed=True).edges) == [(0, 1), (0, 2), (1, 3), (2, 3)]
+    assert len(rows(generate.grid(spark, 3, 2).edges)) == 14
+    assert rows(generate.chain(spark, 3).edges) == [(0, 1), (1, 2)] and rows(generate.chain(spark, 0).edges) == []
+    degree = dict(rows(metrics.out_degrees(generate.random(spark, 300, 0, 5, seed=4))))
+    assert len(degree) == 300 and min(degree.values()) == 0 and 4 <= max(degree.values()) <= 5
+
+
+def test_two_cycles_estimate_is_of_a_share(spark):
+    g = Graph.from_edges(spark.range(400).select(F.col("id").alias("src"), ((F.col("id") + 1) % 400).alias("dst")), undirected=True)
+    assert rows(metrics.two_cycles(g)) == [(800,)]
+    n = rows(metrics.two_cycles_estimate(g, 4))[0][0]
+    assert n % 4 == 0 and abs(n - 800) < 250 and rows(metrics.two_cycles_estimate(g, 1)) == [(800,)]
+
+
+def test_entry_without_the_text_operators():
+    """The graph queries are there when the text operators or what these need can't be imported."""
+    code = "import sys; sys.modules['{0}'] = None; import __spark_entry__ as e; n = e.queries(); assert len(n) > 80 and not any(k.startswith('op') for k in n), n; assert set(e.oracle_sql()) <= set(n)"
+    for name in ("vertexloom.llm", "corpus_pipeline", "tokenizers", "tiktoken", "public_tokenizers"):
+        done = subprocess.run([sys.executable, "-c", code.format(name)], cwd=Path(__file__).resolve().parents[1], capture_output=True, text=True)
+        assert not done.returncode, done.stderr
 
 
 def test_walks_start_at_every_vertex(spark):
     d = "/root/testdata/sf0.001"
     walks = queries.QUERIES["random_walk"](spark, d)
-    n = queries.succession(spark, d, 0, True).vertices.count()  # no vertex of an undirected graph is a sink
-    assert walks.agg(F.sum("visits")).first()[0] == 6 * n
+    n = queries.succession(spark, d, True).vertices.count()  # no vertex of an undirected graph is a sink
+    assert walks.agg(F.sum("visits")).first()[0] == 5 * n

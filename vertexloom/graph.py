@@ -32,14 +32,6 @@ class Graph:
         v = ends.distinct() if vertices is None else ends.unionByName(vertices.select(F.col("id").cast("long"))).distinct()
         return cls(v, e, multigraph)
 
-    def on(self, *keys: str) -> Graph:
-        """The same graph with its edges dealt by keys and kept, for loops that join on them again and again."""
-        return replace(self, edges=self.edges.repartition(*keys).persist())
-
-    def release(self) -> None:
-        self.edges.unpersist()
-        self.vertices.unpersist()
-
     def reverse(self) -> Graph:
         return replace(self, edges=swapped(self.edges))
 

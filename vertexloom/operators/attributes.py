@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..graph import Graph
-from ..plans.loop import until_still
+from ..plans.loop import beside, kept, settle_counting, until_still
 
 
 def map_vertices(g: Graph, value: Column, name: str = "value") -> DataFrame:
@@ -32,9 +33,22 @@ def edge_attribute(g: Graph, values: DataFrame, default: Column) -> DataFrame:
 
 
 def set_edge_attribute(values: DataFrame, new: DataFrame) -> DataFrame:
+    """values (src, dst, attr) with new ones in the place of old ones, or beside them; where new has several for an edge, the greatest counts."""
+    new = new.groupBy("src", "dst").agg(F.max("attr").alias("attr"))
     return values.join(new, ["src", "dst"], "left_anti").unionByName(new)
 
 
+def set_vertex_attribute(g: Graph, new: DataFrame, name: str, default: Column | None = None) -> Graph:
+    """g whose vertices have the attribute `name` of new (id, attr; the greatest of several), and elsewhere keep what they had, or get the default where they had none.
+
+    Ids that are no vertices of g are left out.
+    """
+    new = new.groupBy("id").agg(F.max("attr").alias("__new"))
+    old = F.col(f"`{name}`") if name in g.vertices.columns else F.lit(None)
+    value = F.coalesce("__new", old) if default is None else F.coalesce("__new", old, default)
+    return replace(g, vertices=g.vertices.join(new, "id", "left").withColumn(name, value).drop("__new"))
+
+
 def has_edge(g: Graph, pairs: DataFrame) -> DataFrame:
     """src, dst of each given pair and whether it is an edge."""
     e = g.edges.select("src", "dst", F.lit(True).alias("is_edge")).distinct()
@@ -78,13 +92,15 @@ def pregel(g: Graph, start: Column, send: Column, combine: Callable[[Column], Co
     start is over id. In a superstep each vertex whose value changed sends the column send (over value, src, dst) along its out-edges; messages for a vertex are combined by an aggregate and
     apply (over value and message; message is null without mail) gives its next value. It ends when no value changes.
     """
-    edges = g.edges.repartition("src").persist()
+    edges = kept(g.edges, "src")
+    first, total = settle_counting(g.vertices.select("id", start.alias("value"), F.lit(True).alias("fresh")))
 
-    def step(s: DataFrame) -> DataFrame:
-        mail = s.where("fresh").join(edges, F.col("id") == F.col("src")).select(F.col("dst"), send.alias("message")).groupBy("dst").agg(combine(F.col("message")).alias("message"))
-        new = s.join(mail, F.col("id") == F.col("dst"), "left").select("id", "value", apply.alias("new"))
+    def step(s: DataFrame, n: int) -> DataFrame:
+        sent = beside(s.where("fresh").select(F.col("id").alias("src"), "value"), n)
+        mail = edges.join(sent, "src").select("dst", send.alias("message")).groupBy(F.col("dst").alias("id")).agg(combine(F.col("message")).alias("message"))
+        new = s.join(beside(mail, total), "id", "left").select("id", "value", apply.alias("new"))
         return new.select("id", F.col("new").alias("value"), (~F.col("new").eqNullSafe(F.col("value"))).alias("fresh"))
 
-    out = until_still(g.vertices.select("id", start.alias("value"), F.lit(True).alias("fresh")), step, "fresh", most, listen)
+    out = until_still(first, step, "fresh", total, most, listen)
     edges.unpersist()
     return out.select("id", "value")

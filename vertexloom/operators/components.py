@@ -6,34 +6,41 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..graph import Graph
-from ..plans.loop import settle, settle_counting, until_still
+from ..plans.loop import ROWS, beside, kept, settle, settle_counting, until_still
 
 
 def least_ancestors(g: Graph) -> DataFrame:
     """id and label: the least vertex that reaches it along out-edges (itself included)."""
-    edges = g.edges.select("src", "dst").where("src <> dst").repartition("src").persist()
+    edges = kept(g.edges.select("src", "dst").where("src <> dst"), "src")
+    start, total = settle_counting(g.vertices.select("id", F.col("id").alias("label"), F.lit(True).alias("fresh")))
 
-    def step(s: DataFrame) -> DataFrame:
-        sent = s.where("fresh").join(edges, F.col("id") == F.col("src")).groupBy("dst").agg(F.min("label").alias("got"))
-        return s.join(sent, F.col("id") == F.col("dst"), "left").select("id", F.least("label", "got").alias("label"), F.coalesce(F.col("got") < F.col("label"), F.lit(False)).alias("fresh"))
+    def step(s: DataFrame, n: int) -> DataFrame:
+        sent = edges.join(beside(s.where("fresh").select(F.col("id").alias("src"), "label"), n), "src").groupBy(F.col("dst").alias("id")).agg(F.min("label").alias("got"))
+        return s.join(beside(sent, total), "id", "left").select("id", F.least("label", "got").alias("label"), F.coalesce(F.col("got") < F.col("label"), F.lit(False)).alias("fresh"))
 
-    out = until_still(settle(g.vertices.select("id", F.col("id").alias("label"), F.lit(True).alias("fresh"))), step, "fresh")
+    out = until_still(start, step, "fresh", total)
     edges.unpersist()
     return out.select("id", "label")
 
 
 def connected(g: Graph) -> DataFrame:
-    """id and label of weak components: labels of neighbours and labels of labels in turn, so long paths take few supersteps."""
-    both = g.undirected().edges.where("src <> dst").repartition("src").persist()
+    """id and label of weak components: labels of neighbours and labels of labels in turn, so long paths take few supersteps.
 
-    def step(s: DataFrame) -> DataFrame:
+    Labels that fit a broadcast reach the edges where these lie, and nothing is shuffled; beyond that they are merged with the sorted edges and least ones combine before the
+    shuffle. The rows of a giant component that look up one label are a skewed join of two shuffles, which Spark splits.
+    """
+    both = kept(g.undirected().edges.where("src <> dst"), "src")
+    start, total = settle_counting(g.vertices.select("id", F.col("id").alias("label"), F.lit(True).alias("fresh")))
+    end, other = ("dst", "src") if total <= ROWS else ("src", "dst")
+
+    def step(s: DataFrame, _: int) -> DataFrame:
         old = s.select("id", "label")
-        near = both.join(old, F.col("dst") == F.col("id")).groupBy("src").agg(F.min("label").alias("near"))
-        low = old.join(near, F.col("id") == F.col("src"), "left").select("id", "label", F.least("label", "near").alias("low"))
-        jump = old.select(F.col("id").alias("low"), F.col("label").alias("next"))
+        near = both.join(beside(old.select(F.col("id").alias(end), F.col("label").alias("near")), total), end).groupBy(F.col(other).alias("id")).agg(F.min("near").alias("near"))
+        low = old.join(beside(near, total), "id", "left").select("id", "label", F.least("label", "near").alias("low"))
+        jump = beside(old.select(F.col("id").alias("low"), F.col("label").alias("next")), total)
         return low.join(jump, "low").select("id", F.least("low", "next").alias("label"), (F.least("low", "next") < F.col("label")).alias("fresh"))
 
-    out = until_still(settle(g.vertices.select("id", F.col("id").alias("label"), F.lit(True).alias("fresh"))), step, "fresh")
+    out = until_still(start, step, "fresh", total)
     both.unpersist()
     return out.select("id", "label")
 
@@ -48,22 +55,32 @@ def largest(labels: DataFrame) -> DataFrame:
 
 
 def trim(vertices: DataFrame, edges: DataFrame, most: int | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Vertices without a remaining in- or out-edge are components of their own: those, and the vertices and edges that stay."""
-    gone, turn, left = [], 0, vertices.count()
-    while most is None or turn < most:
+    """Vertices without a remaining in- or out-edge are components of their own: those, and the vertices and edges that stay.
+
+    A round takes what went in the last one off the degrees of its neighbours, and looks at these only; edges are written anew once, at the end.
+    """
+    edges = edges.select("src", "dst").persist()
+    ends = edges.select(F.col("dst").alias("id"), F.lit(1).alias("i"), F.lit(0).alias("o")).union(edges.select("src", F.lit(0), F.lit(1)))
+    base, total = settle_counting(vertices.select("id").join(ends.groupBy("id").agg(F.sum("i").alias("i"), F.sum("o").alias("o")), "id", "left").fillna(0))
+    front, n = settle_counting(base.where("i = 0 OR o = 0").select("id"))
+    gone, lost, many, turn = front, None, n, 1
+    while n and (most is None or turn < most):
         turn += 1
-        core = edges.select(F.col("src").alias("id")).intersect(edges.select(F.col("dst").alias("id")))
-        core, n = settle_counting(vertices.join(core, "id", "left_semi"))
-        gone.append(vertices.join(core, "id", "left_anti"))
-        vertices = core
-        edges = settle(edges.join(core, edges["src"] == core["id"], "left_semi").join(core, edges["dst"] == core["id"], "left_semi"))
-        if n == left or not n:
-            break
-        left = n
-    out = gone[0]
-    for x in gone[1:]:
-        out = out.union(x)
-    return settle(out), vertices, edges
+        by = lambda end: beside(front.select(F.col("id").alias(end)), n)
+        off = edges.join(by("src"), "src").select(F.col("dst").alias("id"), F.lit(1).alias("i"), F.lit(0).alias("o")).union(edges.join(by("dst"), "dst").select(F.col("src").alias("id"), F.lit(0), F.lit(1)))
+        off = off.groupBy("id").agg(F.sum("i").alias("di"), F.sum("o").alias("do"))
+        off, near = settle_counting(off.join(beside(gone, many), "id", "left_anti"))
+        lost = off if lost is None else lost.union(off)
+        touched = lost.join(beside(off.select("id"), near), "id", "left_semi").groupBy("id").agg(F.sum("di").alias("di"), F.sum("do").alias("do"))
+        front, n = settle_counting(base.join(beside(touched, near), "id").where("i <= di OR o <= do").select("id"))
+        gone, many = gone.union(front), many + n
+        if turn % 8 == 0:
+            gone, lost = settle(gone), settle(lost.groupBy("id").agg(F.sum("di").alias("di"), F.sum("do").alias("do")))
+    gone = settle(gone)
+    core = settle(base.select("id").join(beside(gone, many), "id", "left_anti"))
+    inner = settle(edges.join(beside(gone.select(F.col("id").alias("src")), many), "src", "left_anti").join(beside(gone.select(F.col("id").alias("dst")), many), "dst", "left_anti").select("src", "dst"))
+    edges.unpersist()
+    return gone, core, inner
 
 
 def strongly_connected(g: Graph) -> DataFrame:
@@ -75,18 +92,23 @@ def strongly_connected(g: Graph) -> DataFrame:
         done = found if done is None else settle(done.union(found))
         if not vertices.limit(1).count():
             return done
-        colour = settle(least_ancestors(Graph(vertices, edges)))
-        c = lambda end: colour.select(F.col("id").alias(end), F.col("label").alias(f"{end}_label"))
-        inside = settle(edges.join(c("src"), "src").join(c("dst"), "dst").where("src_label = dst_label").select("src", "dst"))
+        colour, total = settle_counting(least_ancestors(Graph(vertices, edges)))
+        c = lambda end: beside(colour.select(F.col("id").alias(end), F.col("label").alias(f"{end}_label")), total)
+        inside = kept(edges.join(c("src"), "src").join(c("dst"), "dst").where("src_label = dst_label").select("src", "dst"), "dst")
         front, n = settle_counting(colour.where("id = label"))
-        reached = front
+        reached, many, turn = front, n, 0
         while n:
-            back = front.join(inside, F.col("id") == F.col("dst")).select(F.col("src").alias("id"), "label").distinct()
-            front, n = settle_counting(back.join(reached.select("id"), "id", "left_anti"))
-            reached = settle(reached.union(front))
+            back = inside.join(beside(front.select(F.col("id").alias("dst"), "label"), n), "dst").select(F.col("src").alias("id"), "label").distinct()
+            front, n = settle_counting(back.join(beside(reached.select("id"), many), "id", "left_anti"))
+            reached, many, turn = reached.union(front), many + n, turn + 1
+            if turn % 8 == 0:
+                reached = settle(reached)
+        reached = settle(reached)
+        inside.unpersist()
         done = settle(done.union(reached))
-        vertices = settle(vertices.join(reached, "id", "left_anti"))
-        edges = settle(edges.join(vertices, edges["src"] == vertices["id"], "left_semi").join(vertices, edges["dst"] == vertices["id"], "left_semi"))
+        off = lambda end: beside(reached.select(F.col("id").alias(end)), many)
+        vertices = settle(vertices.join(off("id"), "id", "left_anti"))
+        edges = settle(edges.join(off("src"), "src", "left_anti").join(off("dst"), "dst", "left_anti").select("src", "dst"))
 
 
 def compose(left: DataFrame, right: DataFrame) -> DataFrame:

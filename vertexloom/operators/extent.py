@@ -2,58 +2,111 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.ids import draw
 from ..graph import Graph
-from ..plans.loop import settle
+from ..plans.loop import beside, settle, settle_counting
 from .metrics import max_degree
 from .traverse import bfs, bfs_from, farthest, pick_vertices, shortest_path
 
+#: Rows (source, vertex) that a search may hold at a time.
+BUDGET = 50_000_000
+
 
-def eccentricity(g: Graph, keep: Column | None = None, lots: int = 1) -> DataFrame:
-    """id and ecc, the greatest distance to a vertex it reaches; sources are dealt into lots by a hash, one search each."""
-    out = None
+def _lots(some: DataFrame, n: int, vertices: int, budget: int) -> Iterator[DataFrame]:
+    """The n ids of some in parts by a hash, each so small that all its searches together stay in the budget."""
+    lots = max(1, -(-n * vertices // budget))
     for lot in range(lots):
-        some = g.vertices.select("id").where(F.lit(True) if keep is None else keep).where(F.pmod(F.xxhash64("id"), F.lit(lots)) == lot)
-        e = settle(bfs_from(g, some).groupBy(F.col("source").alias("id")).agg(F.max("dist").alias("ecc")))
-        out = e if out is None else out.union(e)
+        yield some.where(F.pmod(F.xxhash64("id"), F.lit(lots)) == lot) if lots > 1 else some
+
+
+def eccentricity(g: Graph, keep: Column | None = None, budget: int = BUDGET, sources: DataFrame | None = None) -> DataFrame:
+    """id and ecc, the greatest distance to a vertex it reaches, of all vertices (or of sources) that fulfil keep; a search doesn't leave those."""
+    some, n = settle_counting((g.vertices if sources is None else sources).select("id").where(F.lit(True) if keep is None else keep))
+    vertices, out = (n if sources is None else g.vertices.count()), some.select("id", F.lit(0).cast("long").alias("ecc")).limit(0)
+    for lot in _lots(some, n, vertices, budget):
+        out = out.union(settle(bfs_from(g, lot, keep).groupBy(F.col("source").alias("id")).agg(F.max("dist").alias("ecc"))))
     return out
 
 
-def bounded_eccentricity(g: Graph, batch: int = 64) -> DataFrame:
-    """id and ecc of an undirected graph by lower and upper bounds: a search of depth e at distance d gives max(d, e - d) <= ecc <= e + d.
+def _bounds(g: Graph, keep: Column | None, batch: int, going_on, listen=None) -> tuple[DataFrame, int]:
+    """id, low and up of all vertices when going_on(state) says no, and their number. A vertex whose bounds meet is assigned.
 
-    Each round searches from the open vertices that promise most (greatest upper and least lower bounds in turn, degrees at the start), until bounds meet everywhere.
+    A search of depth e at distance d gives max(d, e - d) <= ecc <= e + d. Each round searches from the open vertices that promise most (greatest upper and least lower bounds
+    in turn, degrees at the start). What hangs on an assigned vertex by its only edge is assigned with one more, if that vertex has another neighbour.
     """
-    degree = g.edges.groupBy(F.col("src").alias("id")).agg(F.count("*").alias("degree"))
-    state = settle(g.vertices.select("id").join(degree, "id", "left").select("id", F.coalesce("degree", F.lit(0)).alias("degree"), F.lit(0).cast("long").alias("low"), F.lit(None).cast("long").alias("up")))
+    yes = F.lit(True) if keep is None else keep
+    inner = g if keep is None else g.induced(keep)
+    pairs = inner.edges.select("src", "dst").where("src <> dst").distinct().persist()
+    degree = pairs.groupBy(F.col("src").alias("id")).agg(F.count("*").alias("degree"))
+    none = F.lit(None).cast("long")
+    state, total = settle_counting(g.vertices.where(yes).select("id").join(degree, "id", "left").select("id", F.coalesce("degree", F.lit(0)).alias("degree"), F.lit(0).cast("long").alias("low"), none.alias("up")))
+    leaf = state.where("degree = 1").select(F.col("id").alias("leaf"))
+    hangs = settle(pairs.join(leaf, pairs["src"] == leaf["leaf"]).select("leaf", F.col("dst").alias("id")).join(state.where("degree > 1").select("id"), "id")) if total else None
     turn = 0
-    while True:
+    while total and going_on(state):
         open_ = state.where("up IS NULL OR low < up")
         order = [F.desc("degree")] if not turn else [F.desc_nulls_first("up"), F.desc("degree")] if turn % 2 else [F.asc("low"), F.desc("degree")]
         pick = settle(open_.orderBy(*order, "id").limit(batch).select("id"))
-        if not pick.limit(1).count():
-            return state.select("id", F.col("low").alias("ecc"))
-        reach = settle(bfs_from(g, pick).select("source", "id", "dist"))
+        reach = settle(bfs_from(inner, pick).select("source", "id", "dist"))
         depth = reach.groupBy("source").agg(F.max("dist").alias("e"))
-        bound = reach.join(depth, "source").groupBy("id").agg(F.max(F.greatest(F.col("dist"), F.col("e") - F.col("dist"))).alias("l"), F.min(F.col("e") + F.col("dist")).alias("u"))
-        state = settle(state.join(bound, "id", "left").select("id", "degree", F.greatest("low", "l").alias("low"), F.least("up", "u").alias("up")))
-        turn += 1
+        bound = reach.join(beside(depth, batch), "source").groupBy("id").agg(F.max(F.greatest("dist", F.col("e") - F.col("dist"))).alias("l"), F.min(F.col("e") + F.col("dist")).alias("u"))
+        new = state.join(beside(bound, total), "id", "left").select("id", "degree", F.greatest("low", "l").alias("low"), F.least("up", "u").alias("up"), F.col("low").alias("low_was"), F.col("up").alias("up_was"))
+        new = settle(new)
+        sure = hangs.join(beside(new.where("low = up").select("id", F.col("low").alias("ecc")), total), "id").select(F.col("leaf").alias("id"), (F.col("ecc") + 1).alias("ecc"))
+        done = new.join(beside(sure, total), "id", "left").withColumn("pruned", F.col("ecc").isNotNull() & (F.col("up").isNull() | (F.col("low") < F.col("up"))))
+        done = settle(done.select("id", "degree", F.coalesce("ecc", "low").alias("low"), F.coalesce("ecc", "up").alias("up"), "low_was", "up_was", "pruned"))
+        if listen:
+            count = lambda x: F.count_if(F.expr(x))
+            c = done.agg(count("NOT pruned AND low > low_was").alias("lower"), count("NOT pruned AND NOT up <=> up_was").alias("upper"), count("NOT pruned AND low = up AND (up_was IS NULL OR low_was < up_was)").alias("assigned"), count("pruned").alias("pruned"))
+            listen(turn + 1, c.first().asDict())
+        state, turn = done.select("id", "degree", "low", "up"), turn + 1
+    pairs.unpersist()
+    return state.select("id", "low", "up"), total
+
+
+_OPEN = "up IS NULL OR low < up"
 
 
-def hybrid_distribution(g: Graph, share: float, seed: int = 0, batch: int = 64) -> DataFrame:
-    """value and n: eccentricities, exact at centre and periphery, and elsewhere from a hashed share of the vertices, weighted by its inverse."""
-    e = bounded_eccentricity(g, batch)
-    ends = e.agg(F.min("ecc").alias("a"), F.max("ecc").alias("b"))
-    rows = e.crossJoin(F.broadcast(ends))  # one row
-    exact = (F.col("ecc") == F.col("a")) | (F.col("ecc") == F.col("b"))
-    rows = rows.where(exact | (draw(seed, 1 << 20, "id") < share * (1 << 20)))
-    return rows.groupBy(F.col("ecc").alias("value")).agg(F.sum(F.when(exact, 1).otherwise(round(1 / share))).cast("long").alias("n"))
+def bounded_eccentricity(g: Graph, batch: int = 64, keep: Column | None = None, listen=None) -> DataFrame:
+    """id and ecc of an undirected graph (of the part whose vertices fulfil keep, over id) by bounds, until they meet everywhere.
 
+    listen gets the round and a dict of what it did: bounds refined (lower, upper), vertices assigned by their bounds, and vertices pruned, that is assigned from their only neighbour.
+    """
+    return _bounds(g, keep, batch, lambda s: s.where(_OPEN).limit(1).count() > 0, listen)[0].select("id", F.col("low").alias("ecc"))
+
+
+def hybrid_distribution(g: Graph, share: float, seed: int = 0, batch: int = 64, keep: Column | None = None, budget: int = BUDGET, listen=None) -> DataFrame:
+    """value and n: a distribution of eccentricities that is exact at centre and periphery, and elsewhere estimated from a share of the vertices.
+
+    Bounds are refined only until no open vertex has the least lower or the greatest upper bound of all. With the least lower bound of open vertices less one (L) and their
+    greatest upper bound plus one (R), assigned vertices of L or less, or of R or more, are counted exactly. Of all others a share is drawn by the seed, searched from where
+    not yet assigned, and counted 1 / share times each (rounded). With a share of 1 everything is exact. The number searched goes to listen.
+    """
 
-def farthest_hops(g: Graph, start: int | None = None, keep: Column | None = None) -> list[tuple[int, int]]:
+    def going_on(s: DataFrame) -> bool:
+        ends = s.agg(F.min("low").alias("a"), F.max(F.coalesce("up", F.lit(1 << 62))).alias("b")).first()
+        return s.where(_OPEN).where((F.col("low") == ends.a) | (F.coalesce("up", F.lit(1 << 62)) == ends.b)).limit(1).count() > 0
+
+    state, total = _bounds(g, keep, batch, going_on)
+    ends = state.where(_OPEN).agg((F.min("low") - 1).alias("a"), (F.max("up") + 1).alias("b")).first()
+    inside = F.lit(False) if ends.a is None else F.expr(_OPEN) | ((F.col("low") > ends.a) & (F.col("low") < ends.b))
+    exact = state.where(~inside).select(F.col("low").alias("value"), F.lit(1).cast("long").alias("n"))
+    drawn = settle(state.where(inside).where(draw(seed, 1 << 30, "id") < round(share * (1 << 30))))
+    searched, n = settle_counting(drawn.where(_OPEN).select("id"))
+    found = eccentricity(g, keep, budget, searched).select(F.col("ecc").alias("value"))
+    if listen:
+        listen(n)
+    weight = F.lit(round(1 / share)).cast("long").alias("n")
+    rows = exact.union(drawn.where(f"NOT ({_OPEN})").select("low", weight)).union(found.select("value", weight))
+    return rows.groupBy("value").agg(F.sum("n").alias("n"))
+
+
+def farthest_hops(g: Graph, start: int | None = None, keep: Column | None = None, listen=None) -> list[tuple[int, int]]:
     """From the vertex of greatest degree, hop to the farthest vertex as long as the distance grows; the last distance is a lower bound of the diameter."""
     at, out = max_degree(g).first().id if start is None else start, []
     while True:
@@ -61,6 +114,8 @@ def farthest_hops(g: Graph, start: int | None = None, keep: Column | None = None
         if f.id is None or f.dist <= (out[-1][1] if out else 0):
             return out
         out.append((f.id, f.dist))
+        if listen:
+            listen(len(out), *out[-1])
         at = f.id
 
 
@@ -71,25 +126,29 @@ def two_sweeps(g: Graph, source: int, keep: Column | None = None) -> int:
     return path[len(path) // 2]
 
 
-def diameter(g: Graph, source: int, keep: Column | None = None, listen=None) -> tuple[int, int]:
+def diameter(g: Graph, source: int, keep: Column | None = None, listen=None, budget: int = BUDGET) -> tuple[int, int]:
     """The diameter of the source's component in an undirected graph, and the number of searches after the first.
 
-    Layers go from the outermost inwards; a layer at distance d is searched as one, and the rest can't hold more than 2 (d - 1).
+    Layers go from the outermost inwards, each in batches that stay in the budget. Vertices at distance d or less are no more than 2 d apart, so it ends as soon as that is reached,
+    within a layer too. listen gets each batch's layer, the diameter so far and the searches so far.
     """
-    reached = settle(bfs(g, source, keep))
+    reached, total = settle_counting(bfs(g, source, keep))
     low = layer = reached.agg(F.max("dist")).first()[0]
     searches = 0
     while layer > 0 and low < 2 * layer:
-        some = settle(reached.where(F.col("dist") == layer).select("id"))
-        searches += some.count()
-        low = max(low, bfs_from(g, some, keep).agg(F.max("dist")).first()[0])
-        if listen:
-            listen(layer, low, searches)
+        some, n = settle_counting(reached.where(F.col("dist") == layer).select("id"))
+        for lot in _lots(some, n, total, budget):
+            if low >= 2 * layer:
+                break
+            lot, m = settle_counting(lot)
+            searches += m
+            low = max(low, bfs_from(g, lot, keep).agg(F.max("dist")).first()[0] or 0)
+            if listen:
+                listen(layer, low, searches)
         layer -= 1
-        if low >= 2 * layer:
-            break
     return low, searches
 
 
-def diameter_from_random(g: Graph, seed: int = 0, keep: Column | None = None) -> tuple[int, int]:
-    return diameter(g, two_sweeps(g, pick_vertices(g, 1, seed).first().id, keep), keep)
+def diameter_from_random(g: Graph, seed: int = 0, keep: Column | None = None, listen=None) -> tuple[int, int]:
+    """The same from the middle of a path from a random vertex."""
+    return diameter(g, two_sweeps(g, pick_vertices(g, 1, seed).first().id, keep), keep, listen)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.ids import draw
 from ..graph import Graph
 
 
@@ -32,8 +33,7 @@ def empty(spark: SparkSession, n: int) -> Graph:
 
 
 def random(spark: SparkSession, n: int, least: int, most: int, seed: int = 0) -> Graph:
-    """Each vertex draws an out-degree in [least, most] and that many targets, all by hashes of the seed; repeats of a target count once."""
-    h = lambda *x: F.xxhash64(F.lit(seed), *x)
-    d = F.pmod(h(F.col("id")), F.lit(most - least + 1)) + least
+    """Each vertex draws an out-degree in [least, most] and that many targets, all by draws from the seed; repeats of a target count once."""
+    d = draw(seed, most - least + 1, "id") + least
     e = spark.range(n).select(F.col("id").alias("src"), F.explode(F.sequence(F.lit(0).cast("long"), d)).alias("k")).where("k > 0")
-    return Graph(spark.range(n), e.select("src", F.pmod(h(F.col("src"), F.col("k")), F.lit(n)).alias("dst")).distinct())
+    return Graph(spark.range(n), e.select("src", draw(seed, n, "src", "k").alias("dst")).distinct())

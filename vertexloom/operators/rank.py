@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..graph import Graph
-from ..plans.loop import settle
+from ..plans.loop import beside, kept, settle
 from .metrics import out_degrees
 
 
@@ -18,12 +18,12 @@ def page_rank(g: Graph, damping: float = 0.85, steps: int = 30, own_share: bool
     """
     deg = out_degrees(g).repartition("id").persist()
     n = deg.count()
-    edges = g.edges.select("src", "dst").repartition("src").persist()
+    edges = kept(g.edges.select("src", "dst"), "src")
     r = settle(deg.withColumn("rank", F.lit(0.0 if own_share else 1 / max(1, n))))
     for _ in range(steps):
         share = r.where("degree > 0").select(F.col("id").alias("src"), (F.col("rank") / F.col("degree")).alias("share"))
-        got = edges.join(share, "src").groupBy(F.col("dst").alias("id")).agg(F.sum("share").alias("got"))
-        got = r.join(got, "id", "left").withColumn("got", F.coalesce("got", F.lit(0.0)))
+        got = edges.join(beside(share, n), "src").groupBy(F.col("dst").alias("id")).agg(F.sum("share").alias("got"))
+        got = r.join(beside(got, n), "id", "left").withColumn("got", F.coalesce("got", F.lit(0.0)))
         if own_share:
             new = F.when(F.col("degree") > 0, (1 - damping) + damping * (F.col("got") + F.col("rank") / F.col("degree"))).otherwise(0.0)
         else:

@@ -2,27 +2,31 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.ids import draw
+from ..functions.ids import draw, scattered
 from ..graph import Graph
-from ..plans.loop import settle, settle_counting
+from ..plans.loop import beside, kept, numbered, settle, settle_counting
 
 
-def bfs_from(g: Graph, sources: DataFrame, neighbour_if: Column | None = None, most: int | None = None, listen=None) -> DataFrame:
+def bfs_from(g: Graph, sources: DataFrame, neighbour_if: Column | None = None, expand_if: Column | None = None, most: int | None = None, listen=None) -> DataFrame:
     """source, id, dist, pred for every vertex reached from each source (sources: id).
 
-    The condition, over id, is on neighbours; a source always counts. pred is the least vertex of the level before (null at the source). Unreached vertices have no row.
+    Conditions are over id: neighbour_if says which neighbours may be reached, expand_if from which vertices the search goes on; a source is always reached. pred is the least
+    vertex of the level before (null at the source). Unreached vertices have no row. listen gets each depth and its frontier.
     """
-    edges = g.edges.select("src", F.col("dst").alias("id")).where(F.lit(True) if neighbour_if is None else neighbour_if).repartition("src").persist()
+    yes = F.lit(True)
+    edges = kept(g.edges.select("src", F.col("dst").alias("id")).where(yes if neighbour_if is None else neighbour_if), "src")
     front, n = settle_counting(sources.select(F.col("id").alias("source"), "id", F.lit(0).cast("long").alias("dist"), F.lit(None).cast("long").alias("pred")).distinct())
-    seen, depth = front, 0
+    seen, total, depth = front, n, 0
     while n and (most is None or depth < most):
         depth += 1
-        step = front.select("source", F.col("id").alias("src")).join(edges, "src").groupBy("source", "id").agg(F.min("src").alias("pred"))
-        front, n = settle_counting(step.join(seen.select("source", "id"), ["source", "id"], "left_anti").select("source", "id", F.lit(depth).cast("long").alias("dist"), "pred"))
-        seen = seen.union(front)
+        sent = front.where(yes if expand_if is None else expand_if).select("source", F.col("id").alias("src"))
+        step = edges.join(beside(sent, n), "src").groupBy("source", "id").agg(F.min("src").alias("pred"))
+        fresh = step.join(beside(seen.select("source", "id"), total), ["source", "id"], "left_anti")
+        front, n = settle_counting(fresh.select("source", "id", F.lit(depth).cast("long").alias("dist"), "pred"))
+        seen, total = seen.union(front), total + n
         if depth % 8 == 0:
             seen = settle(seen)
         if listen:
@@ -31,10 +35,15 @@ def bfs_from(g: Graph, sources: DataFrame, neighbour_if: Column | None = None, m
     return seen
 
 
-def bfs(g: Graph, source: int, neighbour_if: Column | None = None, most: int | None = None, listen=None) -> DataFrame:
+def bfs(g: Graph, source: int, neighbour_if: Column | None = None, expand_if: Column | None = None, most: int | None = None, listen=None) -> DataFrame:
     """id, dist, pred from one source."""
     one = g.vertices.sparkSession.range(1).select(F.lit(source).cast("long").alias("id"))
-    return bfs_from(g, one, neighbour_if, most, listen).drop("source")
+    return bfs_from(g, one, neighbour_if, expand_if, most, listen).drop("source")
+
+
+def rounds(reached: DataFrame) -> int:
+    """How many vertices a queue would take out: all that were reached."""
+    return reached.count()
 
 
 def farthest(reached: DataFrame) -> DataFrame:
@@ -43,59 +52,66 @@ def farthest(reached: DataFrame) -> DataFrame:
 
 
 def visit_order(reached: DataFrame) -> DataFrame:
-    """place, id, dist: the order in which a queue that takes neighbours by id meets whole levels, so by distance, then id.
-
-    The number of vertices of earlier levels is added to a place within the level, so no window spans all rows; a level is one group of the window.
-    """
-    level = reached.groupBy("dist").agg(F.count("*").alias("n"))
-    before = level.select(F.col("dist").alias("d"), F.coalesce(F.sum("n").over(Window.orderBy("dist").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))  # a row a level
-    place = F.row_number().over(Window.partitionBy("dist").orderBy("id")) - 1 + F.col("before")
-    return reached.join(before, F.col("dist") == F.col("d")).select(place.cast("long").alias("place"), "id", "dist")
+    """place, id, dist: the order in which a queue that takes neighbours by id meets whole levels, so by distance, then id."""
+    return numbered(reached.select("id", "dist"), "dist", "id", name="place").select("place", "id", "dist")
 
 
 def shortest_path(reached: DataFrame, target: int) -> list[int]:
-    """The vertices from the source to target along predecessors; only the path itself comes to the driver."""
-    row = reached.where(F.col("id") == target).first()
-    if row is None:
+    """The vertices from the source to target along predecessors, by pointer doubling: jobs follow the logarithm of the path's length; only the path itself comes to the driver."""
+    source = F.col("pred").isNull() | ((F.col("pred") == -1) & (F.col("dist") == 0))
+    jumps = [settle(reached.select("id", F.when(~source, F.col("pred")).alias("up")))]
+    path = jumps[0].where(F.col("id") == target).select("id", F.lit(0).cast("long").alias("hops"))
+    if not path.limit(1).count():
         raise ValueError(f"vertex {target} was not reached")
-    path = [target]
-    while row.pred is not None and row.dist:
-        path.append(row.pred)
-        row = reached.where(F.col("id") == row.pred).first()
-    return path[::-1]
+    while jumps[-1].where((F.col("id") == target) & F.col("up").isNotNull()).limit(1).count():
+        last = jumps[-1]
+        further = last.select(F.col("id").alias("up"), F.col("up").alias("next"))
+        jumps.append(settle(last.join(further, "up", "left").select("id", F.col("next").alias("up"))))
+    for k in reversed(range(len(jumps))):
+        on = jumps[k].join(F.broadcast(path), "id").where("up IS NOT NULL").select(F.col("up").alias("id"), (F.col("hops") + (1 << k)).alias("hops"))  # no longer than the path
+        path = settle(path.union(on).distinct())
+    return [r.id for r in path.orderBy(F.desc("hops")).collect()]
 
 
 def shortest_distances(g: Graph, source: int, weight: str | None = None) -> DataFrame:
     """id, dist, pred by relaxation; without a weight column each edge counts 1. The source has pred -1; of equal distances the least predecessor."""
     w = F.lit(1).cast("long") if weight is None else F.col(weight)
-    edges = g.edges.select("src", "dst", w.alias("w")).repartition("src").persist()
+    edges = kept(g.edges.select("src", "dst", w.alias("w")), "src")
     start = F.lit(0).cast("double" if weight else "long")
     best, n = settle_counting(g.vertices.sparkSession.range(1).select(F.lit(source).cast("long").alias("id"), start.alias("dist"), F.lit(-1).cast("long").alias("pred")))
-    front = best
+    front, total = best, n
     while n:
-        more = front.join(edges, front["id"] == edges["src"]).groupBy(F.col("dst").alias("id")).agg(F.min(F.struct((F.col("dist") + F.col("w")).alias("dist"), F.col("src").alias("pred"))).alias("new"))
-        both = more.join(best, "id", "left")
+        sent = beside(front.select(F.col("id").alias("src"), "dist"), n)
+        more = edges.join(sent, "src").groupBy(F.col("dst").alias("id")).agg(F.min(F.struct((F.col("dist") + F.col("w")).alias("dist"), F.col("src").alias("pred"))).alias("new"))
+        both = more.join(beside(best, total), "id", "left")
         better = F.col("dist").isNull() | (F.col("new.dist") < F.col("dist")) | ((F.col("new.dist") == F.col("dist")) & (F.col("new.pred") < F.col("pred")) & (F.col("pred") >= 0))
         front, n = settle_counting(both.where(better).select("id", F.col("new.dist").alias("dist"), F.col("new.pred").alias("pred")))
-        best = settle(best.join(front, "id", "left_anti").union(front))
+        best, total = settle_counting(best.join(beside(front.select("id"), n), "id", "left_anti").union(front))
     edges.unpersist()
     return best
 
 
 def random_walk(g: Graph, sources: DataFrame, steps: int, seed: int = 0, neighbour_if: Column | None = None) -> DataFrame:
-    """id and visits: each row of sources (id) is a walker that moves to an out-neighbour chosen by a hash of seed, walker and step; it ends at sinks and where the condition fails."""
-    adj = g.adjacency().where(F.size("neighbours") > 0).persist()
-    at = settle(sources.select(F.col("id")).withColumn("walker", F.xxhash64("id")))
+    """id and visits: each row of sources (id, and a number `walker` of its own, given out here if it lacks one) is a walker that makes so many visits, the first at its source.
+
+    From each it moves along the out-edge that a draw from seed, walker and step chooses among the vertex's, in the order of targets, independently of all other walkers;
+    it ends at sinks and where the condition, over id, fails. Edges are looked up by their number, so a hub's edges are never gathered, however many walkers meet there.
+    """
+    edges = numbered(g.edges.select("src", "dst"), "src", "dst").persist()
+    of = edges.groupBy(F.col("src").alias("id")).agg(F.min("n").alias("first"), F.count("*").alias("degree")).persist()
+    at, n = settle_counting(sources.select("id", "walker") if "walker" in sources.columns else sources.select("id", F.monotonically_increasing_id().alias("walker")))
     visits = at.groupBy("id").agg(F.count("*").alias("n"))
-    for step in range(1, steps + 1):
-        pick = F.col("neighbours")[draw(seed, F.size("neighbours"), "walker", F.lit(step)).cast("int")]
-        at = settle(at.join(adj, "id").select(pick.alias("id"), "walker").where(F.lit(True) if neighbour_if is None else neighbour_if))
+    for step in range(1, steps):
+        moved = of.join(beside(at, n), "id").select("walker", (F.col("first") + draw(seed, F.col("degree"), "walker", F.lit(step))).alias("n"))
+        there = edges.join(beside(moved, n), "n").select(F.col("dst").alias("id"), "walker")
+        at, n = settle_counting(there.where(F.lit(True) if neighbour_if is None else neighbour_if))
         visits = visits.union(at.groupBy("id").agg(F.count("*").alias("n")))
     out = settle(visits.groupBy("id").agg(F.sum("n").alias("visits")))
-    adj.unpersist()
+    edges.unpersist()
+    of.unpersist()
     return out
 
 
 def pick_vertices(g: Graph, n: int, seed: int = 0) -> DataFrame:
-    """n vertices of the whole graph, those with the least hash."""
-    return g.vertices.select("id").orderBy(F.xxhash64(F.lit(seed), "id"), "id").limit(n)
+    """n vertices of the whole graph, those with the least number by the seed."""
+    return g.vertices.select("id").orderBy(scattered(seed, "id"), "id").limit(n)
