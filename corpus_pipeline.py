@@ -58,10 +58,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents; what each returns is written in the shared folder and read again."""
-    docs = table(spark, sf_dir, "documents")
+    """All stages over documents; what each returns is written in the shared folder and read again, and goes when its successor is written."""
+    docs, written = table(spark, sf_dir, "documents"), []
     for k, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k + 1 < len(STAGES):
-            docs = cut(docs)
+            docs = cut(docs, *written)
+            written = [docs]
     return docs
