@@ -9,14 +9,14 @@ from test_substrings import words_removed
 from tokenizers import Tokenizer
 
 from vertexloom.llm import language
-from vertexloom.llm.common import table
+from vertexloom.llm.common import cut, table
 
 
 def test_stages(spark):
     d = "/root/testdata/sf0.001"
     docs = table(spark, d, "documents")
     extra = spark.createDataFrame([(10_000, None, "en", "s", None), (10_001, "1234 + 5", "en", "s", 8), (None, "this is the one and only text of them all", "en", "s", 41)], docs.schema)
-    docs, kept = docs.union(extra).localCheckpoint(), {}
+    docs, kept = cut(docs.union(extra)), {}
     texts = lambda df: {r.doc_id: r.text for r in df.collect()}
     for k, (name, stage) in enumerate(corpus_pipeline.STAGES):
         before, docs = texts(docs) if k == 0 else kept, stage(spark, docs, d)
