@@ -58,8 +58,14 @@ def test_cases(spark):
     for r in kept.collect():
         if r.text is None:
             assert r.doc_id == 200
-    for r in substrings.maximal_repeats(df).collect():
-        assert r.end - r.start >= 13
+    found = {}
+    for r in substrings.maximal_repeats(df.where("doc_id < 200 OR doc_id IN (202, 206)")).collect():
+        found.setdefault(r.doc_id, []).append((r.start, r.end))
+    want = {i: n for i, _, n, _ in plain([x for x in rows if x[0] is not None and (x[0] < 200 or x[0] in (202, 206))]) if n}
+    assert {i: sum(b - a for a, b in x) for i, x in found.items()} == want  # all that goes, and no more
+    for x in found.values():
+        x.sort()
+        assert all(b - a >= 13 for a, b in x) and all(b < a for (_, b), (a, _) in zip(x, x[1:], strict=False))  # none overlaps or touches the next
     assert digests
 
 
