@@ -29,15 +29,16 @@ def connected(g: Graph) -> DataFrame:
     Labels that fit a broadcast reach the edges where these lie, and nothing is shuffled; beyond that they are merged with the sorted edges and least ones combine before the
     shuffle. The rows of a giant component that look up one label are a skewed join of two shuffles, which Spark splits.
     """
-    both = kept(g.undirected().edges.where("src <> dst"), "src")
+    ids = g.vertices.select(F.col("id").alias("src"), F.col("id").alias("dst"))
+    both = kept(g.undirected().edges.where("src <> dst").union(ids), "src")  # each vertex is its own neighbour
     start, total = settle_counting(g.vertices.select("id", F.col("id").alias("label"), F.lit(True).alias("fresh")))
     end, other = ("dst", "src") if total <= ROWS else ("src", "dst")
 
     def step(s: DataFrame, _: int) -> DataFrame:
-        old = s.select("id", "label")
-        near = both.join(beside(old.select(F.col("id").alias(end), F.col("label").alias("near")), total), end).groupBy(F.col(other).alias("id")).agg(F.min("near").alias("near"))
-        low = old.join(beside(near, total), "id", "left").select("id", "label", F.least("label", "near").alias("low"))
-        jump = beside(old.select(F.col("id").alias("low"), F.col("label").alias("next")), total)
+        near = both.join(beside(s.select(F.col("id").alias(end), "label"), total), end)
+        own = F.min(F.when(F.col("src") == F.col("dst"), F.col("label"))).alias("label")
+        low = near.groupBy(F.col(other).alias("id")).agg(F.min("label").alias("low"), own)
+        jump = beside(s.select(F.col("id").alias("low"), F.col("label").alias("next")), total)
         return low.join(jump, "low").select("id", F.least("low", "next").alias("label"), (F.least("low", "next") < F.col("label")).alias("fresh"))
 
     out = until_still(start, step, "fresh", total)

@@ -24,16 +24,16 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 
-def succession(spark: SparkSession, sf_dir: str, undirected: bool = False) -> Graph:
-    """Parts that follow one another in an order, of all lines."""
+def succession(spark: SparkSession, sf_dir: str, undirected: bool = False, hold: bool = False) -> Graph:
+    """Parts that follow one another in an order, of all lines; for loops, which read it several times, its edges are settled."""
     e = spark.sql(_SUCC.format(lineitem="{lines}"), lines=spark.read.parquet(f"{sf_dir}/lineitem.parquet"))
-    return Graph.from_edges(e, undirected=undirected)
+    return Graph.from_edges(settle(e) if hold else e, undirected=undirected)
 
 
 def kinship(spark: SparkSession, sf_dir: str, alike: str, undirected: bool = False) -> Graph:
-    """Orders that follow one another, by the day a line was shipped, among all lines that are alike."""
+    """Orders that follow one another, by the day a line was shipped, among all lines that are alike. All its queries are loops, so its edges are settled."""
     e = spark.sql(_KIN.format(lineitem="{lines}", alike=alike), lines=spark.read.parquet(f"{sf_dir}/lineitem.parquet"))
-    return Graph.from_edges(e, undirected=undirected)
+    return Graph.from_edges(settle(e), undirected=undirected)
 
 
 def priced(spark: SparkSession, sf_dir: str) -> Graph:
@@ -349,7 +349,7 @@ def _deep(spark: SparkSession, d: str) -> Graph:
 
 @query(_with(_e(undirected=True), _V, _bfs(), end="SELECT id, dist FROM b"))
 def bfs_distance(spark, d):
-    return _from_least(succession(spark, d, True)).select("id", "dist")
+    return _from_least(succession(spark, d, True, hold=True)).select("id", "dist")
 
 
 @query(_with(_e(WIDE, True), _V, _bfs(), end="SELECT id, dist FROM b"))
@@ -359,12 +359,12 @@ def bfs_distance_deep(spark, d):
 
 @query(_with(_e(undirected=True), _V, _bfs(), end=f"SELECT b.id, b.dist, min(p.id) AS pred {_PRED}"))
 def bfs_predecessor(spark, d):
-    return _from_least(succession(spark, d, True))
+    return _from_least(succession(spark, d, True, hold=True))
 
 
 @query(_with(_e(undirected=True), _V, _bfs(" AND e.dst % 4 <> 3"), end="SELECT id, dist FROM b"))
 def bfs_filtered(spark, d):
-    return _from_least(succession(spark, d, True), neighbour_if=F.col("id") % 4 != 3).select("id", "dist")
+    return _from_least(succession(spark, d, True, hold=True), neighbour_if=F.col("id") % 4 != 3).select("id", "dist")
 
 
 @query(_with(_e(WIDE, True), _V, _bfs(" AND (b.id % 4 <> 3 OR b.dist = 0)"), end="SELECT id, dist FROM b"))
@@ -392,7 +392,7 @@ def farthest_vertex(spark, d):
 
 @query(_with(_e(), _V, _bfs(), end=f"SELECT b.id, b.dist, coalesce(min(p.id), -1) AS pred {_PRED}"))
 def sssp_pred(spark, d):
-    g = succession(spark, d)
+    g = succession(spark, d, hold=True)
     return traverse.shortest_distances(g, _least(g))
 
 
@@ -414,7 +414,7 @@ UNION ALL SELECT w.step + 1, w.walker, o.dst FROM w JOIN d ON d.id = w.id JOIN o
 
 @query(_with(_e(undirected=True), _V, _D, _WALK, end="SELECT id, count(*)::BIGINT AS visits FROM w GROUP BY id"))
 def random_walk(spark, d):
-    g = succession(spark, d, True)
+    g = succession(spark, d, True, hold=True)
     return traverse.random_walk(g, g.vertices.select("id", F.col("id").alias("walker")), 5, seed=7)
 
 
@@ -425,7 +425,7 @@ def random_vertices(spark, d):
 
 @query(_with(_e(undirected=True), _V, _LOW, end="SELECT id, label FROM l"))
 def cc_labels(spark, d):
-    return components.connected(succession(spark, d))
+    return components.connected(succession(spark, d, hold=True))
 
 
 def _kin_labels(spark: SparkSession, d: str) -> DataFrame:
@@ -462,7 +462,7 @@ _SCC = "c AS (SELECT r.a AS id, min(r.b) AS label FROM r JOIN r AS s ON s.a = r.
 
 @query(_with(_e(), _V, _REACH, _SCC, end="SELECT id, label FROM c"))
 def scc_labels(spark, d):
-    return components.strongly_connected(succession(spark, d))
+    return components.strongly_connected(succession(spark, d, hold=True))
 
 
 @query(_with(_e(NARROW), _V, _REACH, _SCC, end="SELECT label, count(*) AS size FROM c GROUP BY label"))
@@ -491,7 +491,7 @@ def scc_trim(spark, d):
     )
 )
 def pagerank(spark, d):
-    return rank.page_rank(succession(spark, d)).select("id", F.round("rank", 9).alias("rank"))
+    return rank.page_rank(succession(spark, d, hold=True)).select("id", F.round("rank", 9).alias("rank"))
 
 
 @query(
@@ -504,7 +504,7 @@ def pagerank(spark, d):
 def pagerank_own_share(spark, d):
     """Ranks of the own recurrence grow without bounds; the digest is of r / (1 + r)."""
     r = F.col("rank")
-    return rank.page_rank(succession(spark, d), steps=30, own_share=True).select("id", F.round(r / (1 + F.abs(r)), 9).alias("rank"))
+    return rank.page_rank(succession(spark, d, hold=True), steps=30, own_share=True).select("id", F.round(r / (1 + F.abs(r)), 9).alias("rank"))
 
 
 @query(
@@ -622,7 +622,7 @@ def random_graph(spark, d):
 
 @query(_with(_e(), _V, _LOW, end="SELECT id, label AS value FROM l"))
 def pregel_min(spark, d):
-    return attributes.pregel(succession(spark, d), F.col("id"), F.col("value"), F.min, F.least("value", "message"))
+    return attributes.pregel(succession(spark, d, hold=True), F.col("id"), F.col("value"), F.min, F.least("value", "message"))
 
 
 @query(_with(_e(), _V, _ATTR, end="SELECT id, CASE WHEN id % 3 = 0 THEN -id ELSE attr END AS attr FROM a"))
