@@ -229,6 +229,53 @@ def test_eccentricities(spark, web):
     assert max(half) == max(whole) and half[max(whole)] == whole[max(whole)] and set(half) <= set(whole) and searched[0] < len(ecc)
 
 
+@pytest.fixture(scope="module")
+def crowd(spark):
+    """Pairs, eccentricities and the undirected graph of 60 components of 2 to 13 vertices."""
+    r, pairs = random.Random(4), set()
+    for c in range(60):
+        some = r.sample(range(20 * c, 20 * c + 20), 2 + c % 12)
+        pairs |= {(v, some[r.randrange(max(0, i - 3), i)]) for i, v in enumerate(some) if i}
+    pairs |= {(b, a) for a, b in pairs}
+    ecc = {v: max(brute_distances(sorted(pairs), v).values()) for v in {a for a, _ in pairs}}
+    return sorted(pairs), ecc, Graph.from_edges(spark.createDataFrame(sorted(pairs), "src long, dst long"))
+
+
+def jobs(spark, name, f):
+    """What f returns, and how many jobs it took."""
+    sc = spark.sparkContext
+    sc.setJobGroup(name, name)
+    try:
+        return f(), len(sc.statusTracker().getJobIdsForGroup(name))
+    finally:
+        sc.setLocalProperty("spark.jobGroup.id", None)
+
+
+def counted(ecc):
+    return sorted((e, list(ecc.values()).count(e)) for e in set(ecc.values()))
+
+
+def test_hybrid_distribution_of_many_components(spark, crowd):
+    """A round doesn't take its searches from the whole graph: however many components there are, the jobs don't follow them, and a share of 1 is exact."""
+    _, ecc, g = crowd
+    searched = []
+    whole, n = jobs(spark, "hybrid", lambda: rows(extent.hybrid_distribution(g, 1.0, batch=2, budget=1000, listen=searched.append)))
+    assert whole == counted(ecc) and n < 150 and 0 < searched[0] < len(ecc)
+    half = dict(rows(extent.hybrid_distribution(g, 0.5, batch=2)))
+    assert max(half) == max(ecc.values()) and half[max(half)] == dict(whole)[max(half)] and set(half) <= set(ecc.values())
+
+
+def test_heavy_and_light_components(spark):
+    """The same, whether components are searched within a task or by supersteps."""
+    pairs = [p for a, b in ((1, 2), (2, 3), (3, 4), (3, 1), (70, 71)) for p in ((a, b), (b, a))]
+    g = Graph.from_edges(spark.createDataFrame(pairs, "src long, dst long"), spark.createDataFrame([(80,)], "id long"))
+    ecc, told = {1: 2, 2: 2, 3: 1, 4: 2, 70: 1, 71: 1, 80: 0}, []
+    assert dict(rows(extent.eccentricity(g, budget=12, local=2))) == ecc  # 70 and 71 within a task
+    assert dict(rows(extent.bounded_eccentricity(g, 3, listen=lambda turn, did: told.append(did), local=2))) == ecc
+    assert sum(x["assigned"] + x["pruned"] for x in told) == len(ecc)
+    assert rows(extent.hybrid_distribution(g, 1.0, batch=2, local=0)) == counted(ecc)
+
+
 def test_diameters_and_listeners(spark, web):
     pairs, g = web
     ecc = {v: max(brute_distances(pairs, v).values()) for v in range(30)}

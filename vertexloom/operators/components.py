@@ -24,7 +24,8 @@ def least_ancestors(g: Graph) -> DataFrame:
 
 
 def connected(g: Graph) -> DataFrame:
-    """id and label of weak components: labels of neighbours and labels of labels in turn, so long paths take few supersteps.
+    """id and label of weak components: labels of neighbours and labels of labels in turn, so long paths take few supersteps. What a vertex learns goes to its old label too, so
+    that where two regions meet the whole region changes, not only its border.
 
     Labels that fit a broadcast reach the edges where these lie, and nothing is shuffled; beyond that they are merged with the sorted edges and least ones combine before the
     shuffle. The rows of a giant component that look up one label are a skewed join of two shuffles, which Spark splits.
@@ -38,6 +39,8 @@ def connected(g: Graph) -> DataFrame:
         near = both.join(beside(s.select(F.col("id").alias(end), "label"), total), end)
         own = F.min(F.when(F.col("src") == F.col("dst"), F.col("label"))).alias("label")
         low = near.groupBy(F.col(other).alias("id")).agg(F.min("label").alias("low"), own)
+        hook = F.when(F.col("low") < F.col("label"), F.struct(F.col("label").alias("id"), "low", F.lit(None).cast("long").alias("label")))
+        low = low.select(F.inline(F.array_compact(F.array(F.struct("id", "low", "label"), hook)))).groupBy("id").agg(F.min("low").alias("low"), F.max("label").alias("label"))
         jump = beside(s.select(F.col("id").alias("low"), F.col("label").alias("next")), total)
         return low.join(jump, "low").select("id", F.least("low", "next").alias("label"), (F.least("low", "next") < F.col("label")).alias("fresh"))
 

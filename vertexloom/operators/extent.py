@@ -1,8 +1,10 @@
-"""Eccentricity and diameter. Searches run for many sources in one loop, so the number of jobs follows the depth, not the number of sources."""
+"""Eccentricity and diameter. Searches run for many sources in one loop, so the number of jobs follows the depth, not the number of sources; eccentricities of components that
+one task can hold take no loop at all."""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -10,99 +12,182 @@ from pyspark.sql import functions as F
 from ..functions.ids import draw
 from ..graph import Graph
 from ..plans.loop import beside, settle, settle_counting
+from .components import connected
+from .inside import OPEN, REFINED, farthest as farthest_inside, refiner
 from .metrics import max_degree
 from .traverse import bfs, bfs_from, farthest, pick_vertices, shortest_path
 
 #: Rows (source, vertex) that a search may hold at a time.
 BUDGET = 50_000_000
+#: Components of up to LOCAL edges are searched by one task, about CROWD vertices and edges at once.
+LOCAL, CROWD = 20_000, 100_000
 
 
-def _lots(some: DataFrame, n: int, vertices: int, budget: int) -> Iterator[DataFrame]:
-    """The n ids of some in parts by a hash, each so small that all its searches together stay in the budget."""
-    lots = max(1, -(-n * vertices // budget))
+def _lots(some: DataFrame, rows: int, budget: int) -> Iterator[DataFrame]:
+    """The ids of some, whose searches hold so many rows, in parts by a hash that each stay in the budget."""
+    lots = max(1, -(-rows // budget))
     for lot in range(lots):
         yield some.where(F.pmod(F.xxhash64("id"), F.lit(lots)) == lot) if lots > 1 else some
 
 
-def eccentricity(g: Graph, keep: Column | None = None, budget: int = BUDGET, sources: DataFrame | None = None) -> DataFrame:
-    """id and ecc, the greatest distance to a vertex it reaches, of all vertices (or of sources) that fulfil keep; a search doesn't leave those."""
-    some, n = settle_counting((g.vertices if sources is None else sources).select("id").where(F.lit(True) if keep is None else keep))
-    vertices, out = (n if sources is None else g.vertices.count()), some.select("id", F.lit(0).cast("long").alias("ecc")).limit(0)
-    for lot in _lots(some, n, vertices, budget):
-        out = out.union(settle(bfs_from(g, lot, keep).groupBy(F.col("source").alias("id")).agg(F.max("dist").alias("ecc"))))
+@dataclass(frozen=True)
+class _Parts:
+    """A graph by the weight of its components: vertices (bucket, label, id) and edges (bucket, label, id, dst) of the light ones, whole components by the bucket, and the others."""
+
+    vertices: DataFrame
+    edges: DataFrame
+    heavy: Graph | None
+    sizes: DataFrame | None  # label and size of the heavy components
+    labels: DataFrame
+    total: int  # vertices of the heavy components
+
+
+def _parts(g: Graph, keep: Column | None, local: int | None) -> _Parts:
+    inner = g if keep is None else g.induced(keep)
+    pairs, m = settle_counting(inner.edges.select("src", "dst").where("src <> dst").distinct())
+    ids, n = settle_counting(inner.vertices.select("id"))
+    labels = connected(Graph(ids, pairs))
+    edges = settle(pairs.join(beside(labels.select(F.col("id").alias("src"), "label"), n), "src").select("label", F.col("src").alias("id"), "dst"))
+    weight = edges.groupBy("label").agg(F.count("*").alias("n"))
+    large, k = settle_counting(weight.where(F.col("n") > (LOCAL if local is None else local)).select("label"))
+    bucket = F.pmod(F.xxhash64("label"), F.lit(-(-(n + m) // CROWD) or 1)).alias("bucket")
+    light = lambda df: (df.join(beside(large, k), "label", "left_anti") if k else df).select(bucket, *df.columns)
+    if not k:
+        return _Parts(light(labels.select("label", "id")), light(edges), None, None, labels, 0)
+    those, total = settle_counting(labels.join(beside(large, k), "label").select("label", "id"))
+    heavy = Graph(those.select("id"), settle(edges.join(beside(large, k), "label").select(F.col("id").alias("src"), "dst")))
+    return _Parts(light(labels.select("label", "id")), light(edges), heavy, settle(those.groupBy("label").agg(F.count("*").alias("size"))), labels, total)
+
+
+def _eccentricity(p: _Parts, budget: int, sources: DataFrame | None = None) -> DataFrame:
+    v = p.vertices.select("bucket", "label", "id", F.lit(None).cast("long").alias("dst"))
+    if sources is None:
+        v = v.withColumn("pick", F.lit(True))
+    else:
+        sources, n = settle_counting(sources.select("id").distinct())
+        v = v.join(beside(sources.withColumn("pick", F.lit(True)), n), "id", "left").select(*v.columns, "pick")
+    out = settle(p.edges.withColumn("pick", F.lit(None).cast("boolean")).union(v).groupBy("bucket").applyInArrow(farthest_inside, "id long, ecc long"))
+    if p.heavy is None:
+        return out
+    some = p.heavy.vertices if sources is None else p.heavy.vertices.join(beside(sources, n), "id", "left_semi")
+    held = p.labels.join(some, "id").groupBy("label").agg(F.count("*").alias("n")).join(p.sizes, "label").agg(F.sum(F.col("n") * F.col("size"))).first()[0]
+    for lot in _lots(some, held or 0, budget):
+        out = out.union(settle(bfs_from(p.heavy, lot).groupBy(F.col("source").alias("id")).agg(F.max("dist").alias("ecc"))))
     return out
 
 
-def _bounds(g: Graph, keep: Column | None, batch: int, going_on, listen=None) -> tuple[DataFrame, int]:
-    """id, low and up of all vertices when going_on(state) says no, and their number. A vertex whose bounds meet is assigned.
+def eccentricity(g: Graph, keep: Column | None = None, budget: int = BUDGET, sources: DataFrame | None = None, local: int | None = None) -> DataFrame:
+    """id and ecc, the greatest distance to a vertex it reaches, of all vertices (or of sources) that fulfil keep; a search doesn't leave those.
 
-    A search of depth e at distance d gives max(d, e - d) <= ecc <= e + d. Each round searches from the open vertices that promise most (greatest upper and least lower bounds
-    in turn, degrees at the start). What hangs on an assigned vertex by its only edge is assigned with one more, if that vertex has another neighbour.
+    Components of up to `local` edges (LOCAL) are searched each by one task. Vertices of the others are searched in lots; what a search holds is its component, not the graph.
     """
-    yes = F.lit(True) if keep is None else keep
-    inner = g if keep is None else g.induced(keep)
-    pairs = inner.edges.select("src", "dst").where("src <> dst").distinct().persist()
-    degree = pairs.groupBy(F.col("src").alias("id")).agg(F.count("*").alias("degree"))
-    none = F.lit(None).cast("long")
-    state, total = settle_counting(g.vertices.where(yes).select("id").join(degree, "id", "left").select("id", F.coalesce("degree", F.lit(0)).alias("degree"), F.lit(0).cast("long").alias("low"), none.alias("up")))
-    leaf = state.where("degree = 1").select(F.col("id").alias("leaf"))
-    hangs = settle(pairs.join(leaf, pairs["src"] == leaf["leaf"]).select("leaf", F.col("dst").alias("id")).join(state.where("degree > 1").select("id"), "id")) if total else None
-    turn = 0
-    while total and going_on(state):
-        open_ = state.where("up IS NULL OR low < up")
+    return _eccentricity(_parts(g, keep, local), budget, sources)
+
+
+class _Bounds:
+    """low and up of all vertices, by searches. A vertex whose bounds meet is assigned.
+
+    A search of depth e at distance d gives max(d, e - d) <= ecc <= e + d. Each search is from the open vertex of a component that promises most (greatest upper and least lower
+    bounds in turn, degrees at the start). What hangs on an assigned vertex by its only edge is assigned with one more, if that vertex has another neighbour.
+    Light components take one search at a time, each within its task; of the heavy ones the `batch` most promising vertices of all are searched together, or fewer if rows would exceed the budget.
+    """
+
+    def __init__(self, p: _Parts, batch: int, budget: int = BUDGET, listen=None):
+        self.p, self.listen, self.turn, self.told = p, listen, 0, {}
+        zero, none = F.lit(0).cast("long").alias("low"), F.lit(None).cast("long").alias("up")
+        self.light = p.vertices.select("bucket", "label", "id", zero, none)
+        self.heavy = None
+        if p.heavy is not None:
+            self.batch = max(1, min(batch, budget // p.total))
+            pairs = p.heavy.edges
+            degree = pairs.groupBy(F.col("src").alias("id")).agg(F.count("*").alias("degree"))
+            self.heavy = settle(degree.select("id", "degree", zero, none))  # none is alone
+            leaf = self.heavy.where("degree = 1").select(F.col("id").alias("leaf"))
+            self.hangs = settle(pairs.join(leaf, pairs["src"] == leaf["leaf"]).select("leaf", F.col("dst").alias("id")).join(self.heavy.where("degree > 1").select("id"), "id"))
+
+    def state(self) -> DataFrame:
+        """id, low, up (null: not known yet) and light."""
+        all_ = self.light.select("id", "low", "up", F.lit(True).alias("light"))
+        return all_ if self.heavy is None else all_.union(self.heavy.select("id", "low", "up", F.lit(False)))
+
+    def refine_light(self, least: int, greatest: int) -> None:
+        """Until no open vertex of a light component has a lower bound of `least` or less, or an upper one of `greatest` or more."""
+        none = F.lit(None).cast("long")
+        rows = self.p.edges.select("bucket", "label", "id", "dst", none.alias("low"), none.alias("up")).union(self.light.select("bucket", "label", "id", none, "low", "up"))
+        out = settle(rows.groupBy("bucket").applyInArrow(refiner(least, greatest), REFINED))
+        self.light = out.where("turn IS NULL").select("bucket", "label", "id", "low", "up")
+        if self.listen:
+            what = ("lower", "upper", "assigned", "pruned")
+            self.told = {r.turn: {c: r[c] for c in what} for r in out.where("turn IS NOT NULL").groupBy("turn").agg(*(F.sum(c).alias(c) for c in what)).collect()}
+
+    def refine_heavy(self) -> None:
+        """One round of searches in the heavy components."""
+        state, turn, total = self.heavy, self.turn, self.p.total
         order = [F.desc("degree")] if not turn else [F.desc_nulls_first("up"), F.desc("degree")] if turn % 2 else [F.asc("low"), F.desc("degree")]
-        pick = settle(open_.orderBy(*order, "id").limit(batch).select("id"))
-        reach = settle(bfs_from(inner, pick).select("source", "id", "dist"))
+        pick = settle(state.where(_OPEN).orderBy(*order, "id").limit(self.batch).select("id"))
+        reach = settle(bfs_from(self.p.heavy, pick).select("source", "id", "dist"))
         depth = reach.groupBy("source").agg(F.max("dist").alias("e"))
-        bound = reach.join(beside(depth, batch), "source").groupBy("id").agg(F.max(F.greatest("dist", F.col("e") - F.col("dist"))).alias("l"), F.min(F.col("e") + F.col("dist")).alias("u"))
+        bound = reach.join(beside(depth, self.batch), "source").groupBy("id").agg(F.max(F.greatest("dist", F.col("e") - F.col("dist"))).alias("l"), F.min(F.col("e") + F.col("dist")).alias("u"))
         new = state.join(beside(bound, total), "id", "left").select("id", "degree", F.greatest("low", "l").alias("low"), F.least("up", "u").alias("up"), F.col("low").alias("low_was"), F.col("up").alias("up_was"))
         new = settle(new)
-        sure = hangs.join(beside(new.where("low = up").select("id", F.col("low").alias("ecc")), total), "id").select(F.col("leaf").alias("id"), (F.col("ecc") + 1).alias("ecc"))
+        sure = self.hangs.join(beside(new.where("low = up").select("id", F.col("low").alias("ecc")), total), "id").select(F.col("leaf").alias("id"), (F.col("ecc") + 1).alias("ecc"))
         done = new.join(beside(sure, total), "id", "left").withColumn("pruned", F.col("ecc").isNotNull() & (F.col("up").isNull() | (F.col("low") < F.col("up"))))
         done = settle(done.select("id", "degree", F.coalesce("ecc", "low").alias("low"), F.coalesce("ecc", "up").alias("up"), "low_was", "up_was", "pruned"))
-        if listen:
+        self.heavy, self.turn = done.select("id", "degree", "low", "up"), turn + 1
+        if self.listen:
             count = lambda x: F.count_if(F.expr(x))
             c = done.agg(count("NOT pruned AND low > low_was").alias("lower"), count("NOT pruned AND NOT up <=> up_was").alias("upper"), count("NOT pruned AND low = up AND (up_was IS NULL OR low_was < up_was)").alias("assigned"), count("pruned").alias("pruned"))
-            listen(turn + 1, c.first().asDict())
-        state, turn = done.select("id", "degree", "low", "up"), turn + 1
-    pairs.unpersist()
-    return state.select("id", "low", "up"), total
+            inside = self.told.pop(turn + 1, {})
+            self.listen(turn + 1, {k: v + inside.get(k, 0) for k, v in c.first().asDict().items()})
 
 
-_OPEN = "up IS NULL OR low < up"
+_OPEN = "(up IS NULL OR low < up)"
 
 
-def bounded_eccentricity(g: Graph, batch: int = 64, keep: Column | None = None, listen=None) -> DataFrame:
+def bounded_eccentricity(g: Graph, batch: int = 64, keep: Column | None = None, listen=None, local: int | None = None) -> DataFrame:
     """id and ecc of an undirected graph (of the part whose vertices fulfil keep, over id) by bounds, until they meet everywhere.
 
     listen gets the round and a dict of what it did: bounds refined (lower, upper), vertices assigned by their bounds, and vertices pruned, that is assigned from their only neighbour.
     """
-    return _bounds(g, keep, batch, lambda s: s.where(_OPEN).limit(1).count() > 0, listen)[0].select("id", F.col("low").alias("ecc"))
+    bounds = _Bounds(_parts(g, keep, local), batch, listen=listen)
+    bounds.refine_light(-1, 0)
+    while bounds.heavy is not None and bounds.heavy.where(_OPEN).limit(1).count():
+        bounds.refine_heavy()
+    for turn in sorted(bounds.told):
+        listen(turn, bounds.told[turn])
+    return bounds.state().select("id", F.col("low").alias("ecc"))
 
 
-def hybrid_distribution(g: Graph, share: float, seed: int = 0, batch: int = 64, keep: Column | None = None, budget: int = BUDGET, listen=None) -> DataFrame:
+def hybrid_distribution(g: Graph, share: float, seed: int = 0, batch: int = 64, keep: Column | None = None, budget: int = BUDGET, listen=None, local: int | None = None) -> DataFrame:
     """value and n: a distribution of eccentricities that is exact at centre and periphery, and elsewhere estimated from a share of the vertices.
 
     Bounds are refined only until no open vertex has the least lower or the greatest upper bound of all. With the least lower bound of open vertices less one (L) and their
     greatest upper bound plus one (R), assigned vertices of L or less, or of R or more, are counted exactly. Of all others a share is drawn by the seed, searched from where
     not yet assigned, and counted 1 / share times each (rounded). With a share of 1 everything is exact. The number searched goes to listen.
     """
-
-    def going_on(s: DataFrame) -> bool:
-        ends = s.agg(F.min("low").alias("a"), F.max(F.coalesce("up", F.lit(1 << 62))).alias("b")).first()
-        return s.where(_OPEN).where((F.col("low") == ends.a) | (F.coalesce("up", F.lit(1 << 62)) == ends.b)).limit(1).count() > 0
-
-    state, total = _bounds(g, keep, batch, going_on)
+    p = _parts(g, keep, local)
+    bounds, up = _Bounds(p, batch, budget), F.coalesce("up", F.lit(OPEN))
+    bounds.refine_light(-1, OPEN)  # a first search of each component
+    while True:
+        ends = bounds.state().agg(F.min("low").alias("a"), F.max(up).alias("b"), F.max("low").alias("c")).first()
+        at = bounds.state().where(_OPEN).where((F.col("low") == ends.a) | (up == ends.b)).agg(F.count_if(F.col("light")).alias("light"), F.count("*").alias("n")).first()
+        if at.light:
+            bounds.refine_light(ends.a, ends.c)  # the greatest of all is no less than the greatest lower bound
+        elif at.n:
+            bounds.refine_heavy()
+        else:
+            break
+    state = bounds.state()
     ends = state.where(_OPEN).agg((F.min("low") - 1).alias("a"), (F.max("up") + 1).alias("b")).first()
     inside = F.lit(False) if ends.a is None else F.expr(_OPEN) | ((F.col("low") > ends.a) & (F.col("low") < ends.b))
     exact = state.where(~inside).select(F.col("low").alias("value"), F.lit(1).cast("long").alias("n"))
     drawn = settle(state.where(inside).where(draw(seed, 1 << 30, "id") < round(share * (1 << 30))))
     searched, n = settle_counting(drawn.where(_OPEN).select("id"))
-    found = eccentricity(g, keep, budget, searched).select(F.col("ecc").alias("value"))
+    found = _eccentricity(p, budget, searched).select(F.col("ecc").alias("value")) if n else searched.select(F.col("id").alias("value"))
     if listen:
         listen(n)
     weight = F.lit(round(1 / share)).cast("long").alias("n")
-    rows = exact.union(drawn.where(f"NOT ({_OPEN})").select("low", weight)).union(found.select("value", weight))
+    rows = exact.union(drawn.where(f"NOT {_OPEN}").select("low", weight)).union(found.select("value", weight))
     return rows.groupBy("value").agg(F.sum("n").alias("n"))
 
 
@@ -137,7 +222,7 @@ def diameter(g: Graph, source: int, keep: Column | None = None, listen=None, bud
     searches = 0
     while layer > 0 and low < 2 * layer:
         some, n = settle_counting(reached.where(F.col("dist") == layer).select("id"))
-        for lot in _lots(some, n, total, budget):
+        for lot in _lots(some, n * total, budget):
             if low >= 2 * layer:
                 break
             lot, m = settle_counting(lot)
