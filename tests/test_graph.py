@@ -265,6 +265,15 @@ def test_hybrid_distribution_of_many_components(spark, crowd):
     assert max(half) == max(ecc.values()) and half[max(half)] == dict(whole)[max(half)] and set(half) <= set(ecc.values())
 
 
+def test_bounds_of_many_components(spark, crowd):
+    """Rounds don't follow the number of components (which took the batch of them in turn)."""
+    _, ecc, g = crowd
+    told = []
+    got, n = jobs(spark, "bounds", lambda: rows(extent.bounded_eccentricity(g, 2, listen=lambda turn, did: told.append(did))))
+    assert dict(got) == ecc and n < 100
+    assert sum(x["pruned"] for x in told) > 0 and sum(x["assigned"] + x["pruned"] for x in told) == len(ecc)
+
+
 def test_heavy_and_light_components(spark):
     """The same, whether components are searched within a task or by supersteps."""
     pairs = [p for a, b in ((1, 2), (2, 3), (3, 4), (3, 1), (70, 71)) for p in ((a, b), (b, a))]
