@@ -274,6 +274,13 @@ def test_bounds_of_many_components(spark, crowd):
     assert sum(x["pruned"] for x in told) > 0 and sum(x["assigned"] + x["pruned"] for x in told) == len(ecc)
 
 
+def test_searches_of_many_components(spark, crowd):
+    """Lots follow what searches hold, their components, not the whole graph."""
+    _, ecc, g = crowd
+    got, n = jobs(spark, "searches", lambda: rows(extent.eccentricity(g, budget=5000)))
+    assert dict(got) == ecc and n < 100
+
+
 def test_heavy_and_light_components(spark):
     """The same, whether components are searched within a task or by supersteps."""
     pairs = [p for a, b in ((1, 2), (2, 3), (3, 4), (3, 1), (70, 71)) for p in ((a, b), (b, a))]
