@@ -281,6 +281,26 @@ def test_searches_of_many_components(spark, crowd):
     assert dict(got) == ecc and n < 100
 
 
+def test_components_by_contraction(spark):
+    """Pairs that one task may not hold are contracted; neither depth nor the order of ids matters."""
+    r = random.Random(9)
+    pairs = {(i, i + 1) for i in range(200)} | {(i + 1, i) for i in range(300, 400)} | {(r.randrange(500, 700), r.randrange(500, 700)) for _ in range(120)} | {(900, i) for i in range(800, 860)}
+    pairs = sorted((a, b) for a, b in pairs if a != b)
+    both = [p for a, b in pairs for p in ((a, b), (b, a))]
+    least = {v: min(brute_distances(both, v)) for v in {a for a, _ in both}}
+    some = loop.settle(spark.createDataFrame(pairs, "src long, dst long"))
+    for whole in (None, 40, 0):
+        labels, n = components.linked(some, len(pairs), whole)
+        assert dict(rows(labels)) == least and n == len(least)
+
+
+def test_bounds_take_no_supersteps(spark, crowd):
+    """Not for the components either, which took jobs by their depth."""
+    _, ecc, g = crowd
+    got, n = jobs(spark, "few_bounds", lambda: rows(extent.bounded_eccentricity(g, 2)))
+    assert dict(got) == ecc and n < 20
+
+
 def test_heavy_and_light_components(spark):
     """The same, whether components are searched within a task or by supersteps."""
     pairs = [p for a, b in ((1, 2), (2, 3), (3, 4), (3, 1), (70, 71)) for p in ((a, b), (b, a))]

@@ -7,6 +7,10 @@ from pyspark.sql import functions as F
 
 from ..graph import Graph
 from ..plans.loop import ROWS, beside, kept, settle, settle_counting, until_still
+from .inside import components as components_inside
+
+#: Pairs whose components one task finds.
+WHOLE = 2_000_000
 
 
 def least_ancestors(g: Graph) -> DataFrame:
@@ -49,6 +53,31 @@ def connected(g: Graph) -> DataFrame:
     return out.select("id", "label")
 
 
+def linked(pairs: DataFrame, m: int, whole: int | None = None) -> tuple[DataFrame, int]:
+    """id and label, the least vertex of its component, of all ends of m settled pairs (src, dst), and how many these are.
+
+    More than `whole` pairs (WHOLE) are contracted: each vertex goes to the one of its neighbourhood with the least digest, which is another one each round, and on to where that one goes.
+    So rounds don't follow depths or the order of ids, and what lies within a vertex is gone in the next. One task finds the components of what is left.
+    """
+    least, went = WHOLE if whole is None else whole, []
+    while m > least:
+        rank = lambda c, turn=len(went): F.struct(F.xxhash64(c, F.lit(turn)).alias("h"), F.col(c).alias("id"))
+        near = pairs.select(F.col("src").alias("id"), "dst").union(pairs.select("dst", "src")).groupBy("id").agg(F.min(rank("dst")).alias("low"))
+        to, n = settle_counting(near.select("id", F.least(rank("id"), "low")["id"].alias("label")))
+        to = settle(to.join(beside(to.select(F.col("id").alias("label"), F.col("label").alias("next")), n), "label").select("id", F.col("next").alias("label")))
+        end = lambda c: beside(to.select(F.col("id").alias(c), F.col("label").alias(f"{c}_to")), n)  # noqa: E731, B023
+        a, b = F.col("src_to"), F.col("dst_to")
+        pairs, m = settle_counting(pairs.join(end("src"), "src").join(end("dst"), "dst").where(a != b).select(F.least(a, b).alias("src"), F.greatest(a, b).alias("dst")).distinct())
+        went.append((to, n))
+    labels, n = settle_counting(pairs.repartition(1).mapInArrow(components_inside, "id long, label long"))
+    for to, more in reversed(went):
+        to = to.join(beside(labels.select(F.col("id").alias("label"), F.col("label").alias("last")), n), "label", "left")
+        labels, n = settle(to.select("id", F.coalesce("last", "label").alias("label"))), more
+    if went:
+        labels = settle(labels.join(beside(labels.groupBy("label").agg(F.min("id").alias("low")), n), "label").select("id", F.col("low").alias("label")))
+    return labels, n
+
+
 def sizes(labels: DataFrame) -> DataFrame:
     return labels.groupBy("label").agg(F.count("*").alias("size"))
 

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..functions.ids import draw
 from ..graph import Graph
 from ..plans.loop import beside, settle, settle_counting
-from .components import connected
+from .components import linked
 from .inside import OPEN, REFINED, farthest as farthest_inside, refiner
 from .metrics import max_degree
 from .traverse import bfs, bfs_from, farthest, pick_vertices, shortest_path
@@ -45,9 +45,10 @@ class _Parts:
 def _parts(g: Graph, keep: Column | None, local: int | None) -> _Parts:
     inner = g if keep is None else g.induced(keep)
     pairs, m = settle_counting(inner.edges.select("src", "dst").where("src <> dst").distinct())
-    ids, n = settle_counting(inner.vertices.select("id"))
-    labels = connected(Graph(ids, pairs))
-    edges = settle(pairs.join(beside(labels.select(F.col("id").alias("src"), "label"), n), "src").select("label", F.col("src").alias("id"), "dst"))
+    labels, n = linked(pairs, m)
+    ends = inner.vertices.select("id", F.lit(None).cast("long").alias("dst")).union(pairs)
+    rows, n = settle_counting(ends.join(beside(labels, n), "id", "left").select(F.coalesce("label", "id").alias("label"), "id", "dst"), "dst IS NULL")
+    labels, edges = rows.where("dst IS NULL").select("id", "label"), rows.where("dst IS NOT NULL")
     weight = edges.groupBy("label").agg(F.count("*").alias("n"))
     large, k = settle_counting(weight.where(F.col("n") > (LOCAL if local is None else local)).select("label"))
     bucket = F.pmod(F.xxhash64("label"), F.lit(-(-(n + m) // CROWD) or 1)).alias("bucket")

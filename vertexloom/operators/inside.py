@@ -15,6 +15,22 @@ OPEN = 1 << 62
 REFINED = "bucket long, label long, id long, low long, up long, turn long, lower long, upper long, assigned long, pruned long"
 
 
+def components(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """id and label, the least of its component, of all ends of pairs (src, dst)."""
+    import numpy as np
+
+    pairs = pa.Table.from_batches(batches, pa.schema([("src", pa.int64()), ("dst", pa.int64())]))
+    ids, at = np.unique(np.concatenate([pairs[c].to_numpy() for c in ("src", "dst")]), return_inverse=True)
+    label, (a, b) = np.arange(len(ids)), at.reshape(2, -1)
+    while len(a):
+        np.minimum.at(label, np.maximum(a, b), np.minimum(a, b))  # a root goes to the least that it meets
+        while not np.array_equal(label, further := label[label]):
+            label = further
+        a, b = label[a], label[b]
+        a, b = a[a != b], b[a != b]
+    yield from pa.table({"id": ids, "label": ids[label]}).to_batches(max_chunksize=100_000)
+
+
 class _Block:
     """Vertices by component and id, edges by their source. A row of the table is an edge from id to dst or, where dst is null, a vertex."""
 
