@@ -301,6 +301,13 @@ def test_bounds_take_no_supersteps(spark, crowd):
     assert dict(got) == ecc and n < 20
 
 
+def test_hybrid_distribution_takes_few_jobs(spark, crowd):
+    """Where bounds stand is told by what refined them; components take no supersteps."""
+    _, ecc, g = crowd
+    got, n = jobs(spark, "few_hybrid", lambda: rows(extent.hybrid_distribution(g, 1.0, batch=2)))
+    assert got == counted(ecc) and n < 24
+
+
 def test_heavy_and_light_components(spark):
     """The same, whether components are searched within a task or by supersteps."""
     pairs = [p for a, b in ((1, 2), (2, 3), (3, 4), (3, 1), (70, 71)) for p in ((a, b), (b, a))]

@@ -6,7 +6,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..functions.ids import draw
@@ -96,7 +96,7 @@ class _Bounds:
     def __init__(self, p: _Parts, batch: int, budget: int = BUDGET, listen=None):
         self.p, self.listen, self.turn, self.told = p, listen, 0, {}
         zero, none = F.lit(0).cast("long").alias("low"), F.lit(None).cast("long").alias("up")
-        self.light = p.vertices.select("bucket", "label", "id", zero, none)
+        self.light, self.light_ends = p.vertices.select("bucket", "label", "id", zero, none), {}
         self.heavy = None
         if p.heavy is not None:
             self.batch = max(1, min(batch, budget // p.total))
@@ -111,11 +111,17 @@ class _Bounds:
         all_ = self.light.select("id", "low", "up", F.lit(True).alias("light"))
         return all_ if self.heavy is None else all_.union(self.heavy.select("id", "low", "up", F.lit(False)))
 
+    def ends(self) -> list[dict]:
+        """What _ends says of the light components, as they were last refined, and of the heavy ones."""
+        return [self.light_ends, {} if self.heavy is None else self.heavy.agg(*_ends()).first().asDict()]
+
     def refine_light(self, least: int, greatest: int) -> None:
         """Until no open vertex of a light component has a lower bound of `least` or less, or an upper one of `greatest` or more."""
         none = F.lit(None).cast("long")
         rows = self.p.edges.select("bucket", "label", "id", "dst", none.alias("low"), none.alias("up")).union(self.light.select("bucket", "label", "id", none, "low", "up"))
-        out = settle(rows.groupBy("bucket").applyInArrow(refiner(least, greatest), REFINED))
+        seen = Observation()
+        out = settle(rows.groupBy("bucket").applyInArrow(refiner(least, greatest), REFINED).observe(seen, *_ends()))
+        self.light_ends = seen.get
         self.light = out.where("turn IS NULL").select("bucket", "label", "id", "low", "up")
         if self.listen:
             what = ("lower", "upper", "assigned", "pruned")
@@ -145,6 +151,13 @@ class _Bounds:
 _OPEN = "(up IS NULL OR low < up)"
 
 
+def _ends() -> list[Column]:
+    """Over vertices (low is null in other rows): the least lower, greatest upper and greatest lower bound, and the first two of the open ones."""
+    up, open_ = F.coalesce("up", F.lit(OPEN)), F.expr(_OPEN) & F.col("low").isNotNull()
+    ends = {"low": F.min("low"), "up": F.max(F.when(F.col("low").isNotNull(), up)), "high": F.max("low"), "open_low": F.min(F.when(open_, F.col("low"))), "open_up": F.max(F.when(open_, up))}
+    return [x.alias(k) for k, x in ends.items()]
+
+
 def bounded_eccentricity(g: Graph, batch: int = 64, keep: Column | None = None, listen=None, local: int | None = None) -> DataFrame:
     """id and ecc of an undirected graph (of the part whose vertices fulfil keep, over id) by bounds, until they meet everywhere.
 
@@ -167,23 +180,24 @@ def hybrid_distribution(g: Graph, share: float, seed: int = 0, batch: int = 64,
     not yet assigned, and counted 1 / share times each (rounded). With a share of 1 everything is exact. The number searched goes to listen.
     """
     p = _parts(g, keep, local)
-    bounds, up = _Bounds(p, batch, budget), F.coalesce("up", F.lit(OPEN))
+    bounds = _Bounds(p, batch, budget)
     bounds.refine_light(-1, OPEN)  # a first search of each component
     while True:
-        ends = bounds.state().agg(F.min("low").alias("a"), F.max(up).alias("b"), F.max("low").alias("c")).first()
-        at = bounds.state().where(_OPEN).where((F.col("low") == ends.a) | (up == ends.b)).agg(F.count_if(F.col("light")).alias("light"), F.count("*").alias("n")).first()
-        if at.light:
-            bounds.refine_light(ends.a, ends.c)  # the greatest of all is no less than the greatest lower bound
-        elif at.n:
+        parts = bounds.ends()
+        of = lambda f, k: f((x[k] for x in parts if x.get(k) is not None), default=None)  # noqa: E731, B023
+        low, up = of(min, "low"), of(max, "up")
+        light, heavy = (x.get("open_low") is not None and (x["open_low"] == low or x["open_up"] == up) for x in parts)
+        if light:
+            bounds.refine_light(low, of(max, "high"))  # the greatest of all is no less than the greatest lower bound
+        elif heavy:
             bounds.refine_heavy()
         else:
             break
-    state = bounds.state()
-    ends = state.where(_OPEN).agg((F.min("low") - 1).alias("a"), (F.max("up") + 1).alias("b")).first()
-    inside = F.lit(False) if ends.a is None else F.expr(_OPEN) | ((F.col("low") > ends.a) & (F.col("low") < ends.b))
+    state, low, up = bounds.state(), of(min, "open_low"), of(max, "open_up")
+    inside = F.lit(False) if low is None else F.expr(_OPEN) | F.col("low").between(low, up)
     exact = state.where(~inside).select(F.col("low").alias("value"), F.lit(1).cast("long").alias("n"))
-    drawn = settle(state.where(inside).where(draw(seed, 1 << 30, "id") < round(share * (1 << 30))))
-    searched, n = settle_counting(drawn.where(_OPEN).select("id"))
+    drawn, n = settle_counting(state.where(inside).where(draw(seed, 1 << 30, "id") < round(share * (1 << 30))), _OPEN)
+    searched = drawn.where(_OPEN).select("id")
     found = _eccentricity(p, budget, searched).select(F.col("ecc").alias("value")) if n else searched.select(F.col("id").alias("value"))
     if listen:
         listen(n)
