@@ -308,6 +308,12 @@ def test_hybrid_distribution_takes_few_jobs(spark, crowd):
     assert got == counted(ecc) and n < 24
 
 
+def test_distribution_of_bounds_takes_no_supersteps(spark, crowd):
+    _, ecc, g = crowd
+    got, n = jobs(spark, "few_counted", lambda: rows(metrics.distribution(extent.bounded_eccentricity(g, 2), "ecc")))
+    assert got == counted(ecc) and n < 20
+
+
 def test_heavy_and_light_components(spark):
     """The same, whether components are searched within a task or by supersteps."""
     pairs = [p for a, b in ((1, 2), (2, 3), (3, 4), (3, 1), (70, 71)) for p in ((a, b), (b, a))]
