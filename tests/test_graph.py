@@ -314,6 +314,15 @@ def test_distribution_of_bounds_takes_no_supersteps(spark, crowd):
     assert got == counted(ecc) and n < 20
 
 
+def test_searches_take_no_supersteps(spark, crowd):
+    """Not for the components either, also where only some are searched from."""
+    _, ecc, g = crowd
+    got, n = jobs(spark, "few_searches", lambda: rows(extent.eccentricity(g)))
+    assert dict(got) == ecc and n < 20
+    some = sorted(ecc)[::7]
+    assert dict(rows(extent.eccentricity(g, sources=spark.createDataFrame([(v,) for v in some], "id long")))) == {v: ecc[v] for v in some}
+
+
 def test_heavy_and_light_components(spark):
     """The same, whether components are searched within a task or by supersteps."""
     pairs = [p for a, b in ((1, 2), (2, 3), (3, 4), (3, 1), (70, 71)) for p in ((a, b), (b, a))]
