@@ -314,6 +314,35 @@ def test_distribution_of_bounds_takes_no_supersteps(spark, crowd):
     assert got == counted(ecc) and n < 20
 
 
+def test_pairs_in_parts(spark):
+    """Half of a symmetric graph's edges, all of another's: the same parts, whether one task finds the components or they are contracted first. Ends of loops are alone only without a pair."""
+    r = random.Random(5)
+    one_way = sorted({(a, b) for a, b in ((r.randrange(40), r.randrange(40)) for _ in range(30)) if a != b} | {(1, 1), (77, 77)})
+    both = sorted({p for a, b in one_way for p in ((a, b), (b, a))})
+    g = Graph.from_edges(spark.createDataFrame(one_way, "src long, dst long"))
+    u = Graph.from_edges(spark.createDataFrame(one_way, "src long, dst long"), undirected=True)
+    some = u.without_edges(spark.createDataFrame([both[0]], "src long, dst long"))
+    for graph, edges in ((g, one_way), (u, both), (g.undirected(), both), (some, both[1:]), (u.with_vertices(spark.range(90, 92)), both + [(90, 90), (91, 91)])):
+        p, pairs = extent._parts(graph, None, None), {(a, b) for a, b in edges if a != b}
+        assert sorted((x, y) for x, y, ways in rows(p.pairs().select("id", "dst", "ways")) for x, y in [(x, y)] * (ways & 1) + [(y, x)] * (ways >> 1)) == sorted(pairs)
+        least = {v: min(brute_distances([q for a, b in pairs for q in ((a, b), (b, a))], v)) for v in {v for e in edges for v in e}}
+        assert {v: label for label, v in rows(p.vertices().select("label", "id"))} == least
+    pairs = loop.settle(u.edges.where("src < dst").selectExpr("src", "dst", "3 AS ways"))
+    for local in (0, 4, 100):
+        (a, _, k), (b, _, j) = (components.labelled(pairs, 100, local, whole) for whole in (100, 0))
+        assert rows(a) == rows(b) and k == j
+
+
+def test_distribution_of_bounds_keeps_only_results(spark, tmp_path):
+    """A star of three is two rows, not one for each vertex and direction, and bounds that nobody listens to aren't written."""
+    pairs = spark.createDataFrame([(3 * i, 3 * i + k) for i in range(50) for k in (1, 2)], "src long, dst long")
+    g = Graph.from_edges(pairs, undirected=True)
+    p = extent._parts(g, None, None)
+    assert p.rows.count() == 100
+    got, n = jobs(spark, "only_results", lambda: rows(metrics.distribution(extent.bounded_eccentricity(g, 2), "ecc")))
+    assert got == [(1, 50), (2, 100)] and n < 12
+
+
 def test_searches_take_no_supersteps(spark, crowd):
     """Not for the components either, also where only some are searched from."""
     _, ecc, g = crowd

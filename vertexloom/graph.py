@@ -14,11 +14,16 @@ def swapped(e: DataFrame) -> DataFrame:
 
 @dataclass(frozen=True)
 class Graph:
-    """Edges are directed. In a simple graph (src, dst) is unique; self-loops stay. Derivations give new graphs."""
+    """Edges are directed. In a simple graph (src, dst) is unique; self-loops stay. Derivations give new graphs.
+
+    What is known of a graph spares work: symmetric, that each edge has its reverse; spanned, that all vertices are ends of edges. False says nothing.
+    """
 
     vertices: DataFrame
     edges: DataFrame
     multigraph: bool = False
+    symmetric: bool = False
+    spanned: bool = False
 
     @classmethod
     def from_edges(cls, edges: DataFrame, vertices: DataFrame | None = None, undirected: bool = False, multigraph: bool = False) -> Graph:
@@ -30,7 +35,7 @@ class Graph:
         if not multigraph:
             e = e.dropDuplicates(["src", "dst"])
         v = ends.distinct() if vertices is None else ends.unionByName(vertices.select(F.col("id").cast("long"))).distinct()
-        return cls(v, e, multigraph)
+        return cls(v, e, multigraph, undirected, vertices is None)
 
     def reverse(self) -> Graph:
         return replace(self, edges=swapped(self.edges))
@@ -38,7 +43,7 @@ class Graph:
     def undirected(self) -> Graph:
         e = self.edges.select("src", "dst")
         both = e.union(e.select("dst", "src"))
-        return replace(self, edges=both if self.multigraph else both.distinct())
+        return replace(self, edges=both if self.multigraph else both.distinct(), symmetric=True)
 
     def adjacency(self) -> DataFrame:
         """id and its sorted neighbours; vertices without any have an empty array."""
@@ -53,14 +58,14 @@ class Graph:
         return self.edges.where(F.col("src") == vertex).select(F.col("dst").alias("id"))
 
     def with_vertices(self, more: DataFrame) -> Graph:
-        return replace(self, vertices=self.vertices.unionByName(more.select("id")).distinct())
+        return replace(self, vertices=self.vertices.unionByName(more.select("id")).distinct(), spanned=False)
 
     def with_edges(self, more: DataFrame) -> Graph:
         return Graph.from_edges(self.edges.select("src", "dst").unionByName(more.select("src", "dst")), self.vertices, multigraph=self.multigraph)
 
     def without_edges(self, gone: DataFrame) -> Graph:
         """All occurrences of the given pairs go; vertices stay."""
-        return replace(self, edges=self.edges.join(gone.select("src", "dst").distinct(), ["src", "dst"], "left_anti"))
+        return replace(self, edges=self.edges.join(gone.select("src", "dst").distinct(), ["src", "dst"], "left_anti"), symmetric=False, spanned=False)
 
     def with_neighbours(self, new: DataFrame, of: DataFrame) -> Graph:
         """The out-edges of the vertices in `of` are replaced by those in new."""
@@ -72,7 +77,7 @@ class Graph:
         v = self.vertices.where(keep)
         ids = v.select("id")
         e = self.edges.join(ids, self.edges["src"] == ids["id"], "left_semi")
-        return replace(self, vertices=v, edges=e.join(ids, e["dst"] == ids["id"], "left_semi"))
+        return replace(self, vertices=v, edges=e.join(ids, e["dst"] == ids["id"], "left_semi"), spanned=False)
 
     def contract(self, label: DataFrame) -> Graph:
         """Ends replaced by their label (id, label; itself where there is none), without self-loops and repeats."""

@@ -7,10 +7,10 @@ from pyspark.sql import functions as F
 
 from ..graph import Graph
 from ..plans.loop import ROWS, beside, kept, settle, settle_counting, until_still
-from .inside import components as components_inside
+from .inside import LABELLED, components as components_inside, labelled as labelled_inside
 
-#: Pairs whose components one task finds.
-WHOLE = 2_000_000
+#: Pairs whose components one task finds: some hundred MB of arrays.
+WHOLE = 4_000_000
 
 
 def least_ancestors(g: Graph) -> DataFrame:
@@ -61,9 +61,9 @@ def linked(pairs: DataFrame, m: int, whole: int | None = None) -> tuple[DataFram
     """
     least, went = WHOLE if whole is None else whole, []
     while m > least:
-        rank = lambda c, turn=len(went): F.struct(F.xxhash64(c, F.lit(turn)).alias("h"), F.col(c).alias("id"))
-        near = pairs.select(F.col("src").alias("id"), "dst").union(pairs.select("dst", "src")).groupBy("id").agg(F.min(rank("dst")).alias("low"))
-        to, n = settle_counting(near.select("id", F.least(rank("id"), "low")["id"].alias("label")))
+        rank = lambda c, turn=len(went): F.xxhash64(c, F.lit(turn))
+        near = pairs.select(F.col("src").alias("id"), "dst").union(pairs.select("dst", "src")).groupBy("id").agg(F.min_by("dst", rank("dst")).alias("low"))
+        to, n = settle_counting(near.select("id", F.when(rank("low") < rank("id"), F.col("low")).otherwise(F.col("id")).alias("label")))  # of equal digests none goes to the other
         to = settle(to.join(beside(to.select(F.col("id").alias("label"), F.col("label").alias("next")), n), "label").select("id", F.col("next").alias("label")))
         end = lambda c: beside(to.select(F.col("id").alias(c), F.col("label").alias(f"{c}_to")), n)  # noqa: E731, B023
         a, b = F.col("src_to"), F.col("dst_to")
@@ -78,6 +78,22 @@ def linked(pairs: DataFrame, m: int, whole: int | None = None) -> tuple[DataFram
     return labels, n
 
 
+def labelled(pairs: DataFrame, m: int, local: int, whole: int | None = None) -> tuple[DataFrame, DataFrame | None, int]:
+    """label, src, dst and ways of m settled pairs (src, dst, ways: 1 along src to dst, 2 back, 3 both); the labels of components of more than `local` edges, and how many these are.
+
+    Where one task finds the components it labels the pairs too, and nothing is joined.
+    """
+    if m <= (WHOLE if whole is None else whole):
+        rows, k = settle_counting(pairs.repartition(1).mapInArrow(labelled_inside, LABELLED).repartition("label"), f"weight > {local}")
+        large = rows.where(F.col("weight") > local).select("label").distinct() if k else None
+        rows = rows.drop("weight")
+    else:
+        labels, n = linked(pairs.select("src", "dst"), m, whole)
+        rows = settle(pairs.join(beside(labels.withColumnRenamed("id", "src"), n), "src").select("label", "src", "dst", "ways"))
+        large = rows.groupBy("label").agg(F.sum(F.bit_count("ways")).alias("weight")).where(F.col("weight") > local).select("label")
+    return (rows, None, 0) if large is None else (rows, *settle_counting(large))
+
+
 def sizes(labels: DataFrame) -> DataFrame:
     return labels.groupBy("label").agg(F.count("*").alias("size"))
 

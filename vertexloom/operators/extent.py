@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 from ..functions.ids import draw
 from ..graph import Graph
 from ..plans.loop import beside, settle, settle_counting
-from .components import linked
-from .inside import OPEN, REFINED, farthest as farthest_inside, refiner
+from .components import labelled
+from .inside import OPEN, REFINED, assigned, farthest as farthest_inside, refiner
 from .metrics import max_degree
 from .traverse import bfs, bfs_from, farthest, pick_vertices, shortest_path
 
@@ -32,42 +32,55 @@ def _lots(some: DataFrame, rows: int, budget: int) -> Iterator[DataFrame]:
 
 @dataclass(frozen=True)
 class _Parts:
-    """A graph by the weight of its components: vertices (bucket, label, id) and edges (bucket, label, id, dst) of the light ones, whole components by the bucket, and the others."""
+    """A graph by the weight of its components. The light ones are rows (bucket, label, id, dst, ways), whole components by the bucket: pairs, and vertices that are alone (dst is null)."""
 
-    vertices: DataFrame
-    edges: DataFrame
+    rows: DataFrame
     heavy: Graph | None
     sizes: DataFrame | None  # label and size of the heavy components
-    labels: DataFrame
-    total: int  # vertices of the heavy components
+    labels: DataFrame | None  # id and label of their vertices
+    total: int  # and how many these are
+
+    def pairs(self) -> DataFrame:
+        return self.rows.where("dst IS NOT NULL")
+
+    def vertices(self) -> DataFrame:
+        """bucket, label and id of the light ones."""
+        return self.rows.select("bucket", "label", "id").union(self.pairs().select("bucket", "label", "dst")).distinct()
 
 
 def _parts(g: Graph, keep: Column | None, local: int | None) -> _Parts:
     inner = g if keep is None else g.induced(keep)
-    pairs, m = settle_counting(inner.edges.select("src", "dst").where("src <> dst").distinct())
-    labels, n = linked(pairs, m)
-    ends = inner.vertices.select("id", F.lit(None).cast("long").alias("dst")).union(pairs)
-    rows, n = settle_counting(ends.join(beside(labels, n), "id", "left").select(F.coalesce("label", "id").alias("label"), "id", "dst"), "dst IS NULL")
-    labels, edges = rows.where("dst IS NULL").select("id", "label"), rows.where("dst IS NOT NULL")
-    weight = edges.groupBy("label").agg(F.count("*").alias("n"))
-    large, k = settle_counting(weight.where(F.col("n") > (LOCAL if local is None else local)).select("label"))
-    bucket = F.pmod(F.xxhash64("label"), F.lit(-(-(n + m) // CROWD) or 1)).alias("bucket")
-    light = lambda df: (df.join(beside(large, k), "label", "left_anti") if k else df).select(bucket, *df.columns)
+    ends = inner.edges.select("src", "dst")
+    if inner.symmetric:  # half of the edges say it all
+        pairs = ends.where("src < dst").distinct().withColumn("ways", F.lit(3))
+    else:
+        pairs = ends.where("src <> dst").select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b"), F.expr("IF(src < dst, 1, 2)").alias("ways"))
+        pairs = pairs.groupBy(F.col("a").alias("src"), F.col("b").alias("dst")).agg(F.bit_or("ways").alias("ways"))
+    pairs, m = settle_counting(pairs)
+    pairs, large, k = labelled(pairs, m, LOCAL if local is None else local)
+    alone, n = settle_counting((ends.where("src = dst").select(F.col("src").alias("id")) if inner.spanned else inner.vertices.select("id")).distinct())
+    if n:
+        alone, n = settle_counting(alone.join(pairs.select(F.col("src").alias("id")).union(pairs.select("dst")).hint("merge"), "id", "left_anti"))
+    none = lambda kind: F.lit(None).cast(kind)
+    light = (pairs.join(beside(large, k), "label", "left_anti") if k else pairs).withColumnRenamed("src", "id")
+    bucket = F.pmod(F.xxhash64("label"), F.lit(-(-(3 * m + n) // CROWD) or 1)).alias("bucket")  # a pair is two edges and, in a sparse graph, about a vertex
+    rows = (light.union(alone.select("id", "id", none("long"), none("int"))) if n else light).select(bucket, "label", "id", "dst", "ways")
     if not k:
-        return _Parts(light(labels.select("label", "id")), light(edges), None, None, labels, 0)
-    those, total = settle_counting(labels.join(beside(large, k), "label").select("label", "id"))
-    heavy = Graph(those.select("id"), settle(edges.join(beside(large, k), "label").select(F.col("id").alias("src"), "dst")))
-    return _Parts(light(labels.select("label", "id")), light(edges), heavy, settle(those.groupBy("label").agg(F.count("*").alias("size"))), labels, total)
+        return _Parts(rows, None, None, None, 0)
+    those = settle(pairs.join(beside(large, k), "label"))
+    along, back = those.where("ways <> 2").select("src", "dst"), those.where("ways <> 1").select("dst", "src")
+    labels, total = settle_counting(those.select("label", F.col("src").alias("id")).union(those.select("label", "dst")).distinct())
+    return _Parts(rows, Graph(labels.select("id"), settle(along.union(back))), settle(labels.groupBy("label").agg(F.count("*").alias("size"))), labels, total)
 
 
 def _eccentricity(p: _Parts, budget: int, sources: DataFrame | None = None) -> DataFrame:
-    v = p.vertices.select("bucket", "label", "id", F.lit(None).cast("long").alias("dst"))
+    v = p.vertices().select("bucket", "label", "id", F.lit(None).cast("long").alias("dst"), F.lit(None).cast("int").alias("ways"))
     if sources is None:
         v = v.withColumn("pick", F.lit(True))
     else:
         sources, n = settle_counting(sources.select("id").distinct())
         v = v.join(beside(sources.withColumn("pick", F.lit(True)), n), "id", "left").select(*v.columns, "pick")
-    out = settle(p.edges.withColumn("pick", F.lit(None).cast("boolean")).union(v).groupBy("bucket").applyInArrow(farthest_inside, "id long, ecc long"))
+    out = settle(p.pairs().withColumn("pick", F.lit(None).cast("boolean")).union(v).groupBy("bucket").applyInArrow(farthest_inside, "id long, ecc long"))
     if p.heavy is None:
         return out
     some = p.heavy.vertices if sources is None else p.heavy.vertices.join(beside(sources, n), "id", "left_semi")
@@ -96,7 +109,7 @@ class _Bounds:
     def __init__(self, p: _Parts, batch: int, budget: int = BUDGET, listen=None):
         self.p, self.listen, self.turn, self.told = p, listen, 0, {}
         zero, none = F.lit(0).cast("long").alias("low"), F.lit(None).cast("long").alias("up")
-        self.light, self.light_ends = p.vertices.select("bucket", "label", "id", zero, none), {}
+        self.light, self.light_ends = None, {}
         self.heavy = None
         if p.heavy is not None:
             self.batch = max(1, min(batch, budget // p.total))
@@ -107,7 +120,7 @@ class _Bounds:
             self.hangs = settle(pairs.join(leaf, pairs["src"] == leaf["leaf"]).select("leaf", F.col("dst").alias("id")).join(self.heavy.where("degree > 1").select("id"), "id"))
 
     def state(self) -> DataFrame:
-        """id, low, up (null: not known yet) and light."""
+        """id, low, up (null: not known yet) and light, of all vertices, once light ones were refined."""
         all_ = self.light.select("id", "low", "up", F.lit(True).alias("light"))
         return all_ if self.heavy is None else all_.union(self.heavy.select("id", "low", "up", F.lit(False)))
 
@@ -118,7 +131,9 @@ class _Bounds:
     def refine_light(self, least: int, greatest: int) -> None:
         """Until no open vertex of a light component has a lower bound of `least` or less, or an upper one of `greatest` or more."""
         none = F.lit(None).cast("long")
-        rows = self.p.edges.select("bucket", "label", "id", "dst", none.alias("low"), none.alias("up")).union(self.light.select("bucket", "label", "id", none, "low", "up"))
+        rows = (self.p.rows if self.light is None else self.p.pairs()).withColumns({"low": none, "up": none})
+        if self.light is not None:
+            rows = rows.union(self.light.select("bucket", "label", "id", none, none.cast("int"), "low", "up"))
         seen = Observation()
         out = settle(rows.groupBy("bucket").applyInArrow(refiner(least, greatest), REFINED).observe(seen, *_ends()))
         self.light_ends = seen.get
@@ -163,13 +178,18 @@ def bounded_eccentricity(g: Graph, batch: int = 64, keep: Column | None = None,
 
     listen gets the round and a dict of what it did: bounds refined (lower, upper), vertices assigned by their bounds, and vertices pruned, that is assigned from their only neighbour.
     """
-    bounds = _Bounds(_parts(g, keep, local), batch, listen=listen)
-    bounds.refine_light(-1, 0)
+    p = _parts(g, keep, local)
+    bounds = _Bounds(p, batch, listen=listen)
+    if listen:
+        bounds.refine_light(-1, 0)
     while bounds.heavy is not None and bounds.heavy.where(_OPEN).limit(1).count():
         bounds.refine_heavy()
     for turn in sorted(bounds.told):
         listen(turn, bounds.told[turn])
-    return bounds.state().select("id", F.col("low").alias("ecc"))
+    if listen:
+        return bounds.state().select("id", F.col("low").alias("ecc"))
+    light = p.rows.groupBy("bucket").applyInArrow(assigned, "id long, ecc long")  # nobody asks what searches did: only their result goes on
+    return light if p.heavy is None else light.union(bounds.heavy.select("id", "low"))
 
 
 def hybrid_distribution(g: Graph, share: float, seed: int = 0, batch: int = 64, keep: Column | None = None, budget: int = BUDGET, listen=None, local: int | None = None) -> DataFrame:

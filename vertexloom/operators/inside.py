@@ -13,26 +13,53 @@ MOST = 2_000_000
 OPEN = 1 << 62
 #: A row is a vertex (turn is null) or what a turn did.
 REFINED = "bucket long, label long, id long, low long, up long, turn long, lower long, upper long, assigned long, pruned long"
+#: weight: edges of the component.
+LABELLED = "label long, weight long, src long, dst long, ways int"
 
 
-def components(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """id and label, the least of its component, of all ends of pairs (src, dst)."""
+def _read(batches: Iterator[pa.RecordBatch], **kinds: pa.DataType) -> pa.Table:
+    """The columns of all batches, of which there may be none, nullable or not."""
+    batches = list(batches)
+    return pa.table({name: pa.chunked_array([x.column(name) for x in batches], kind) for name, kind in kinds.items()})
+
+
+def _least(src, dst):
+    """The ends of pairs, the place among them of the least of each one's component, and the place of each src."""
     import numpy as np
 
-    pairs = pa.Table.from_batches(batches, pa.schema([("src", pa.int64()), ("dst", pa.int64())]))
-    ids, at = np.unique(np.concatenate([pairs[c].to_numpy() for c in ("src", "dst")]), return_inverse=True)
+    ids, at = np.unique(np.concatenate((src, dst)), return_inverse=True)
     label, (a, b) = np.arange(len(ids)), at.reshape(2, -1)
+    first = a
     while len(a):
         np.minimum.at(label, np.maximum(a, b), np.minimum(a, b))  # a root goes to the least that it meets
         while not np.array_equal(label, further := label[label]):
             label = further
         a, b = label[a], label[b]
         a, b = a[a != b], b[a != b]
+    return ids, label, first
+
+
+def components(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """id and label, the least of its component, of all ends of pairs (src, dst)."""
+    pairs = _read(batches, src=pa.int64(), dst=pa.int64())
+    ids, label, _ = _least(*(pairs[c].to_numpy() for c in ("src", "dst")))
     yield from pa.table({"id": ids, "label": ids[label]}).to_batches(max_chunksize=100_000)
 
 
+def labelled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The pairs (src, dst, ways) with the label and weight of their components."""
+    import numpy as np
+
+    pairs = _read(batches, src=pa.int64(), dst=pa.int64(), ways=pa.int32())
+    ids, label, first = _least(*(pairs[c].to_numpy() for c in ("src", "dst")))
+    of, weight = label[first], np.zeros(len(ids), np.int64)
+    np.add.at(weight, of, np.bitwise_count(pairs["ways"].to_numpy()).astype(np.int64))
+    yield from pairs.add_column(0, "label", pa.array(ids[of])).add_column(1, "weight", pa.array(weight[of])).to_batches(max_chunksize=100_000)
+
+
 class _Block:
-    """Vertices by component and id, edges by their source. A row of the table is an edge from id to dst or, where dst is null, a vertex."""
+    """Vertices by component and id, edges by their source. A row of the table is a pair of id and dst, with edges along its ways, or, where dst is null, a vertex of which more is given;
+    the ends of pairs need no row of their own."""
 
     def __init__(self, table: pa.Table):
         import numpy as np  # only workers need it
@@ -40,11 +67,15 @@ class _Block:
         self.np = np
         vertex = table["dst"].is_null()
         v, e = table.filter(vertex), table.filter(table["dst"].is_valid())
-        label, ids = (v[c].to_numpy() for c in ("label", "id"))
-        self.order = order = np.lexsort((ids, label))
-        self.table, self.label, self.ids, n = v, label[order], ids[order], len(ids)
-        by_id = np.argsort(self.ids)
-        src, dst = (by_id[np.searchsorted(self.ids[by_id], e[c].to_numpy())] for c in ("id", "dst"))
+        ids, first, at = np.unique(np.concatenate([x.to_numpy() for x in (e["id"], e["dst"], v["id"])]), return_index=True, return_inverse=True)
+        label = np.concatenate([x.to_numpy() for x in (e["label"], e["label"], v["label"])])[first]
+        order, n = np.lexsort((ids, label)), len(ids)
+        place = np.empty(n, np.int64)
+        place[order] = np.arange(n)
+        a, b, self.given = np.split(place[at], (len(e), 2 * len(e)))
+        self.table, self.label, self.ids = v, label[order], ids[order]
+        along, back = (e["ways"].to_numpy() & way > 0 for way in (1, 2))
+        src, dst = np.concatenate((a[along], b[back])), np.concatenate((b[along], a[back]))
         self.degree = np.bincount(src, minlength=n)
         self.at, self.dst = np.cumsum(self.degree) - self.degree, dst[np.argsort(src, kind="stable")]
         new = np.diff(self.label, prepend=self.label[:1] - 1) != 0
@@ -53,7 +84,11 @@ class _Block:
         self.weight = self.size + np.bincount(self.component, self.degree, len(self.size)).astype(np.int64)
 
     def column(self, name: str, null: int):
-        return self.table[name].fill_null(null).to_numpy()[self.order].copy()
+        """What is given of the vertices, or else null."""
+        out = self.np.full(len(self.ids), null)
+        if name in self.table.column_names:
+            out[self.given] = self.table[name].fill_null(null).to_numpy()
+        return out
 
     def search(self, sources):
         """The distances from each source to all vertices of its component, one source after the other (-1: not reached), and where each source's begin."""
@@ -98,6 +133,12 @@ def farthest(table: pa.Table) -> pa.Table:
     return pa.table({"id": pa.array(both[0], pa.int64()), "ecc": pa.array(both[1], pa.int64())})
 
 
+def assigned(table: pa.Table) -> pa.Table:
+    """id and ecc of all vertices, by bounds that meet everywhere."""
+    rows = refiner(-1, 0)(table)
+    return rows.filter(rows["turn"].is_null()).select(["id", "low"]).rename_columns(["id", "ecc"])
+
+
 def refiner(least: int, greatest: int) -> Callable[[pa.Table], pa.Table]:
     """Bounds of each component refined, one search a turn, until no open vertex of it has a lower bound of `least` or less, or an upper one of `greatest` or more."""
 
