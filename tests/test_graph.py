@@ -352,6 +352,17 @@ def test_searches_take_no_supersteps(spark, crowd):
     assert dict(rows(extent.eccentricity(g, sources=spark.createDataFrame([(v,) for v in some], "id long")))) == {v: ecc[v] for v in some}
 
 
+def test_searches_keep_only_results(spark, crowd):
+    """What light components give isn't written before it is asked for, nor are rows of vertices made that pairs have; a source need not be in a pair."""
+    _, ecc, g = crowd
+    got, n = jobs(spark, "only_searches", lambda: rows(extent.eccentricity(g)))
+    assert dict(got) == ecc and n < 11
+    u = Graph.from_edges(spark.createDataFrame([(1, 2), (2, 3), (5, 5), (3, 3)], "src long, dst long"), undirected=True)
+    assert rows(extent.eccentricity(u)) == [(1, 2), (2, 1), (3, 2), (5, 0)]
+    assert rows(extent.eccentricity(u, sources=spark.createDataFrame([(5,), (3,), (8,)], "id long"))) == [(3, 2), (5, 0)]
+    assert rows(extent.eccentricity(u, sources=spark.createDataFrame([(2,)], "id long"))) == [(2, 1)]
+
+
 def test_heavy_and_light_components(spark):
     """The same, whether components are searched within a task or by supersteps."""
     pairs = [p for a, b in ((1, 2), (2, 3), (3, 4), (3, 1), (70, 71)) for p in ((a, b), (b, a))]

@@ -13,7 +13,7 @@ from ..functions.ids import draw
 from ..graph import Graph
 from ..plans.loop import beside, settle, settle_counting
 from .components import labelled
-from .inside import OPEN, REFINED, assigned, farthest as farthest_inside, refiner
+from .inside import OPEN, REFINED, assigned, farthest as farthest_inside, farthest_from_given, refiner
 from .metrics import max_degree
 from .traverse import bfs, bfs_from, farthest, pick_vertices, shortest_path
 
@@ -74,13 +74,13 @@ def _parts(g: Graph, keep: Column | None, local: int | None) -> _Parts:
 
 
 def _eccentricity(p: _Parts, budget: int, sources: DataFrame | None = None) -> DataFrame:
-    v = p.vertices().select("bucket", "label", "id", F.lit(None).cast("long").alias("dst"), F.lit(None).cast("int").alias("ways"))
     if sources is None:
-        v = v.withColumn("pick", F.lit(True))
+        rows, search = p.rows, farthest_inside
     else:
         sources, n = settle_counting(sources.select("id").distinct())
-        v = v.join(beside(sources.withColumn("pick", F.lit(True)), n), "id", "left").select(*v.columns, "pick")
-    out = settle(p.pairs().withColumn("pick", F.lit(None).cast("boolean")).union(v).groupBy("bucket").applyInArrow(farthest_inside, "id long, ecc long"))
+        some = p.vertices().join(beside(sources, n), "id", "left_semi")
+        rows, search = p.pairs().union(some.select("bucket", "label", "id", F.lit(None).cast("long"), F.lit(None).cast("int"))), farthest_from_given
+    out = rows.groupBy("bucket").applyInArrow(search, "id long, ecc long")
     if p.heavy is None:
         return out
     some = p.heavy.vertices if sources is None else p.heavy.vertices.join(beside(sources, n), "id", "left_semi")

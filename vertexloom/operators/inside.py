@@ -122,10 +122,20 @@ class _Block:
 
 
 def farthest(table: pa.Table) -> pa.Table:
-    """id and ecc of the vertices to pick, by a search from each."""
-    block, ids, ecc = _Block(table), [], []
-    np = block.np
-    for part in block.runs(np.flatnonzero(block.column("pick", False))):
+    """id and ecc of all vertices, by a search from each."""
+    block = _Block(table)
+    return _farthest(block, block.np.arange(len(block.ids)))
+
+
+def farthest_from_given(table: pa.Table) -> pa.Table:
+    """The same of those that have a row of their own."""
+    block = _Block(table)
+    return _farthest(block, block.np.sort(block.given))
+
+
+def _farthest(block: _Block, sources) -> pa.Table:
+    np, ids, ecc = block.np, [], []
+    for part in block.runs(sources):
         dist, begin = block.search(part)
         ids.append(block.ids[part])
         ecc.append(np.maximum.reduceat(dist, begin[:-1]))
